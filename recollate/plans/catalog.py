@@ -1,0 +1,4 @@
+"""The relational catalogue over the record store."""
+
+QUERIES: dict = {}
+ORACLE: dict[str, str] = {}

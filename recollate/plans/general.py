@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recollate.operators.drift import drift_report, field_rows, unified, union_rows
 from recollate.operators.nested import flatten_records
 from recollate.operators.timestamps import with_instant
 from recollate.tables import table
@@ -54,4 +55,26 @@ def p2_nodes(spark: SparkSession, folder: str) -> DataFrame:
     return flatten_records(_nested(spark, folder), ["origin", "record_key"], "text", with_node=True)
 
 
-QUERIES = {"p2_found": p2_found, "p2_nodes": p2_nodes, "p7_found": p7_found}
+def _exports(spark: SparkSession, folder: str) -> DataFrame:
+    return union_rows(
+        [
+            field_rows(table(spark, folder, "memories"), "memories", "metadata", "metadata"),
+            field_rows(table(spark, folder, "block"), "block", "metadata_", "metadata_", "label"),
+        ]
+    )
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Each field added, removed, renamed or retyped from one export of an instance to the next."""
+    return drift_report(_exports(spark, folder)).drop("score")
+
+
+def p1_unified(spark: SparkSession, folder: str) -> DataFrame:
+    """All exports in one consistent table, renamed fields under one name."""
+    rows = _exports(spark, folder)
+    return unified(rows, drift_report(rows))
+
+
+QUERIES = {"p1_found": p1_found, "p1_unified": p1_unified, "p2_found": p2_found, "p2_nodes": p2_nodes, "p7_found": p7_found}
+
+ORACLE: dict[str, str] = {}
