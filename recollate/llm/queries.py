@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from recollate.llm.conversations import conversations, has_text, speaker_of
 from recollate.llm.leakage import leaks
+from recollate.llm.neardup import groups, near_duplicates
 from recollate.llm.packing import fill_containers
 from recollate.llm.splitting import split_long
 from recollate.operators.nested import strict_json
@@ -72,6 +73,23 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return conversations(_events(spark, folder))
 
 
+def _notes(spark: SparkSession, folder: str) -> DataFrame:
+    """The texts of three tables under one key."""
+    sources = (("memories", "memory"), ("block", "value"), ("memori_entity_fact", "content"))
+    parts = [table(spark, folder, name).select(F.concat(F.lit(f"{name}:"), F.col("id").cast("string")).alias("key"), F.col(text).alias("text")) for name, text in sources]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """All pairs of different records that share at least 0.8 of their words."""
+    return near_duplicates(_notes(spark, folder), "key", "text")
+
+
+def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Every record with its class of copies and the number of classes linked to it."""
+    return groups(_notes(spark, folder), "key", "text")
+
+
 def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
     """The container of every document."""
     return fill_containers(table(spark, folder, "documents"), "doc_id", "text")
@@ -91,6 +109,8 @@ QUERIES = {
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
     "p4_found": p4_found,
+    "p5_found": p5_found,
+    "p5_groups": p5_groups,
     "p8_containers": p8_containers,
     "p9_found": p9_found,
     "p9_leaks": p9_leaks,
