@@ -12,6 +12,7 @@ from recollate.llm.leakage import leaks
 from recollate.llm.neardup import groups, near_duplicates
 from recollate.llm.packing import fill_containers
 from recollate.llm.splitting import split_long
+from recollate.llm.subjects import assign, train
 from recollate.operators.nested import strict_json
 from recollate.operators.timestamps import with_instant
 from recollate.tables import table
@@ -95,6 +96,13 @@ def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
     return fill_containers(table(spark, folder, "documents"), "doc_id", "text")
 
 
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The subjects of every document, by a chain trained on the labelled ones."""
+    docs = table(spark, folder, "documents")
+    chain = train(docs, table(spark, folder, "subject_label"), table(spark, folder, "subject_area"))
+    return assign(docs, chain).distinct()
+
+
 def p9_leaks(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with each leaked item and how much they share."""
     return leaks(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_item"), "item_id", "text")
@@ -106,6 +114,7 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "p10_found": p10_found,
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
     "p4_found": p4_found,
