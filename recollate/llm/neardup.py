@@ -12,8 +12,8 @@ these by bands of four, so that no common phrase makes a bucket of all pairs; bu
 data in a table of fixed size (``SLOTS``), where a collision only lengthens a band. Long sets use one rare word together with a size class.
 Words are ordered by counts over all data in a table of ``WORD_SLOTS`` counters; any order is lossless.
 
-A word is a maximal run of letters and digits, lower-cased. Null texts and texts without words have no links. Words and sets are
-compared by 64-bit hashes.
+A word is a maximal run of letters and digits, lower-cased. Null texts and texts without words have no links. Words are
+compared by 32-bit hashes (within a pair of sets a false match has odds below one in ten million), sets by 64-bit ones.
 """
 
 from __future__ import annotations
@@ -41,11 +41,10 @@ _MIX = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def word_sets(records: DataFrame, key: str, text: str) -> DataFrame:
-    """rec, words (distinct 64-bit hashes, sorted), class, size, sketch of every record with a word."""
-    words = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda w: F.xxhash64(w))))
+    """rec, words (distinct hashes, sorted), class, size of every record with a word."""
+    words = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda w: F.hash(w))))
     sets = records.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("rec"), F.inline(F.array(F.struct(words.alias("words"))))).filter(F.size("words") > 0)
-    sketch = F.aggregate("words", F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))))
-    return sets.select("rec", "words", F.xxhash64("words").alias("class"), F.size("words").alias("size"), sketch.alias("sketch"))
+    return sets.select("rec", "words", F.xxhash64("words").alias("class"), F.size("words").alias("size"))
 
 
 def word_counts(sets: DataFrame) -> np.ndarray:
@@ -62,27 +61,39 @@ def sample_size(n: int | np.ndarray, words: int, threshold: float = THRESHOLD) -
     return np.minimum(n, n - np.ceil(np.asarray(n) * threshold - 1e-9).astype(np.int64) + words)
 
 
+def odd_sketch(flat: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+    """256 parity bits of each set, as four words; flat holds the sets' hashes one after the other, none of them empty."""
+    bit = np.uint64(1) << (flat.astype(np.int64) & 63).astype(np.uint64)
+    part = (flat.astype(np.int64) >> 6) & 3
+    return [np.bitwise_xor.reduceat(np.where(part == j, bit, np.uint64(0)), starts).view(np.int64) for j in range(4)]
+
+
+_SKETCH = ("s0", "s1", "s2", "s3")
+
+
 def samples(sets: DataFrame, counts: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
-    """class, size, sketch, sample: one row per class, its rarest words first, as many as bands of four need."""
+    """class, size, s0 to s3 (the sketch), sample: one row per class, its rarest words first, as many as bands of four need."""
     shared = sets.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         for batch in batches:
-            lists = batch.column("words")
-            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            if not batch.num_rows:
+                continue
+            flat = batch.column("words").flatten().to_numpy(zero_copy_only=False)
             sizes = batch.column("size").to_numpy().astype(np.int64)
             row = np.repeat(np.arange(len(sizes)), sizes)
+            starts = np.cumsum(sizes) - sizes
             order = np.lexsort((flat, table[flat % len(table)], row))
-            rank = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            rank = np.arange(len(flat)) - np.repeat(starts, sizes)
             keep = rank < np.repeat(sample_size(sizes, 4, threshold), sizes)
-            picked = flat[order][keep]
             offsets = np.concatenate(([0], np.cumsum(np.bincount(row[keep], minlength=len(sizes)))))
-            sample = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(picked, pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("class"), batch.column("size"), batch.column("sketch"), sample], names=["class", "size", "sketch", "sample"])
+            sample = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat[order][keep], pa.int32()))
+            sketch = [pa.array(x) for x in odd_sketch(flat, starts)]
+            yield pa.RecordBatch.from_arrays([batch.column("class"), batch.column("size"), *sketch, sample], names=["class", "size", *_SKETCH, "sample"])
 
-    rows = sets.select("class", "size", "sketch", "words").mapInArrow(run, "class long, size int, sketch long, sample array<long>")
-    return rows.groupBy("class", "size", "sketch", "sample").agg(F.lit(1).alias("__one")).drop("__one")
+    rows = sets.select("class", "size", "words").mapInArrow(run, "class long, size int, s0 long, s1 long, s2 long, s3 long, sample array<int>")
+    return rows.groupBy("class", "size", *_SKETCH, "sample").agg(F.lit(1).alias("__one")).drop("__one")
 
 
 def _hash(parts: list[np.ndarray]) -> np.ndarray:
@@ -92,20 +103,22 @@ def _hash(parts: list[np.ndarray]) -> np.ndarray:
         out ^= out >> np.uint64(29)
         out *= _MIX
         out ^= out >> np.uint64(32)
-    return out.view(np.int64)
+    # 48 bits: two bands that meet by chance only make a candidate more.
+    return (out >> np.uint64(16)).view(np.int64)
 
 
-def bands(sizes: np.ndarray, values: np.ndarray, offsets: np.ndarray, crowded: list[np.ndarray], level: int | None, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
-    """(row, band key) of sets given as samples. crowded[i] flags the crowded slots of bands of i + 2 words.
+def bands(sizes: np.ndarray, values: np.ndarray, offsets: np.ndarray, crowded: list[np.ndarray], level: int | None, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, band key, whether it is a single-word band) of sets given as samples. crowded[i] flags the crowded slots of bands of i + 2 words.
 
     level: only the bands of that many words (for counting), else the final ones of every length.
     """
-    rows_out, keys_out = [], []
+    rows_out, keys_out, long_out = [], [], []
 
     def emit(rows: np.ndarray, keys: np.ndarray, mask: np.ndarray | None = None) -> None:
         r = np.broadcast_to(rows[:, None], keys.shape)
         rows_out.append(r[mask] if mask is not None else r.ravel())
         keys_out.append(keys[mask] if mask is not None else keys.ravel())
+        long_out.append(np.full(len(keys_out[-1]), mask is None))
 
     for n in np.unique(sizes):
         rows = np.flatnonzero(sizes == n)
@@ -147,21 +160,28 @@ def bands(sizes: np.ndarray, values: np.ndarray, offsets: np.ndarray, crowded: l
                         live[:, k] |= hot[:, at[sub]]
             combos = larger
     if not rows_out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(rows_out), np.concatenate(keys_out)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+    return np.concatenate(rows_out), np.concatenate(keys_out), np.concatenate(long_out)
 
 
 def _crowded(sampled: DataFrame, level: int, known: list[np.ndarray], threshold: float) -> np.ndarray:
-    """Which slots hold more than CROWDED bands of ``level`` words, counted over all classes."""
+    """Which slots hold more than CROWDED bands of ``level`` words, counted over all classes.
+
+    A task reports only slots it met more than once: whatever is called crowded, longer bands find the same pairs.
+    """
     shared = sampled.sparkSession.sparkContext.broadcast([np.flatnonzero(k) for k in known])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = _flags(shared.value)
+        met = np.zeros(SLOTS, np.int32)
         for batch in batches:
             lists = batch.column("sample")
-            _, keys = bands(batch.column("size").to_numpy().astype(np.int64), lists.flatten().to_numpy(zero_copy_only=False), _offsets(lists), flags, level, threshold)
-            slots, n = np.unique(keys & (SLOTS - 1), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(slots.astype(np.int32)), pa.array(n.astype(np.int64))], names=["slot", "n"])
+            _, keys, _ = bands(batch.column("size").to_numpy().astype(np.int64), _values(lists), _offsets(lists), flags, level, threshold)
+            met += np.bincount(keys & (SLOTS - 1), minlength=SLOTS).astype(np.int32) if len(keys) > SLOTS // 8 else 0
+            if len(keys) <= SLOTS // 8:
+                np.add.at(met, keys & (SLOTS - 1), 1)
+        slots = np.flatnonzero(met > 1)
+        yield pa.RecordBatch.from_arrays([pa.array(slots.astype(np.int32)), pa.array(met[slots].astype(np.int64))], names=["slot", "n"])
 
     counted = sampled.select("size", "sample").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).filter(F.col("n") > CROWDED)
     out = np.zeros(SLOTS, bool)
@@ -178,6 +198,10 @@ def _flags(slots: list[np.ndarray]) -> list[np.ndarray]:
     return out
 
 
+def _values(lists: pa.ListArray) -> np.ndarray:
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def _offsets(lists: pa.ListArray) -> np.ndarray:
     o = lists.offsets.to_numpy().astype(np.int64)
     return o[:-1] - o[0]
@@ -190,11 +214,16 @@ def _banded(sampled: DataFrame, known: list[np.ndarray], threshold: float) -> Da
         flags = _flags(shared.value)
         for batch in batches:
             lists = batch.column("sample")
-            rows, keys = bands(batch.column("size").to_numpy().astype(np.int64), lists.flatten().to_numpy(zero_copy_only=False), _offsets(lists), flags, None, threshold)
+            rows, keys, single = bands(batch.column("size").to_numpy().astype(np.int64), _values(lists), _offsets(lists), flags, None, threshold)
             take = pa.array(rows.astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(keys), *(batch.column(c).take(take) for c in ("class", "size", "sketch"))], names=["band", "class", "size", "sketch"])
+            full = [batch.column(c).to_numpy()[rows] for c in _SKETCH]
+            # Short sets need 32 parity bits, the fold of all; long ones keep all 256.
+            fold = full[0] ^ full[1] ^ full[2] ^ full[3]
+            fold = (fold ^ (fold >> 32)) & 0xFFFFFFFF
+            sketch = [pa.array(np.where(single, x, fold if j == 0 else 0)) for j, x in enumerate(full)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column("class").take(take), batch.column("size").take(take), *sketch], names=["band", "class", "size", *_SKETCH])
 
-    return sampled.mapInArrow(run, "band long, class long, size int, sketch long")
+    return sampled.mapInArrow(run, "band long, class long, size int, s0 long, s1 long, s2 long, s3 long")
 
 
 def class_links(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -211,7 +240,7 @@ def class_links(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         (F.col("a.band") == F.col("b.band"))
         & (F.col("a.class") < F.col("b.class"))
         & (F.least("a.size", "b.size") >= F.greatest("a.size", "b.size") * threshold - 1e-9)
-        & (F.bit_count(F.col("a.sketch").bitwiseXOR(F.col("b.sketch"))) <= room)
+        & (sum((F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) for c in _SKETCH[1:]), F.bit_count(F.col("a.s0").bitwiseXOR(F.col("b.s0")))) <= room)
     )
     pairs = cut(a.join(b, near).select(F.col("a.class").alias("class_a"), F.col("b.class").alias("class_b")).distinct())
     wanted = pairs.select(F.explode(F.array("class_a", "class_b")).alias("class")).distinct()
