@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import cache, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recollate.llm import personal
 from recollate.llm.conversations import conversations, has_text, speaker_of
 from recollate.llm.leakage import leaks
 from recollate.llm.neardup import groups, near_duplicates
 from recollate.llm.packing import fill_containers
+from recollate.llm.personal import Detector
 from recollate.llm.splitting import split_long
 from recollate.llm.subjects import assign, train
 from recollate.operators.nested import strict_json
@@ -91,6 +93,28 @@ def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
     return groups(_notes(spark, folder), "key", "text")
 
 
+def _messages_with_persons(spark: SparkSession, folder: str) -> DataFrame:
+    """The texts of both tables; a memory has the same text in every export."""
+    memories = table(spark, folder, "memories").select(F.lit("memories").alias("origin"), F.col("id").alias("record_key"), F.col("memory").alias("text"))
+    blobs = table(spark, folder, "openclaw_session_blob").select(F.lit("openclaw_session_blob").alias("origin"), F.col("path").alias("record_key"), F.col("content").alias("text"))
+    return memories.unionByName(blobs).filter(F.col("record_key").isNotNull())
+
+
+@cache
+def _detector() -> Detector:
+    return personal.train()
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Each mention of personal information."""
+    return personal.mentions(_messages_with_persons(spark, folder), ["origin", "record_key"], "text", _detector()).distinct()
+
+
+def p6_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    """The same texts with typed placeholders."""
+    return personal.redacted(_messages_with_persons(spark, folder), ["origin", "record_key"], "text", _detector())
+
+
 def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
     """The container of every document."""
     return fill_containers(table(spark, folder, "documents"), "doc_id", "text")
@@ -120,6 +144,8 @@ QUERIES = {
     "p4_found": p4_found,
     "p5_found": p5_found,
     "p5_groups": p5_groups,
+    "p6_found": p6_found,
+    "p6_redacted": p6_redacted,
     "p8_containers": p8_containers,
     "p9_found": p9_found,
     "p9_leaks": p9_leaks,
