@@ -59,7 +59,7 @@ def _bind(df: DataFrame, keep: list[str], **named: Column) -> DataFrame:
     A generator over a one-element array is a boundary that neither projection collapsing nor filter
     pushdown crosses; plain projections would inline the cascade into each of its many uses.
     """
-    return df.select(*[F.col(c) for c in keep], F.inline(F.array(F.struct(*[e.alias(n) for n, e in named.items()]))))
+    return df.select(*[F.col(f"`{c}`") for c in keep], F.inline(F.array(F.struct(*[e.alias(n) for n, e in named.items()]))))
 
 
 def known_zones(df: DataFrame) -> list[str]:
