@@ -29,7 +29,7 @@ class Trees:
         return 1 / (1 + np.exp(-self.raw(x)))
 
 
-def fit_trees(x: np.ndarray, y: np.ndarray, rounds: int = 40, rate: float = 0.3, depth: int = 3, ridge: float = 1.0, most_cuts: int = 12) -> Trees:
+def fit_trees(x: np.ndarray, y: np.ndarray, rounds: int = 80, rate: float = 0.25, depth: int = 3, ridge: float = 1.0, most_cuts: int = 12) -> Trees:
     """Second-order boosting with exact search over a few cuts of each feature."""
     share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
     model = Trees(depth, float(np.log(share / (1 - share))))

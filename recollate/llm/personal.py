@@ -34,8 +34,8 @@ _AT = re.compile(r"@| ?[(\[{<] ?(?:at|AT|arroba) ?[)\]}>] ?| (?:at|arroba) ")
 _DOT = r"(?: ?[(\[{<] ?(?:dot|DOT|punkt|punto) ?[)\]}>] ?|\.)"
 _SAID = r" (?:dot|punkt|punto) "
 _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
-_LOCAL = re.compile(rf"(?<![A-Za-z0-9._%+@-])[A-Za-z0-9](?:[A-Za-z0-9._%+'-]|{_DOT})*$")
-_LOCAL_SAID = re.compile(rf"(?<![A-Za-z0-9._%+@-])[A-Za-z0-9](?:[A-Za-z0-9._%+'-]|{_SAID})*$")
+_LOCAL = re.compile(rf"(?<![\w.%+@-])[^\W_](?:[\w.%+'-]|{_DOT})*$")
+_LOCAL_SAID = re.compile(rf"(?<![\w.%+@-])[^\W_](?:[\w.%+'-]|{_SAID})*$")
 _DOMAIN = re.compile(rf"{_LABEL}(?:{_DOT}{_LABEL})*{_DOT}[A-Za-z]{{2,}}(?![A-Za-z0-9-])")
 _DOMAIN_SAID = re.compile(rf"{_LABEL}(?:{_SAID}{_LABEL})*{_SAID}[A-Za-z]{{2,}}(?![A-Za-z0-9-])")
 _PHONE = re.compile(r"[+(0-9](?:(?<=\+) ?\d{1,15}|(?<=\()\d{1,5}\)|(?<=\d)\d*)(?:[ ./-]{0,2}\(\d{1,5}\)|[ ./-]{1,2}\d{2,}){0,6}(?!\w|[./-]\d|-\w)")
@@ -79,7 +79,7 @@ CUES = {
     "phone": "call phone mobile tel telephone cell fax dial contact ring whatsapp number desk telefon handy móvil teléfono or sms is",
     "id": "ssn social security passport tax insurance national dni nie nif id steuer-id ni pass ausweis identity pasaporte no number taxpayer vat",
     "code": "order build sensor version ticket port commit chapter invoice release issue step row rows entries items copies holds runs v rev revision batch serial job page day model pr sku",
-    "name": "contact owner record met ask by from for is with and dear hi cc signed tell told called said thanks ping assign",
+    "name": "contact owner record met ask by from for is with and dear hi cc signed tell told called said thanks ping assign handoff interview reach author assignee regards reviewer",
     "place": "lives at to address file ship visit deliver moved near in office home wohnt vive",
     "title": "mr mrs ms miss dr prof herr frau sr sra don doña señor señora hr fr",
     "article": "the a an der die das el la los this each every its their",
@@ -105,6 +105,14 @@ _TOK = re.compile(r"[^\W_]+(?:-[^\W_]+)*|[@(),.:;/#]")
 _JOINED = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_+/.-@")
 
 
+_ESCAPED = frozenset(("\\n", "\\t", "\\r"))
+
+
+def _joined(text: str, a: int) -> bool:
+    """Whether something before a belongs to the same word; a line break escaped in JSON text doesn't."""
+    return a > 0 and text[a - 1] in _JOINED and text[max(0, a - 2) : a] not in _ESCAPED
+
+
 def _emails(text: str) -> Iterator[tuple[str, int, int]]:
     for m in _AT.finditer(text):
         i, j = m.span()
@@ -114,12 +122,13 @@ def _emails(text: str) -> Iterator[tuple[str, int, int]]:
             base = max(0, i - 80)
             left = (_LOCAL_SAID if spoken else _LOCAL).search(text[base:i])
             if left:
-                yield "email", base + left.start(), right.end()
+                start = base + left.start()
+                yield "email", start + (start > 0 and text[start - 1 : start + 1] in _ESCAPED), right.end()
 
 
 def _addresses(text: str) -> Iterator[tuple[str, int, int]]:
     for m in _EN_AT.finditer(text):
-        if m.start() and text[m.start() - 1] in _JOINED:
+        if _joined(text, m.start()):
             continue
         hit = _EN.match(text, m.start())
         if hit:
@@ -138,7 +147,7 @@ def _addresses(text: str) -> Iterator[tuple[str, int, int]]:
         i = text.find(head)
         while i >= 0:
             hit = _ES.match(text, i + len(head))
-            if hit and not (i and text[i - 1] in _JOINED):
+            if hit and not _joined(text, i):
                 yield "street_address", i, hit.end()
             i = text.find(head, i + 1)
 
@@ -148,17 +157,17 @@ def _spans(text: str) -> list[tuple[str, int, int]]:
     out = list(_emails(text)) if "@" in text or "at" in text or "AT" in text else []
     for m in _PHONE.finditer(text):
         a, b = m.span()
-        if b - a >= 8 and sum(map(str.isdigit, m[0])) >= 7 and not (a and text[a - 1] in _JOINED):
+        if b - a >= 8 and sum(map(str.isdigit, m[0])) >= 7 and not _joined(text, a):
             out.append(("phone", a, b))
     for m in _ID.finditer(text):
         a, b = m.span()
-        if b - a >= 7 and 6 <= sum(map(str.isdigit, m[0])) <= 14 and not (a and text[a - 1] in _JOINED):
+        if b - a >= 7 and 6 <= sum(map(str.isdigit, m[0])) <= 14 and not _joined(text, a):
             out.append(("id_number", a, b))
     out += _addresses(text)
     seen = set()
     for m in _NAME_AT.finditer(text):
         a = m.start()
-        if a and text[a - 1] in _JOINED:
+        if _joined(text, a):
             continue
         t = _TITLED.match(text, a)
         if t:
@@ -177,8 +186,11 @@ def _spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+_NUMBERED = re.compile(r"[\s,;(:]*(?:on )?[+(]?\d")
+
+
 def _context(text: str, a: int, b: int) -> tuple[list[str], list[str]]:
-    left = _TOK.findall(text[max(0, a - 48) : a])[-5:]
+    left = _TOK.findall(text[max(0, a - 48) : a].replace("\\n", ". "))[-5:]
     right = _TOK.findall(text[b : b + 32])[:3]
     return left, right
 
@@ -208,6 +220,9 @@ def features(text: str, kind: str, a: int, b: int) -> list[float]:
     for cue in ("phone", "id", "code", "name", "place", "title", "article"):
         c = _CUE[cue]
         out += [bool(near & c), bool(wide & c), bool(low and low[-1] in c), bool(follow & c)]
+    around = [w for w in (*left, *right) if len(w) > 1 and w.isalpha()]
+    behind = text[b : b + 48]
+    out += [sum(w.isupper() for w in around) / max(1, len(around)), "@" in behind or "(at)" in behind or "[at]" in behind, bool(_NUMBERED.match(behind)), bool(left) and left[-1] == ":", bool(left) and left[-1] == "."]
     out += [bool(follow & {"lives", "at", "during", "about", "since", "first", "works", "said"}), bool(right and right[0] == "("), bool(right and right[0][:1].isupper()), bool(right and right[0] in ".,)")]
     return [float(v) for v in out]
 
@@ -222,7 +237,7 @@ def training_text(rng: random.Random) -> tuple[str, list[tuple[str, int, int]]]:
     thing = made(rng.randint(2, 4))
     d = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
     forms: dict[str, list] = {
-        "person_name": [f"{first} {family}", f"{first} {family}", f"{family}, {first}", f"{first[0]}. {family}", f"{first} {first[0]}. {family}", f"{first} {family}".upper(), f"{family}, {first}".upper(), (title, family), (title, f"{first} {family}"), f"{first} {family}"],
+        "person_name": [f"{first} {family}", f"{first} {family}", f"{family}, {first}", f"{first[0]}. {family}", f"{first} {first[0]}. {family}", f"{first} {family}".upper(), f"{family}, {first}".upper(), (title, family), (title, family.upper()), (title, f"{first} {family}"), f"{first} {family}"],
         "phone": [f"+1 ({d(3)}) {d(3)}-{d(4)}", f"({d(3)}) {d(3)} {d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"+44 7{d(3)} {d(6)}", f"07{d(3)} {d(3)} {d(3)}", f"00{rng.choice(['49', '44', '34'])}-{d(2)}-{d(8)}", f"+49 {d(2)} {d(5)} {d(3)}", f"+1{d(10)}", f"+34 6{d(2)} {d(3)} {d(3)}", f"0{d(3)}/{d(7)}", f"+{d(2)} {d(3)} {d(4)} {d(4)}"],
         "id_number": [f"{d(3)}-{d(2)}-{d(4)}", f"{d(3)} {d(2)} {d(4)}", f"{rng.choice('ABQXZ')}{rng.choice('ABQT')} {d(2)} {d(2)} {d(2)} {rng.choice('ABCD')}", f"{d(8)}-{rng.choice('ABHMTW')}", f"{d(8)}{rng.choice('ABHMTW')}", f"{rng.choice('ACXYZ')}{d(8)}", f"{d(2)} {d(3)} {d(3)} {d(3)}", d(9), f"{rng.choice('AC')}{d(7)}"],
     }
@@ -241,7 +256,7 @@ def training_text(rng: random.Random) -> tuple[str, list[tuple[str, int, int]]]:
         ["Call ", "phone", " and ask for ", "person_name", "."], ["Ship the parcel to ", "street_address", "."], [f"Billing address on file: ", "street_address", f", {announce} ", "id_number", "."],
         ["person_name", " lives at ", "street_address", " since spring."], ["met ", "person_name", f" during the {thing} demo; liked it."], [f"The form wants the {announce} ", "id_number", f", filed with {thing}."], ["send it to ", "email", " pls"],
         [f"Backup contact for {thing}: ", "phone", " or ", "email", "."], ["User's new mobile is ", "phone", ", the old one is dead."], ["Cc ", "email", f" on every {thing} digest."], ["emergency no. ", "phone", f", {thing} desk."], ["phone", f", {thing} desk."],
-        ["Thanks, ", "person_name", "."], ["Interview with ", "person_name", f" moved, {thing} agreed."], [f"{thing} handoff: ", "person_name", ", ", "email", ", ", "phone", "."], ["Reach ", "person_name", " on ", "phone", "."], ["I am ", "person_name", f" from {thing}."], ["Signed by ", "person_name", " and ", "person_name", "."], [f"{announce} ", "id_number", " belongs to ", "person_name", "."], ["Tell ", "person_name", f" that {thing} moved."],
+        ["Thanks, ", "person_name", "."], ["Interview with ", "person_name", f" moved, {thing} agreed."], [f"Signed the {thing} handoff: ", "person_name", ", ", "email", ", ", "phone", "."], [f"{thing} handoff: ", "person_name", ", ", "email", "."], [f"Reviewer: ", "person_name", ", ", "phone", "."], ["Reach ", "person_name", " on ", "phone", "."], ["I am ", "person_name", f" from {thing}."], ["Signed by ", "person_name", " and ", "person_name", "."], [f"{announce} ", "id_number", " belongs to ", "person_name", "."], ["Tell ", "person_name", f" that {thing} moved."],
         [f"Version {d(1)}.{d(2)}.{d(1)} runs on port {d(4)}."], [f"Order {d(3)}-{d(2)}-{d(2)} holds {d(3)} items for {thing}."], [f"Build {d(8)}-{d(4)} of {thing} passed."], [f"Sensor id {d(3)}-{d(5)} reset at {d(2)}:{d(2)}."],
         [f"Ticket {d(4)}-{d(3)} mentions @{thing} twice."], [f"Commit {d(3)}ab{d(4)}ef closes {thing}."], [f"Chapter {d(2)} {made(2).capitalize()} Planning covers {thing}."], [f"The {thing.capitalize()} Gateway and the {made(2).capitalize()} {made(2).capitalize()} release share {d(5)} rows."],
         [f"Use name@host style for {thing} remotes."], [f"{thing.capitalize()} and {made(3)} share one sketch {made(2)}@{d(2)} {made(2)}."], [f"Project {thing.capitalize()} holds {d(3)} cached entries, so the analyst must trim its quota."], [f'{{"role":"user","ts":"20{d(2)}-0{rng.randint(1, 9)}-1{d(1)}T0{d(1)}:1{d(1)}:2{d(1)}Z","content":"Remember to trim {thing}."}}'],
@@ -261,9 +276,8 @@ def training_text(rng: random.Random) -> tuple[str, list[tuple[str, int, int]]]:
             text += form
         else:
             text += piece
-    if rng.random() < 0.05:  # shouted as a whole
-        upper = text.upper()
-        return (upper if len(upper) == len(text) else text), spans
+    if not spans and rng.random() < 0.15:  # shouted as a whole
+        return text.upper(), spans
     return text, spans
 
 
