@@ -53,13 +53,13 @@ def _days(y: Column, m: Column, d: Column) -> Column:
     return (era * 146097 + of_era * 365 + F.floor(of_era / 4) - F.floor(of_era / 100) + of_year - 719468).cast("long")
 
 
-def _bind(df: DataFrame, keep: list[str], **named: Column) -> DataFrame:
-    """df's ``keep`` columns with the named expressions, each evaluated once.
+def _bind(df: DataFrame, keep: list[str], prefix: str, **named: Column) -> DataFrame:
+    """df's ``keep`` columns with the named expressions (under a prefix), each evaluated once.
 
     A generator over a one-element array is a boundary that neither projection collapsing nor filter
     pushdown crosses; plain projections would inline the cascade into each of its many uses.
     """
-    return df.select(*[F.col(f"`{c}`") for c in keep], F.inline(F.array(F.struct(*[e.alias(n) for n, e in named.items()]))))
+    return df.select(*[F.col(f"`{c}`") for c in keep], F.inline(F.array(F.struct(*[e.alias(prefix + n) for n, e in named.items()]))))
 
 
 def known_zones(df: DataFrame) -> list[str]:
@@ -75,12 +75,15 @@ def with_instant(df: DataFrame, value: str, tz: str, date_order: str, out: str =
     null: such slashed dates denote nothing). Helper columns never clash with those of df.
     """
     cols = df.columns
+    x = "__"
+    while any(c.startswith(x) for c in cols):
+        x += "_"
     v = F.trim(F.col(value))
     norm = F.lit(None).cast("string")
     for pattern, layout in reversed(CASCADE):
         norm = F.when(v.rlike(pattern), F.regexp_replace(v, pattern, layout)).otherwise(norm)
-    base = _bind(df, cols, __p=F.split(F.lower(norm), r"\|"), __n=F.when(v.rlike(_NUMBER), v.cast("decimal(38,12)")))
-    p = [F.col("__p")[i] for i in range(9)]
+    base = _bind(df, cols, x, p=F.split(F.lower(norm), r"\|"), n=F.when(v.rlike(_NUMBER), v.cast("decimal(38,12)")))
+    p = [F.col(x + "p")[i] for i in range(9)]
     month_at = F.instr(F.lit(_MONTHS), F.substring(p[1], 1, 3))
     order = F.upper(F.trim(F.col(date_order)))
     slashed = p[0].endswith("/")
@@ -93,7 +96,7 @@ def with_instant(df: DataFrame, value: str, tz: str, date_order: str, out: str =
     digits = F.regexp_replace(zone, r"[^0-9]", "")
     sign = F.when(zone.startswith("-"), -1).otherwise(1)
     offset_h, offset_m = _int(F.substring(digits, 1, 2)), _int(F.substring(digits, 3, 2))
-    table = F.create_map(*[F.lit(x) for kv in ABBREVIATIONS.items() for x in kv])
+    table = F.create_map(*[F.lit(v) for kv in ABBREVIATIONS.items() for v in kv])
     offset = F.when(signed & (offset_h <= 18) & (offset_m <= 59), sign * (offset_h * 60 + offset_m)).when(~signed, F.try_element_at(table, zone))
     month = (
         F.when(slashed & (order == "MDY"), first)
@@ -105,27 +108,28 @@ def with_instant(df: DataFrame, value: str, tz: str, date_order: str, out: str =
     day = F.when(slashed & (order == "DMY"), first).when(slashed & ~F.coalesce(order == "MDY", F.lit(False)), None).otherwise(second)
     parts = _bind(
         base,
-        [*cols, "__n"],
-        __y=_int(F.regexp_replace(p[0], "/", "")),
-        __m=month,
-        __d=day,
-        __h=hour,
-        __i=F.coalesce(_int(p[4]), F.lit(0)),
-        __s=F.coalesce(_int(p[5]), F.lit(0)),
-        __f=F.coalesce(_int(F.rpad(F.substring(p[6], 1, 6), 6, "0")), F.lit(0)),
-        __zoned=zone != "",
-        __o=offset,
+        [*cols, x + "n"],
+        x,
+        y=_int(F.regexp_replace(p[0], "/", "")),
+        m=month,
+        d=day,
+        h=hour,
+        i=F.coalesce(_int(p[4]), F.lit(0)),
+        s=F.coalesce(_int(p[5]), F.lit(0)),
+        f=F.coalesce(_int(F.rpad(F.substring(p[6], 1, 6), 6, "0")), F.lit(0)),
+        zoned=zone != "",
+        o=offset,
     )
-    y, m, d = F.col("__y"), F.col("__m"), F.col("__d")
+    y, m, d = F.col(x + "y"), F.col(x + "m"), F.col(x + "d")
     leap = ((y % 4 == 0) & (y % 100 != 0)) | (y % 400 == 0)
     last = F.when(m.isin(4, 6, 9, 11), 30).when(m == 2, F.when(leap, 29).otherwise(28)).otherwise(31)
-    valid = m.between(1, 12) & (d >= 1) & (d <= last) & (y >= 1) & (F.col("__h") <= 23) & (F.col("__i") <= 59) & (F.col("__s") <= 59)
-    seconds = _days(y, m, d) * F.lit(86400).cast("long") + F.col("__h") * 3600 + F.col("__i") * 60 + F.col("__s")
-    wall = F.when(valid, seconds * F.lit(1000000).cast("long") + F.col("__f"))
-    walled = _bind(parts, [*cols, "__n", "__zoned", "__o"], __w=wall, __tz=F.when(F.col(tz).isin(known_zones(df)), F.col(tz)))
-    n = F.col("__n")
+    valid = m.between(1, 12) & (d >= 1) & (d <= last) & (y >= 1) & (F.col(x + "h") <= 23) & (F.col(x + "i") <= 59) & (F.col(x + "s") <= 59)
+    seconds = _days(y, m, d) * F.lit(86400).cast("long") + F.col(x + "h") * 3600 + F.col(x + "i") * 60 + F.col(x + "s")
+    wall = F.when(valid, seconds * F.lit(1000000).cast("long") + F.col(x + "f"))
+    walled = _bind(parts, [*cols, x + "n", x + "zoned", x + "o"], x, w=wall, tz=F.when(F.col(tz).isin(known_zones(df)), F.col(tz)))
+    n = F.col(x + "n")
     size = F.abs(n)
     number = F.when(size < 10**11, n * 1000000).when(size < 10**14, n * 1000).when(size < 10**17, n)
-    local = F.unix_micros(F.to_utc_timestamp(F.timestamp_micros("__w"), F.col("__tz")))
-    instant = F.when(n.isNotNull(), number.cast("long")).when(F.col("__zoned"), F.col("__w") - F.col("__o").cast("long") * 60000000).otherwise(local)
-    return _bind(walled, [c for c in cols if c != out], **{out: instant})
+    local = F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(x + "w"), F.col(x + "tz")))
+    instant = F.when(n.isNotNull(), number.cast("long")).when(F.col(x + "zoned"), F.col(x + "w") - F.col(x + "o").cast("long") * 60000000).otherwise(local)
+    return _bind(walled, [c for c in cols if c != out], "", **{out: instant})

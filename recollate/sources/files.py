@@ -19,10 +19,10 @@ def text_files(spark: SparkSession, root: str, glob: str = "*", since: int | Non
     base = str(Path(root).resolve())
     if not any(p.is_file() for p in Path(base).rglob(glob)):
         return spark.createDataFrame([], SCHEMA)
-    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("wholetext", "true")
+    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
     if since is not None:
         reader = reader.option("timeZone", "UTC").option("modifiedAfter", f"{_iso(since)}")
-    df = reader.text(f"file://{base}").select(F.col("value").alias("content"), "_metadata.file_path", "_metadata.file_modification_time")
+    df = reader.text(f"file://{base}", wholetext=True).select(F.col("value").alias("content"), "_metadata.file_path", "_metadata.file_modification_time")
     path = F.url_decode(F.regexp_replace(F.col("file_path"), r"^file:/+", "/"))
     named = df.select(path.alias("path"), "content", F.unix_seconds("file_modification_time").alias("mtime"))
     return named.select("path", F.substr("path", F.lit(len(base) + 2)).alias("rel"), F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), "content", "mtime")
@@ -49,7 +49,7 @@ def front_matter(content: Column, key: str) -> Column:
 
 
 def body(content: Column) -> Column:
-    return F.trim(F.regexp_replace(content, r"(?s)\A---\r?\n.*?\r?\n---\r?\n?", ""))
+    return F.regexp_replace(F.regexp_replace(content, r"(?s)\A---\r?\n.*?\r?\n---\r?\n?", ""), r"\A\s+|\s+\z", "")
 
 
 def judgments(spark: SparkSession, path: str) -> DataFrame:
@@ -61,7 +61,7 @@ def judgments(spark: SparkSession, path: str) -> DataFrame:
 
 def audit_log(spark: SparkSession, path: str) -> DataFrame:
     """line_no, timestamp, action, detail of a JSON-lines log; broken lines are skipped, their numbers are not reused."""
-    whole = spark.read.option("wholetext", "true").text(path)
+    whole = spark.read.text(path, wholetext=True)
     each = whole.select(F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line"))
     parsed = each.select("line_no", F.try_parse_json("line").alias("v"))
     get = lambda k: F.try_variant_get("v", f"$.{k}", "string")

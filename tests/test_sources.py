@@ -88,7 +88,7 @@ def test_file_stores(spark, tmp_path):
     assert {(r["content"], r["kind"]) for r in got.values()} == {("P", "preference"), ("R", "episode"), ("F", "fact"), ("raw", "fact"), ("S", "reference")}
     hermes = tmp_path / "h"
     write(hermes, {"MEMORY.md": "mem", "USER.md": "usr", "other.md": "no"})
-    db(hermes / "state.db", ("CREATE TABLE messages (id TEXT, role TEXT, content TEXT, created_at TEXT)",), ("INSERT INTO messages VALUES ('1','user','c','2024-01-01T00:00:00Z')",), ("CREATE TABLE nothing (id TEXT)",))
+    db(hermes / "state.db", ("CREATE TABLE messages (id TEXT, role TEXT, content TEXT, created_at TEXT)",), ("INSERT INTO messages VALUES ('1','user','c','2024-01-01T00:00:00Z')",), ("CREATE TABLE bare (id TEXT)",))
     got, _ = by_id(stores.hermes(spark, str(hermes)))
     assert set(got) == {"md|MEMORY.md", "md|USER.md", "session|messages|1"}
     palace = tmp_path / "pal"
