@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recollate.llm import personal
-from recollate.llm.conversations import conversations, has_text, speaker_of
+from recollate.llm.conversations import SPEAKERS, conversations, has_text, speaker_of
 from recollate.llm.leakage import leaks
 from recollate.llm.neardup import groups, near_duplicates
 from recollate.llm.packing import fill_containers
@@ -150,4 +150,33 @@ QUERIES = {
     "p9_found": p9_found,
     "p9_leaks": p9_leaks,
 }
-ORACLE: dict[str, str] = {}
+_WORDS = "regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}]+')"
+ORACLE: dict[str, str] = {
+    "p3_found": "SELECT DISTINCT * FROM (SELECT 'tdai_l2_scenario' AS origin, path AS item_key FROM tdai_l2_scenario WHERE length(content) > 2000 UNION ALL SELECT 'openclaw_session_blob', path FROM openclaw_session_blob "
+    "WHERE length(content) > 2000 UNION ALL SELECT 'block', id FROM block WHERE length(value) > 2000)",
+    "p4_found": r"""WITH roles(name, speaker) AS (VALUES ROLES),
+ lines AS (SELECT session_id, source_path, line_no, CASE WHEN json_valid(raw_json) THEN CASE WHEN json_type(raw_json) = 'VARCHAR' THEN CASE WHEN json_valid(json_extract_string(raw_json, '$')) THEN json_extract_string(raw_json, '$') END ELSE raw_json END END AS j
+  FROM (SELECT DISTINCT session_id, source_path, line_no, raw_json FROM openviking_message WHERE session_id IS NOT NULL)),
+ ev AS (SELECT DISTINCT 'messages' AS origin, session_id, id AS message_key, 0 AS line, role, created_at, coalesce(content, '') AS txt, FALSE AS broken FROM messages WHERE session_id IS NOT NULL
+  UNION ALL SELECT 'openviking_message', session_id, coalesce(json_extract_string(j, '$.id'), source_path || '#' || line_no), line_no, json_extract_string(j, '$.role'), json_extract_string(j, '$.created_at'),
+  coalesce(array_to_string(list_transform(list_filter(CAST(json_extract(j, '$.parts') AS JSON[]), lambda p: json_extract_string(p, '$.type') = 'text'), lambda p: json_extract_string(p, '$.text')), ''), ''), j IS NULL FROM lines),
+ parsed AS (SELECT origin, session_id, message_key, line, broken, speaker, CASE WHEN regexp_matches(created_at, '^\s*\d{4}-\d{2}-\d{2}[Tt ]') THEN epoch_us(TRY_CAST(created_at AS TIMESTAMPTZ)) END AS moment, regexp_matches(txt, '[^\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]') AS filled
+  FROM ev LEFT JOIN roles ON name = lower(regexp_replace(role, '^[\s\x{a0}\x{3000}]+|[\s\x{a0}\x{3000}]+$', '', 'g'))),
+ folded AS (SELECT origin, session_id, message_key, min(moment) AS moment, min(line) AS line, arg_max(speaker, line) AS speaker, arg_max(filled, line) AS filled, bool_or(broken) AS broken FROM parsed GROUP BY 1, 2, 3),
+ bad AS (SELECT DISTINCT origin, session_id FROM folded WHERE broken OR speaker IS NULL OR moment IS NULL),
+ turns AS (SELECT *, CAST(row_number() OVER w - 1 AS INTEGER) AS turn_no, lag(speaker) OVER w AS before, last_value(CASE WHEN speaker IN ('user', 'assistant') THEN speaker END IGNORE NULLS) OVER (PARTITION BY origin, session_id ORDER BY moment, line, message_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS said
+  FROM folded WHERE filled WINDOW w AS (PARTITION BY origin, session_id ORDER BY moment, line, message_key)),
+ kept AS (SELECT origin, session_id FROM turns GROUP BY 1, 2 HAVING bool_or(speaker = 'user') AND arg_min(speaker, turn_no) FILTER (speaker <> 'system') = 'user' AND arg_max(speaker, turn_no) FILTER (speaker IN ('user', 'assistant')) = 'assistant'
+  AND NOT bool_or(coalesce(speaker = 'user' AND before <> 'user' AND said = 'user', FALSE)))
+ SELECT origin, session_id, turn_no, message_key, speaker FROM turns JOIN kept USING (origin, session_id) WHERE NOT EXISTS (SELECT 1 FROM bad b WHERE b.origin = turns.origin AND b.session_id = turns.session_id)""".replace(
+        "ROLES", ", ".join(f"('{name}', '{speaker}')" for speaker, names in SPEAKERS.items() for name in names)
+    ),
+    "p5_found": f"""WITH texts AS (SELECT DISTINCT 'memories:' || id AS key, memory AS t FROM memories UNION SELECT 'block:' || id, value FROM block UNION SELECT 'memori_entity_fact:' || id, content FROM memori_entity_fact),
+ sets AS (SELECT key, list_distinct({_WORDS.format("t")}) AS w FROM texts WHERE t IS NOT NULL), words AS (SELECT key, len(w) AS n, unnest(w) AS word FROM sets), df AS (SELECT word, count(*) AS df FROM words GROUP BY 1),
+ prefix AS (SELECT key, word FROM (SELECT key, word, n, row_number() OVER (PARTITION BY key ORDER BY df, word) AS r FROM words JOIN df USING (word)) WHERE r <= n - ceil(0.8 * n - 1e-9) + 1),
+ pairs AS (SELECT DISTINCT a.key AS key_a, b.key AS key_b FROM prefix a JOIN prefix b ON a.word = b.word AND a.key < b.key)
+ SELECT key_a, key_b FROM (SELECT key_a, key_b, len(list_intersect(x.w, y.w)) AS common, len(x.w) + len(y.w) AS total FROM pairs JOIN sets x ON x.key = key_a JOIN sets y ON y.key = key_b) WHERE common >= 0.8 * (total - common) - 1e-12""",
+    "p9_found": f"""WITH i AS (SELECT item_id, {_WORDS.format("text")} AS w FROM eval_item), d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents),
+ gi AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 11], ' ') AS gram FROM i, unnest(range(1, len(w) - 10)) AS t(k)), gd AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 11], ' ') AS gram FROM d, unnest(range(1, len(w) - 10)) AS t(k))
+ SELECT DISTINCT doc_id, item_id FROM gd JOIN gi USING (gram)""",
+}

@@ -1,6 +1,6 @@
 """Subject areas of documents: classifier chains over sentence, term, source and structure features.
 
-Training (on the driver, on at most ``sample`` labelled documents, a bounded and documented parameter)
+Training (on the driver, on at most ``sample`` documents, labelled ones first, a bounded and documented parameter)
 1. A sentence model: naive Bayes over the words of a sentence (character pairs for scripts without spaces), classes none and
    the subjects, fitted by expectation maximisation with the documents' labels as priors of their sentences.
 2. A classifier chain: one logistic model per subject in order of frequency, over how many and what share of a document's sentences
@@ -94,8 +94,8 @@ class SentenceModel:
         return np.bincount(of_doc * classes + best, minlength=len(texts) * classes).reshape(len(texts), classes)
 
 
-def fit_sentences(texts: list[str], labels: list[set[int]], classes: int, rounds: int = ROUNDS) -> SentenceModel:
-    """EM: sentences of a document deal with nothing, with one of its labels, or rarely with another subject.
+def fit_sentences(texts: list[str], labels: list[set[int] | None], classes: int, rounds: int = ROUNDS) -> SentenceModel:
+    """EM: sentences of a document deal with nothing, with one of its labels, or rarely with another subject; labels None: any.
 
     It starts from how far a term's documents favour a subject, so that terms of a language never pass for a subject's.
     """
@@ -108,24 +108,26 @@ def fit_sentences(texts: list[str], labels: list[set[int]], classes: int, rounds
     ids, own, of_doc, _ = numbered(texts, number)
     prior = np.full((len(texts), classes + 1), 0.03 / classes)
     for i, mine in enumerate(labels):
-        prior[i, 0] = 0.72 if mine else 0.97
-        for k in mine:
-            prior[i, k + 1] += 0.25 / len(mine)
+        prior[i, 0] = 0.97 if mine == set() else 0.72
+        for k in mine if mine is not None else range(classes):
+            prior[i, k + 1] += 0.25 / (len(mine) if mine is not None else classes)
     prior /= prior.sum(1, keepdims=True)
     by_doc = prior[of_doc]
     # Start: in how many documents with a label does the term occur, against all of its documents.
     pairs = np.unique(of_doc[own] * np.int64(len(number)) + ids)
     d, w = pairs // len(number), pairs % len(number)
+    known = np.array([mine is not None for mine in labels])
+    d, w = d[known[d]], w[known[d]]
     member = np.zeros((len(texts), classes))
     for i, mine in enumerate(labels):
-        member[i, list(mine)] = 1
-    base = member.mean(0) + 1e-6
+        member[i, list(mine or ())] = 1
+    base = (member[known].mean(0) if known.any() else np.zeros(classes)) + 1e-6
     n_docs = np.bincount(w, minlength=len(number)).astype(float)
     weights = np.zeros((len(number), classes + 1))
     for c in range(classes):
         rate = (np.bincount(w, member[d, c], len(number)) + 2 * base[c]) / (n_docs + 2)
-        sure = np.maximum(rate - 1.3 * np.sqrt(rate * (1 - rate) / (n_docs + 2)), 1e-6)
-        weights[:, c + 1] = np.where(sure > 1.5 * base[c], np.log(sure / base[c]), -0.5)
+        sure = np.maximum(rate - 0.3 * np.sqrt(rate * (1 - rate) / (n_docs + 2)), 1e-6)
+        weights[:, c + 1] = np.where(sure > 2.5 * base[c], np.log(sure / base[c]), -0.5)
     for _ in range(rounds):
         scores = np.log(by_doc)
         for c in range(classes + 1):
@@ -178,6 +180,8 @@ class Chain:
 
     def decode(self, counts: np.ndarray, lang: list, source: list, kind: list, beam: int = BEAM) -> list[list[int]]:
         """The likeliest label combination of each document; subjects no sentence deals with stay off."""
+        if not self.subjects:
+            return [[] for _ in lang]
         extra = self.one_hot(lang, source, kind)
         width = len(self.subjects)
         base, lead = [], []
@@ -219,8 +223,10 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.02, steps: int = 40
     return w
 
 
-def fit(rows: list[tuple], subjects: list[str]) -> Chain:
-    """rows: (text, labels as names, lang, source, kind). Half the folds fit, the other half calibrates."""
+def fit(rows: list[tuple], subjects: list[str], others: list[str] = ()) -> Chain:
+    """rows: (text, labels as names, lang, source, kind). Half the folds fit, the other half calibrates. others: texts without labels, for the sentence model."""
+    if not subjects:
+        return Chain([], [], SentenceModel({}, np.zeros((0, 1)), np.ones(1)), [{"?": 0}, {"?": 0}, {"?": 0}])
     number = {s: i for i, s in enumerate(subjects)}
     labels = [{number[s] for s in r[1] if s in number} for r in rows]
     frequency = Counter(k for own in labels for k in own)
@@ -230,7 +236,7 @@ def fit(rows: list[tuple], subjects: list[str]) -> Chain:
         return {v: i for i, v in enumerate(["?", *sorted({v for v in values if v})])}
 
     texts, lang, source, kind = ([r[i] for r in rows] for i in (0, 2, 3, 4))
-    model = fit_sentences(texts, labels, len(subjects))
+    model = fit_sentences([*texts, *others], [*labels, *[None] * len(others)], len(subjects))
     chain = Chain(subjects, order, model, [codes(kind), codes(lang), codes([(x or "").partition(":")[0] for x in source])])
     counts, extra = model.count(texts), chain.one_hot(lang, source, kind)
     member = np.zeros((len(rows), len(subjects)))
@@ -258,13 +264,16 @@ def fit(rows: list[tuple], subjects: list[str]) -> Chain:
 
 
 def train(docs: DataFrame, labels: DataFrame, subjects: DataFrame, sample: int = SAMPLE) -> Chain:
-    """The chain from at most ``sample`` labelled documents, chosen by the hash of their ids."""
+    """The chain from at most ``sample`` documents, chosen by the hash of their ids, labelled ones first."""
     names = sorted({r[0] for r in subjects.select("subject").distinct().limit(1000).collect() if r[0] is not None})
     own = labels.filter("doc_id IS NOT NULL AND subject IS NOT NULL").groupBy("doc_id").agg(F.collect_set("subject").alias("subjects"))
     chosen = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     picked = docs.select("doc_id", "text", "lang", "source", "doc_kind").join(chosen, "doc_id").filter("text IS NOT NULL").dropDuplicates(["doc_id"])
     rows = sorted((r for r in picked.limit(sample).collect()), key=lambda r: r["doc_id"])
-    return fit([(r["text"], set(r["subjects"]), r["lang"], r["source"], r["doc_kind"]) for r in rows], names)
+    # Where fewer are labelled, others fill up the sample for the sentence model.
+    rest = docs.select("doc_id", "text").filter("doc_id IS NOT NULL AND text IS NOT NULL").join(own.select("doc_id"), "doc_id", "left_anti").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    others = [r["text"] for r in rest.collect()][: sample - len(rows)] if len(rows) < sample else []
+    return fit([(r["text"], set(r["subjects"]), r["lang"], r["source"], r["doc_kind"]) for r in rows], names, others)
 
 
 def assign(docs: DataFrame, chain: Chain) -> DataFrame:

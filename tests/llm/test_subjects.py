@@ -55,3 +55,10 @@ def test_terms():
 def test_no_labels():
     chain = fit([("some text here", set(), None, None, None)], ["law"])
     assert chain.decode(chain.sentence.count(["some text here", ""]), [None] * 2, [None] * 2, [None] * 2) == [[], []]
+
+
+def test_empty_tables(spark):
+    d = spark.createDataFrame([(1, "some text. more text.", "en", "a", "note")], "doc_id long, text string, lang string, source string, doc_kind string")
+    labels, names = spark.createDataFrame([], "doc_id long, subject string"), spark.createDataFrame([("law", "")], "subject string, description string")
+    assert assign(d, train(d, labels, names)).count() == 0
+    assert assign(d, train(d.limit(0), labels, names.limit(0))).count() == 0
