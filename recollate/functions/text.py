@@ -42,7 +42,9 @@ def index_terms(text: Column) -> Column:
     """Distinct search terms: lower-case runs of letters, digits and underscores, dense scripts as pairs of characters."""
     words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
     pairs = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - 1, F.lit(1))), lambda i: F.substr(w, i, F.lit(2)))
-    return F.array_distinct(F.flatten(F.transform(words, lambda w: F.when(w.rlike(f"^[{DENSE}]+$"), pairs(w)).otherwise(F.array(w)))))
+    cut = F.flatten(F.transform(words, lambda w: F.when(w.rlike(f"^[{DENSE}]+$"), pairs(w)).otherwise(F.array(w))))
+    # Most texts have no dense script and skip the walk over their words.
+    return F.array_distinct(F.when(text.rlike(f"[{DENSE}]"), cut).otherwise(words))
 
 
 # Words that carry no meaning in a query.

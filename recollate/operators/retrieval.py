@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollate.functions.text import estimate_tokens, index_terms, plan_query, project_root
+from recollate.session import cut
 
 K1, B, FUSION = 1.2, 0.75, 60
 BOOST, BOOSTED = 0.05, ("preference", "feedback", "fact", "skill", "reference")
@@ -44,8 +45,10 @@ def full_text(records: DataFrame, queries: list[tuple[int, str]], limit: int, ke
     n, mean = total["n"], total["length"] or 1.0
     terms = spark.createDataFrame(query_terms(queries), "query_id int, term string, strict int, relaxed boolean")
     postings = docs.select(key, F.size("terms").alias("length"), F.explode("terms").alias("term"))
-    hits = postings.join(F.broadcast(terms), "term")
-    df = postings.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # Only postings of the queries' terms survive; they are written once and give both the hits and the document frequencies.
+    matched = cut(postings.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi"))
+    hits = matched.join(F.broadcast(terms), "term")
+    df = matched.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.greatest(F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     weight = idf * (K1 + 1) / (1 + K1 * (1 - B + B * F.col("length") / mean))
     scored = hits.join(F.broadcast(df), "term").groupBy("query_id", key).agg(

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,22 +23,40 @@ def term_hash(term: Column) -> Column:
     return F.conv(F.substring(F.md5(term), 1, 16), 16, -10).cast("long")
 
 
-def simhash(terms: Column) -> Column:
-    """Bit i is set if more than half of the terms' hashes have it."""
-    hashes = F.transform(terms, term_hash)
-    bit = lambda h, i: F.call_function("shiftright", h, i).bitwiseAND(1)
-    votes = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a + bit(h, i)))
-    half = F.size(terms)
-    return F.aggregate(
-        F.transform(votes, lambda v, i: F.when(v * 2 > half, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b)
-    )
+def simhash(hashes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Bit i is set if more than half of a set's hashes have it; hashes holds the sets one after the other, none of them empty."""
+    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    votes = np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
+    return np.packbits(votes * 2 > sizes[:, None], axis=1, bitorder="little").view(np.int64).ravel()
+
+
+def band_keys(sims: np.ndarray) -> np.ndarray:
+    """For each hash one key per pair of blocks: the pair's number above the values of both blocks."""
+    starts = [sum(BLOCKS[:i]) for i in range(len(BLOCKS))]
+    block = [(sims.view(np.uint64) >> np.uint64(s)) & np.uint64((1 << w) - 1) for s, w in zip(starts, BLOCKS, strict=True)]
+    pairs = combinations(range(len(BLOCKS)), 2)
+    return np.stack([(np.uint64(n) << np.uint64(16)) | (block[i] << np.uint64(BLOCKS[j])) | block[j] for n, (i, j) in enumerate(pairs)], 1).view(np.int64)
 
 
 def signatures(records: DataFrame) -> DataFrame:
-    """class, terms, size, sim: one row per different set of terms with enough of them."""
+    """class, terms, size, sim, bands: one row per different set of terms with enough of them."""
     terms = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))))
     sets = records.select(F.inline(F.array(F.struct(terms.alias("terms"))))).filter(F.size("terms") >= LEAST_TERMS)
-    return sets.select("terms", F.sha2(F.array_join("terms", " "), 256).alias("class")).groupBy("class").agg(F.first("terms").alias("terms")).withColumn("size", F.size("terms")).withColumn("sim", simhash(F.col("terms")))
+    classes = sets.select("terms", F.sha2(F.array_join("terms", " "), 256).alias("class")).groupBy("class").agg(F.first("terms").alias("terms"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = batch.column("hashes")
+            sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+            sims = simhash(np.ascontiguousarray(lists.flatten().to_numpy(zero_copy_only=False)), np.cumsum(sizes) - sizes, sizes)
+            keys = band_keys(sims)
+            bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sims) + 1) * keys.shape[1], pa.int32()), pa.array(keys.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("class"), batch.column("terms"), pa.array(sizes.astype(np.int32)), pa.array(sims), bands], names=["class", "terms", "size", "sim", "bands"])
+
+    hashed = classes.select("class", "terms", F.transform("terms", term_hash).alias("hashes"))
+    return hashed.mapInArrow(run, "class string, terms array<string>, size int, sim long, bands array<long>")
 
 
 def class_of(records: DataFrame) -> DataFrame:
@@ -48,16 +69,12 @@ def class_of(records: DataFrame) -> DataFrame:
 def near_pairs(records: DataFrame) -> DataFrame:
     """class_a < class_b, distance, similarity of all pairs of different term sets within both limits; nothing is missed."""
     classes = cut(signatures(records))
-    starts = [sum(BLOCKS[:i]) for i in range(len(BLOCKS))]
-    block = [F.call_function("shiftrightunsigned", F.col("sim"), F.lit(s)).bitwiseAND((1 << w) - 1) for s, w in zip(starts, BLOCKS, strict=True)]
-    keys = [F.struct(F.lit(n).alias("band"), (block[i] * (1 << BLOCKS[j]) + block[j]).alias("value")) for n, (i, j) in enumerate(combinations(range(len(BLOCKS)), 2))]
-    rows = classes.select("class", "sim", "size", F.explode(F.array(*keys)).alias("k")).select("class", "sim", "size", "k.band", "k.value")
+    rows = classes.select("class", "sim", "size", F.explode("bands").alias("band"))
     a, b = rows.alias("a"), rows.alias("b")
     distance = F.bit_count(F.col("a.sim").bitwiseXOR(F.col("b.sim")))
     found = a.join(
         b,
         (F.col("a.band") == F.col("b.band"))
-        & (F.col("a.value") == F.col("b.value"))
         & (F.col("a.class") < F.col("b.class"))
         & (distance <= MOST_DISTANT)
         & (F.least("a.size", "b.size") >= LEAST_SIMILAR * F.greatest("a.size", "b.size")),
