@@ -17,7 +17,7 @@ from recollate.llm.splitting import split_long
 from recollate.llm.subjects import assign, train
 from recollate.operators.nested import strict_json
 from recollate.operators.timestamps import with_instant
-from recollate.tables import table
+from recollate.tables import spread, table
 
 
 def _long_items(spark: SparkSession, folder: str) -> DataFrame:
@@ -80,7 +80,7 @@ def _notes(spark: SparkSession, folder: str) -> DataFrame:
     """The texts of three tables under one key."""
     sources = (("memories", "memory"), ("block", "value"), ("memori_entity_fact", "content"))
     parts = [table(spark, folder, name).select(F.concat(F.lit(f"{name}:"), F.col("id").cast("string")).alias("key"), F.col(text).alias("text")) for name, text in sources]
-    return reduce(DataFrame.unionByName, parts)
+    return spread(reduce(DataFrame.unionByName, parts))
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -97,7 +97,7 @@ def _messages_with_persons(spark: SparkSession, folder: str) -> DataFrame:
     """The texts of both tables; a memory has the same text in every export."""
     memories = table(spark, folder, "memories").select(F.lit("memories").alias("origin"), F.col("id").alias("record_key"), F.col("memory").alias("text"))
     blobs = table(spark, folder, "openclaw_session_blob").select(F.lit("openclaw_session_blob").alias("origin"), F.col("path").alias("record_key"), F.col("content").alias("text"))
-    return memories.unionByName(blobs).filter(F.col("record_key").isNotNull())
+    return spread(memories.unionByName(blobs).filter(F.col("record_key").isNotNull()))
 
 
 @cache
@@ -117,19 +117,19 @@ def p6_redacted(spark: SparkSession, folder: str) -> DataFrame:
 
 def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
     """The container of every document."""
-    return fill_containers(table(spark, folder, "documents"), "doc_id", "text")
+    return fill_containers(spread(table(spark, folder, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     """The subjects of every document, by a chain trained on the labelled ones."""
     docs = table(spark, folder, "documents")
     chain = train(docs, table(spark, folder, "subject_label"), table(spark, folder, "subject_area"))
-    return assign(docs, chain).distinct()
+    return assign(spread(docs), chain).distinct()
 
 
 def p9_leaks(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with each leaked item and how much they share."""
-    return leaks(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_item"), "item_id", "text")
+    return leaks(spread(table(spark, folder, "documents").select("doc_id", "text")), "doc_id", "text", table(spark, folder, "eval_item"), "item_id", "text")
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
