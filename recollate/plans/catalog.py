@@ -11,7 +11,7 @@ from recollate.functions.text import estimate_tokens, freshness, normalize_tag,
 from recollate.operators import chunking, duplicates, extraction, graph, retrieval, rollups, selection, similar, state
 from recollate.plans import model
 from recollate.plans.model import oracle
-from recollate.tables import table
+from recollate.tables import spread, table
 
 NOW = 1704067200 + 400 * 3600
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -412,7 +412,7 @@ def _subject_queries(s: SparkSession, d: str) -> list[tuple[int, str]]:
 
 @query(_BM25 + " SELECT CAST(query_id AS INTEGER) AS query_id, doc_id, tier, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 10")
 def full_text_search(s: SparkSession, d: str) -> DataFrame:
-    return retrieval.full_text(model.records(s, d), _subject_queries(s, d), 10).withColumn("score", F.round("score", 6))
+    return retrieval.full_text(spread(model.records(s, d)), _subject_queries(s, d), 10).withColumn("score", F.round("score", 6))
 
 
 _NEAREST = """SELECT a.vec_id AS query_id, b.vec_id AS vec_id, list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]) * list_inner_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS score
@@ -430,7 +430,7 @@ def vector_search(s: SparkSession, d: str) -> DataFrame:
 
 def _hybrid(s: SparkSession, d: str, limit: int = 10) -> DataFrame:
     pool = retrieval.pool_size(limit)
-    text = retrieval.full_text(model.records(s, d), _subject_queries(s, d), pool)
+    text = retrieval.full_text(spread(model.records(s, d)), _subject_queries(s, d), pool)
     vectors = table(s, d, "embeddings")
     queries = vectors.filter("vec_id < 8").select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     near = retrieval.nearest(vectors, queries, pool).select(F.col("query_id").cast("int").alias("query_id"), F.col("vec_id").alias("doc_id"), "score", "rank")
@@ -477,7 +477,7 @@ _JUDGED = """, subjects AS (SELECT subject, row_number() OVER (ORDER BY subject)
 def _evaluated(s: SparkSession, d: str) -> DataFrame:
     names = [(i, r) for i, r in enumerate(x[0] for x in table(s, d, "subject_area").select("subject").distinct().orderBy("subject").limit(1000).collect())]
     judged = table(s, d, "subject_label").join(F.broadcast(s.createDataFrame(names, "query_id int, subject string")), "subject").select("query_id", "doc_id", F.lit(1).alias("grade")).distinct()
-    return retrieval.evaluate(retrieval.full_text(model.records(s, d), _subject_queries(s, d), 10), judged, 10)
+    return retrieval.evaluate(retrieval.full_text(spread(model.records(s, d)), _subject_queries(s, d), 10), judged, 10)
 
 
 @query(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from recollate.operators.drift import drift_report, field_rows, unified, union_rows
 from recollate.operators.nested import flatten_records
 from recollate.operators.timestamps import with_instant
-from recollate.tables import table
+from recollate.tables import spread, table
 
 
 def _timed(spark: SparkSession, folder: str) -> DataFrame:
@@ -42,7 +42,7 @@ def _nested(spark: SparkSession, folder: str) -> DataFrame:
     notes = table(spark, folder, "memories").select(
         F.lit("memories").alias("origin"), F.concat(F.col("id"), F.lit("@"), F.col("export_no").cast("string")).alias("record_key"), F.when(F.col("metadata").rlike(r"^\s*\{"), F.col("metadata")).alias("text")
     )
-    return lines.unionByName(notes)
+    return spread(lines.unionByName(notes))
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
