@@ -3,10 +3,14 @@
 Three steps, all distributed:
 1. profile   - which fields each export has, with their JSON types (built-in expressions, partial aggregation)
 2. evidence  - for each field that a record lost and each it gained from one export to the next, how many records
-               hold the same value in both (window per record, then partial aggregation; no self-join)
+               hold the same value in both, with and without regard to its JSON type (window per record, then partial
+               aggregation; no self-join)
 3. flooding  - similarity flooding between the schema graphs of consecutive exports (fields, types, nesting),
-               started from name and value similarity and propagated to convergence, proposes correspondences;
-               an exact check on the evidence confirms a rename
+               started from name and value similarity and propagated to convergence
+
+A rename in the report is defined by values alone: full evidence, whatever the flooded score. Which fields become one in
+the unified table is chosen one to one by flooded score, first among the renames, then among the other pairs that agree
+in at least ``SUPPORT`` of their records, so that a rename with a change of type or with some differing values is found.
 
 A field is gone or new only if no row of an export has it, so rows of old layout in late exports keep it alive.
 Unreadable or non-object JSON and null labels contribute no field; rows without id carry no evidence; an export
@@ -25,6 +29,8 @@ from pyspark.sql import functions as F
 from recollate.operators.nested import strict_json
 
 EPSILON, ROUNDS = 1e-4, 60
+#: Share of the records with a lost field that must hold its value, whatever its type, in the gained one for a correspondence.
+SUPPORT = 0.8
 _GROUP = ("origin", "instance")
 
 
@@ -78,9 +84,11 @@ def _profile(rows: DataFrame) -> DataFrame:
 
 
 def _evidence(rows: DataFrame) -> DataFrame:
-    """Per origin and instance the list of (export_no, former export, lost field, gained field or null, records)."""
+    """Per origin and instance the list of (export_no, former export, lost field, gained field or null, records, those of one type)."""
     per_record = Window.partitionBy("origin", "instance", "id").orderBy("export_no", F.col("readable").desc())
-    slim = rows.filter(F.col("id").isNotNull()).select("origin", "instance", "export_no", "id", "readable", F.transform_values("fields", lambda _, c: c["h"]).alias("f"))
+    # h tells values with their types apart, v only their texts: 5 and "5" are alike.
+    value = lambda _, c: F.struct(c["h"].alias("h"), F.xxhash64(F.regexp_replace(c["j"], r'(?s)^"(.*)"$', "$1")).alias("v"))
+    slim = rows.filter(F.col("id").isNotNull()).select("origin", "instance", "export_no", "id", "readable", F.transform_values("fields", value).alias("f"))
     pairs = slim.select(
         "origin", "instance", "export_no", "readable", "f",
         F.lag("export_no").over(per_record).alias("former_no"), F.lag("f").over(per_record).alias("g"), F.lag("readable").over(per_record).alias("was_readable"),
@@ -88,10 +96,12 @@ def _evidence(rows: DataFrame) -> DataFrame:
     lost = F.array_except(F.map_keys("g"), F.map_keys("f"))
     gained = F.array_except(F.map_keys("f"), F.map_keys("g"))
     each = pairs.select("origin", "instance", "export_no", "former_no", "f", "g", gained.alias("gained"), F.explode(lost).alias("lost"))
-    same = F.filter("gained", lambda n: F.try_element_at(F.col("f"), n) == F.try_element_at(F.col("g"), F.col("lost")))
-    hits = each.select("origin", "instance", "export_no", "former_no", "lost", F.explode(F.concat(F.array(F.lit(None).cast("string")), same)).alias("gained"))
-    counted = hits.groupBy("origin", "instance", "export_no", "former_no", "lost", "gained").agg(F.count(F.lit(1)).alias("n"))
-    return counted.groupBy("origin", "instance").agg(F.collect_list(F.struct("export_no", "former_no", "lost", "gained", "n")).alias("evidence"))
+    at = lambda n, part: F.try_element_at(F.col("f"), n)[part] == F.try_element_at(F.col("g"), F.col("lost"))[part]
+    same = F.transform(F.filter("gained", lambda n: at(n, "v")), lambda n: F.struct(n.alias("gained"), at(n, "h").alias("exact")))
+    every = F.array(F.struct(F.lit(None).cast("string").alias("gained"), F.lit(False).alias("exact")))
+    hits = each.select("origin", "instance", "export_no", "former_no", "lost", F.inline(F.concat(every, same)))
+    counted = hits.groupBy("origin", "instance", "export_no", "former_no", "lost", "gained").agg(F.count(F.lit(1)).alias("n"), F.count_if("exact").alias("exact"))
+    return counted.groupBy("origin", "instance").agg(F.collect_list(F.struct("export_no", "former_no", "lost", "gained", "n", "exact")).alias("evidence"))
 
 
 def _trigrams(name: str) -> set[str]:
@@ -138,21 +148,28 @@ def flood(gone: dict[str, tuple], new: dict[str, tuple], agreement: dict[tuple[s
     return {(g, n): x for (g, n, kind), x in now.items() if kind == "field"}
 
 
-def correspondences(gone: dict[str, tuple], new: dict[str, tuple], shared: dict[tuple[str, str], int], total: dict[str, int]) -> list[tuple[str, str, float, bool]]:
-    """(gone, new, score, confirmed): the best one-to-one choice by flooded score, and every pair with full evidence."""
-    agreement = {p: n / total[p[0]] for p, n in shared.items()}
-    scores = flood(gone, new, agreement)
+def correspondences(
+    gone: dict[str, tuple], new: dict[str, tuple], shared: dict[tuple[str, str], int], total: dict[str, int], like: dict[tuple[str, str], int]
+) -> list[tuple[str, str, float, bool, bool]]:
+    """(gone, new, score, confirmed, chosen): every pair with full evidence, and the one-to-one choice by flooded score.
+
+    shared counts the records with the same value in both fields, like those with the same text of any type, total those with the gone field.
+    """
+    scores = flood(gone, new, {p: n / total[p[0]] for p, n in like.items()})
     exact = {p for p in scores if total.get(p[0], 0) and shared.get(p, 0) == total[p[0]]}
-    chosen, left, right = [], set(), set()
+    supported = {p for p in scores if total.get(p[0], 0) and like.get(p, 0) >= SUPPORT * total[p[0]]}
+    out, left, right = [], set(), set()
     for (g, n), score in sorted(scores.items(), key=lambda x: (x[0] not in exact, -x[1], x[0])):
-        if (g, n) in exact or (g not in left and n not in right):
-            chosen.append((g, n, score, (g, n) in exact))
+        chosen = (g, n) in supported and g not in left and n not in right
+        if chosen:
             left.add(g)
             right.add(n)
-    return chosen
+        if chosen or (g, n) in exact:
+            out.append((g, n, score, (g, n) in exact, chosen))
+    return out
 
 
-_OUT = "origin string, instance string, export_no int, field string, change string, former string, score double"
+_OUT = "origin string, instance string, export_no int, field string, change string, former string, score double, chosen boolean"
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,37 +185,42 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     fields[x["field"]] = tuple(x["types"])
             total: dict[tuple, dict[str, int]] = {}
             shared: dict[tuple, dict[tuple[str, str], int]] = {}
+            like: dict[tuple, dict[tuple[str, str], int]] = {}
             for x in row["evidence"] or ():
                 at = (x["former_no"], x["export_no"])
                 if x["gained"] is None:
                     total.setdefault(at, {})[x["lost"]] = x["n"]
                 else:
-                    shared.setdefault(at, {})[x["lost"], x["gained"]] = x["n"]
+                    shared.setdefault(at, {})[x["lost"], x["gained"]] = x["exact"]
+                    like.setdefault(at, {})[x["lost"], x["gained"]] = x["n"]
             numbers = sorted(exports)
             for before, after in zip(numbers, numbers[1:], strict=False):
                 a, b, at = exports[before], exports[after], (before, after)
                 gone, new = {k: a[k] for k in a.keys() - b.keys()}, {k: b[k] for k in b.keys() - a.keys()}
-                named = correspondences(gone, new, shared.get(at, {}), total.get(at, {}))
+                named = correspondences(gone, new, shared.get(at, {}), total.get(at, {}), like.get(at, {}))
                 renamed = [x for x in named if x[3]]
-                changes = [(n, "renamed", g, s) for g, n, s, _ in renamed]
-                changes += [(g, "removed", "", None) for g in gone.keys() - {x[0] for x in renamed}]
-                changes += [(n, "added", "", None) for n in new.keys() - {x[1] for x in renamed}]
-                changes += [(k, "retyped", "", None) for k in a.keys() & b.keys() if a[k] != b[k]]
+                changes = [(n, "renamed" if confirmed else "proposed", g, s, chosen) for g, n, s, confirmed, chosen in named]
+                changes += [(g, "removed", "", None, False) for g in gone.keys() - {x[0] for x in renamed}]
+                changes += [(n, "added", "", None, False) for n in new.keys() - {x[1] for x in renamed}]
+                changes += [(k, "retyped", "", None, False) for k in a.keys() & b.keys() if a[k] != b[k]]
                 out += [(row["origin"], row["instance"], after, *c) for c in changes]
-        names = ("origin", "instance", "export_no", "field", "change", "former", "score")
-        types = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.float64())
+        names = ("origin", "instance", "export_no", "field", "change", "former", "score", "chosen")
+        types = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.bool_())
         columns = zip(*out, strict=True) if out else [()] * len(names)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=list(names))
 
 
-def drift_report(rows: DataFrame) -> DataFrame:
-    """Each change from one export of an instance to the next: origin, instance, export_no, field, change, former, score.
+def drift_report(rows: DataFrame, proposed: bool = False) -> DataFrame:
+    """Each change from one export of an instance to the next: origin, instance, export_no, field, change, former, score, chosen.
 
-    rows as of field_rows. change is added, removed, renamed or retyped; score is the flooded similarity of a rename.
+    rows as of field_rows. change is added, removed, renamed or retyped; score is the flooded similarity of a rename, chosen whether
+    flooding chose it among all that concern its fields. With ``proposed``, the correspondences that flooding chose without full
+    evidence are listed as well, beside the removal and addition of their fields.
     """
     profile, evidence = _profile(rows), _evidence(rows)
     both = profile.join(evidence, [profile[c].eqNullSafe(evidence[c]) for c in _GROUP], "left")
-    return both.select(profile["origin"], profile["instance"], "profile", "evidence").mapInArrow(_compare, _OUT)
+    report = both.select(profile["origin"], profile["instance"], "profile", "evidence").mapInArrow(_compare, _OUT)
+    return report if proposed else report.filter("change <> 'proposed'")
 
 
 def _components(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,8 +245,8 @@ def _components(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def canonical_names(report: DataFrame) -> DataFrame:
-    """origin, field, canonical: renamed fields joined over all exports under the least of their names."""
-    pairs = report.filter("change = 'renamed'").groupBy("origin").agg(F.collect_set(F.struct("former", "field")).alias("pairs"))
+    """origin, field, canonical: chosen pairs of fields joined over all exports under the least of their names."""
+    pairs = report.filter("chosen").groupBy("origin").agg(F.collect_set(F.struct("former", "field")).alias("pairs"))
     return pairs.mapInArrow(_components, "origin string, field string, canonical string")
 
 

@@ -66,13 +66,13 @@ def _exports(spark: SparkSession, folder: str) -> DataFrame:
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """Each field added, removed, renamed or retyped from one export of an instance to the next."""
-    return drift_report(_exports(spark, folder)).drop("score")
+    return drift_report(_exports(spark, folder)).drop("score", "chosen")
 
 
 def p1_unified(spark: SparkSession, folder: str) -> DataFrame:
     """All exports in one consistent table, renamed fields under one name."""
     rows = _exports(spark, folder)
-    return unified(rows, drift_report(rows))
+    return unified(rows, drift_report(rows, proposed=True))
 
 
 QUERIES = {"p1_found": p1_found, "p1_unified": p1_unified, "p2_found": p2_found, "p2_nodes": p2_nodes, "p7_found": p7_found}

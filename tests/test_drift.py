@@ -62,3 +62,22 @@ def test_flooding_prefers_like_fields():
     scores = flood(gone, new, {})
     assert scores["m.session_id", "m.session"] > scores["m.session_id", "m.bytes"]
     assert scores["m.size", "m.bytes"] > scores["m.size", "m.session"]
+
+
+def test_flooding_decides_the_unified_table(spark):
+    # size becomes bytes with another type; in one of five records the value of session_id is another one in session
+    old = [(str(i), f'{{"size":{i},"session_id":"s{i}"}}', None, "i", 1, "") for i in range(5)]
+    new = [(str(i), f'{{"bytes":"{i}","session":"{"x" if i == 4 else "s"}{i}"}}', None, "i", 2, "") for i in range(5)]
+    rows, got = report(spark, old + new)
+    assert {c for _, _, _, c, _ in got} == {"removed", "added"}
+    names = {(r["field"], r["canonical"]) for r in canonical_names(drift_report(rows, proposed=True)).collect()}
+    size, session = "metadata_.bytes", "metadata_.session"
+    assert names == {(size, size), ("metadata_.size", size), (session, session), ("metadata_.session_id", session)}
+    # two new fields have full evidence: both are renames, the name decides which one continues the old field
+    rows, got = report(spark, [("1", '{"user_id":7}', None, "i", 1, ""), ("1", '{"age":7,"user":7}', None, "i", 2, "")])
+    assert {(f, c) for _, _, f, c, _ in got} == {("metadata_.age", "renamed"), ("metadata_.user", "renamed")}
+    names = {(r["field"], r["canonical"]) for r in canonical_names(drift_report(rows, proposed=True)).collect()}
+    assert names == {("metadata_.user", "metadata_.user"), ("metadata_.user_id", "metadata_.user")}
+    # fields that agree by chance in few records stay apart
+    rows, _ = report(spark, [(str(i), f'{{"a":{i % 2}}}', None, "i", 1, "") for i in range(4)] + [(str(i), '{"z":1}', None, "i", 2, "") for i in range(4)])
+    assert canonical_names(drift_report(rows, proposed=True)).count() == 0
