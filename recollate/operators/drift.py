@@ -49,23 +49,26 @@ def _cell(v: Column) -> Column:
     return F.struct(named.alias("t"), F.xxhash64(named, text).alias("h"), F.coalesce(text, F.lit("null")).alias("j"))
 
 
-def field_rows(df: DataFrame, origin: str, json_col: str, prefix: str, label_col: str | None = None) -> DataFrame:
+def field_rows(df: DataFrame, origin: str, json_col: str, prefix: str, label_col: str | None = None, others: bool = False) -> DataFrame:
     """origin, instance, export_no, id, readable, fields: one row per record and export; fields maps a name to type, hash, text.
 
-    Exact copies are folded first. Other columns of df are ignored, whatever their names.
+    Exact copies are folded first. Other columns of df are ignored, whatever their names; with ``others`` they are kept in front
+    of ``readable``, with the JSON text itself where it is no object as ``unread``, and only rows alike in all of them are copies.
     """
     label = F.col(label_col) if label_col else F.lit(None).cast("string")
-    raw = df.select(F.lit(origin).alias("origin"), "instance", "export_no", "id", F.col(json_col).alias("__json"), label.alias("__label")).distinct()
+    kept = [c for c in df.columns if others and c not in ("instance", "export_no", "id", json_col, label_col)]
+    raw = df.select(F.lit(origin).alias("origin"), "instance", "export_no", "id", *kept, F.col(json_col).alias("__json"), label.alias("__label")).distinct()
     members = F.try_variant_get(strict_json(F.when(F.col("__json").rlike(r"^\s*\{"), F.col("__json"))), "$", "map<string,variant>")
     listed = strict_json(F.when(F.col("__label").rlike(r"^\s*\["), F.col("__label")))
-    parsed = raw.select("origin", "instance", "export_no", "id", "__label", F.inline(F.array(F.struct(members.alias("__m"), listed.alias("__l")))))
+    parsed = raw.select("origin", "instance", "export_no", "id", *kept, "__json", "__label", F.inline(F.array(F.struct(members.alias("__m"), listed.alias("__l")))))
     of_json = F.transform(F.map_entries("__m"), lambda e: F.struct(F.concat(F.lit(f"{prefix}."), e["key"]).alias("key"), _cell(e["value"]).alias("value")))
     quoted = F.regexp_extract(F.to_json(F.array("__label")), r"(?s)^\[(.*)\]$", 1)
     plain = F.struct(F.lit("string").alias("t"), F.xxhash64(F.lit("string"), quoted).alias("h"), quoted.alias("j"))
     of_label = F.when(F.col("__label").isNotNull(), F.array(F.struct(F.lit("label").alias("key"), F.when(F.col("__l").isNotNull(), _cell(F.col("__l"))).otherwise(plain).alias("value"))))
     none = F.filter(F.array(_null_entry()), lambda _: F.lit(False))
     entries = F.concat(F.coalesce(of_json, none), F.coalesce(of_label, none))
-    return parsed.select("origin", "instance", "export_no", "id", F.col("__m").isNotNull().alias("readable"), F.map_from_entries(entries).alias("fields"))
+    kept += [F.when(F.col("__m").isNull(), F.col("__json")).alias("unread")] if others else []
+    return parsed.select("origin", "instance", "export_no", "id", *kept, F.col("__m").isNotNull().alias("readable"), F.map_from_entries(entries).alias("fields"))
 
 
 def _null_entry() -> Column:
@@ -251,21 +254,24 @@ def canonical_names(report: DataFrame) -> DataFrame:
 
 
 def unified(rows: DataFrame, report: DataFrame) -> DataFrame:
-    """One consistent table of all exports: origin, instance, export_no, id, attributes.
+    """One consistent table of all exports, a row for each of rows: its columns, with attributes in place of readable and fields.
 
     attributes is a JSON object text of canonical field name to the value's JSON text, sorted by name, every value cast to text, the type all
-    layouts share. Where a row holds two names of one field the one that sorts first wins.
+    layouts share. Where a row holds two names of one field the one that sorts first gets the canonical name, others keep their own.
+    Names are resolved inside each row, so rows without id or with a repeated key stay as they are.
     """
-    long = rows.select("origin", "instance", "export_no", "id", F.explode_outer(F.map_entries("fields")).alias("e"))
-    flat = long.select("origin", "instance", "export_no", "id", F.col("e.key").alias("field"), F.col("e.value.j").alias("value"))
-    named = flat.join(canonical_names(report), ["origin", "field"], "left").withColumn("name", F.coalesce("canonical", "field"))
-    grouped = named.groupBy("origin", "instance", "export_no", "id").agg(
-        F.array_sort(F.collect_set(F.when(F.col("name").isNotNull(), F.struct("name", "field", "value")))).alias("cells")
-    )
-    first = F.filter("cells", lambda c, i: (i == 0) | (F.try_element_at("cells", i)["name"] != c["name"]))
-    return grouped.select("origin", "instance", "export_no", "id", F.to_json(F.map_from_entries(F.transform(first, lambda c: F.struct(c["name"], c["value"])))).alias("attributes"))
+    columns = [c for c in rows.columns if c not in ("readable", "fields")]
+    names = canonical_names(report).groupBy("origin").agg(F.map_from_entries(F.collect_list(F.struct("field", "canonical"))).alias("__names"))
+    joined = rows.join(F.broadcast(names), "origin", "left")
+    entries = F.array_sort(F.transform(F.map_entries("fields"), lambda e: F.struct(e["key"].alias("field"), e["value"]["j"].alias("value"))))
+    cells = F.transform(entries, lambda e: F.struct(F.coalesce(F.try_element_at("__names", e["field"]), e["field"]).alias("name"), e["field"].alias("field"), e["value"].alias("value")))
+    listed = joined.select(*columns, F.inline(F.array(F.struct(cells.alias("__cells")))))
+    named = listed.select(*columns, "__cells", F.inline(F.array(F.struct(F.transform("__cells", lambda c: c["name"]).alias("__of")))))
+    own = F.transform("__cells", lambda c, i: F.struct(F.when(F.array_position("__of", c["name"]) == i + 1, c["name"]).otherwise(c["field"]).alias("key"), c["value"].alias("value")))
+    return named.select(*columns, F.to_json(F.map_from_entries(F.array_sort(own))).alias("attributes"))
 
 
 def union_rows(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
+    """All rows; a column that a part lacks is null there."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 

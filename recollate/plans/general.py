@@ -55,11 +55,11 @@ def p2_nodes(spark: SparkSession, folder: str) -> DataFrame:
     return flatten_records(_nested(spark, folder), ["origin", "record_key"], "text", with_node=True)
 
 
-def _exports(spark: SparkSession, folder: str) -> DataFrame:
+def _exports(spark: SparkSession, folder: str, others: bool = False) -> DataFrame:
     return union_rows(
         [
-            field_rows(table(spark, folder, "memories"), "memories", "metadata", "metadata"),
-            field_rows(table(spark, folder, "block"), "block", "metadata_", "metadata_", "label"),
+            field_rows(table(spark, folder, "memories"), "memories", "metadata", "metadata", others=others),
+            field_rows(table(spark, folder, "block"), "block", "metadata_", "metadata_", "label", others=others),
         ]
     )
 
@@ -70,9 +70,8 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_unified(spark: SparkSession, folder: str) -> DataFrame:
-    """All exports in one consistent table, renamed fields under one name."""
-    rows = _exports(spark, folder)
-    return unified(rows, drift_report(rows, proposed=True))
+    """All exports in one consistent table with all columns of both, renamed fields under one name."""
+    return unified(_exports(spark, folder, others=True), drift_report(_exports(spark, folder), proposed=True))
 
 
 QUERIES = {"p1_found": p1_found, "p1_unified": p1_unified, "p2_found": p2_found, "p2_nodes": p2_nodes, "p7_found": p7_found}

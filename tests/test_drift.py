@@ -81,3 +81,38 @@ def test_flooding_decides_the_unified_table(spark):
     # fields that agree by chance in few records stay apart
     rows, _ = report(spark, [(str(i), f'{{"a":{i % 2}}}', None, "i", 1, "") for i in range(4)] + [(str(i), '{"z":1}', None, "i", 2, "") for i in range(4)])
     assert canonical_names(drift_report(rows, proposed=True)).count() == 0
+
+
+def test_unified_rows_stay_apart(spark):
+    data = [
+        ("1", '{"a":1}', None, "i", 1, "v"),
+        ("1", '{"b":1,"a":2}', None, "i", 2, "v"),  # both names of a field
+        ("2", '{"a":3}', None, "i", 1, "v"),
+        ("2", '{"b":3}', None, "i", 2, "v"),
+        ("2", '{"b":4}', None, "i", 2, "v"),  # a key with two values
+        ("2", '{"b":4}', None, "i", 2, "w"),  # and with two values of another column
+        ("2", '{"b":4}', None, "i", 2, "w"),  # an exact copy
+        (None, '{"a":5}', None, "i", 1, "x"),
+        (None, '{"a":6}', "L", "i", 1, None),
+        (None, "torn {", None, "i", 1, "y"),
+    ]
+    df = spark.createDataFrame(data, SCHEMA)
+    changes = spark.createDataFrame([("block", "metadata_.b", "metadata_.a", True)], "origin string, field string, former string, chosen boolean")
+    table = unified(field_rows(df, "block", "metadata_", "metadata_", "label", others=True), changes)
+    assert table.columns == ["origin", "instance", "export_no", "id", "value", "unread", "attributes"]
+    got = [(r["id"], r["export_no"], r["value"], r["unread"], r["attributes"]) for r in table.collect()]
+    a = lambda n: f'{{"metadata_.a":"{n}"}}'
+    assert sorted(got, key=str) == sorted(
+        [
+            ("1", 1, "v", None, a(1)),
+            ("1", 2, "v", None, '{"metadata_.a":"2","metadata_.b":"1"}'),
+            ("2", 1, "v", None, a(3)),
+            ("2", 2, "v", None, a(3)),
+            ("2", 2, "v", None, a(4)),
+            ("2", 2, "w", None, a(4)),
+            (None, 1, "x", None, a(5)),
+            (None, 1, None, None, '{"label":"\\"L\\"","metadata_.a":"6"}'),
+            (None, 1, "y", "torn {", "{}"),
+        ],
+        key=str,
+    )
