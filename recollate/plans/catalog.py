@@ -294,9 +294,14 @@ def near_duplicate_pairs(s: SparkSession, d: str) -> DataFrame:
     return similar.near_pairs(_facts(s, d)).withColumn("similarity", F.round("similarity", 6))
 
 
+@query()
+def near_duplicate_record_pairs(s: SparkSession, d: str) -> DataFrame:
+    return similar.near_pairs(model.records(s, d)).withColumn("similarity", F.round("similarity", 6))
+
+
 @query()
 def near_duplicate_groups(s: SparkSession, d: str) -> DataFrame:
-    return similar.near_groups(_facts(s, d))
+    return similar.near_groups(model.records(s, d))
 
 
 # --- lineage
