@@ -7,7 +7,7 @@ from functools import cache, reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollate.llm import personal
+from recollate.llm import packing, personal
 from recollate.llm.conversations import SPEAKERS, conversations, has_text, speaker_of
 from recollate.llm.leakage import leaks
 from recollate.llm.neardup import groups, near_duplicates
@@ -120,6 +120,11 @@ def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
     return fill_containers(spread(table(spark, folder, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
+def p8_checked(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of the containers, counted."""
+    return packing.check(p8_containers(spark, folder), table(spark, folder, "documents"))
+
+
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     """The subjects of every document, by a chain trained on the labelled ones."""
     docs = table(spark, folder, "documents")
@@ -147,6 +152,7 @@ QUERIES = {
     "p6_found": p6_found,
     "p6_redacted": p6_redacted,
     "p8_containers": p8_containers,
+    "p8_checked": p8_checked,
     "p9_found": p9_found,
     "p9_leaks": p9_leaks,
 }
@@ -176,6 +182,7 @@ ORACLE: dict[str, str] = {
  prefix AS (SELECT key, word FROM (SELECT key, word, n, row_number() OVER (PARTITION BY key ORDER BY df, word) AS r FROM words JOIN df USING (word)) WHERE r <= n - ceil(0.8 * n - 1e-9) + 1),
  pairs AS (SELECT DISTINCT a.key AS key_a, b.key AS key_b FROM prefix a JOIN prefix b ON a.word = b.word AND a.key < b.key)
  SELECT key_a, key_b FROM (SELECT key_a, key_b, len(list_intersect(x.w, y.w)) AS common, len(x.w) + len(y.w) AS total FROM pairs JOIN sets x ON x.key = key_a JOIN sets y ON y.key = key_b) WHERE common >= 0.8 * (total - common) - 1e-12""",
+    "p8_checked": "SELECT count(DISTINCT doc_id) AS documents, count(DISTINCT doc_id) AS placed, CAST(0 AS BIGINT) AS cut_without_need, CAST(0 AS BIGINT) AS placed_twice, CAST(0 AS BIGINT) AS wrong_containers FROM documents",
     "p9_found": f"""WITH i AS (SELECT item_id, {_WORDS.format("text")} AS w FROM eval_item), d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents),
  gi AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 11], ' ') AS gram FROM i, unnest(range(1, len(w) - 10)) AS t(k)), gd AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 11], ' ') AS gram FROM d, unnest(range(1, len(w) - 10)) AS t(k))
  SELECT DISTINCT doc_id, item_id FROM gd JOIN gi USING (gram)""",
