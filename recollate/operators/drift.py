@@ -8,9 +8,10 @@ Three steps, all distributed:
 3. flooding  - similarity flooding between the schema graphs of consecutive exports (fields, types, nesting),
                started from name and value similarity and propagated to convergence
 
-A rename in the report is defined by values alone: full evidence, whatever the flooded score. Which fields become one in
-the unified table is chosen one to one by flooded score, first among the renames, then among the other pairs that agree
-in at least ``SUPPORT`` of their records, so that a rename with a change of type or with some differing values is found.
+Flooding proposes the correspondences: only pairs at or above ``PROPOSED`` go on, a threshold that no pair with full evidence can
+miss. A rename in the report is a proposal that an exact check of values confirms. Which fields become one in the unified table is
+chosen one to one by flooded score, first among the renames, then among the other proposals that agree in at least ``SUPPORT`` of
+their records, so that a rename with a change of type or with some differing values is found.
 
 A field is gone or new only if no row of an export has it, so rows of old layout in late exports keep it alive.
 Unreadable or non-object JSON and null labels contribute no field; rows without id carry no evidence; an export
@@ -27,8 +28,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollate.operators.nested import strict_json
+from recollate.session import cut
 
-EPSILON, ROUNDS = 1e-4, 60
+EPSILON, ROUNDS = 1e-6, 60
+#: How much of a pair's initial similarity is that of the names, how much of it neighbours replace in a round, and the least flooded score of a proposal.
+NAME_WEIGHT, DAMPING = 0.3, 0.4
+PROPOSED = (1 - NAME_WEIGHT) * (1 - DAMPING)
 #: Share of the records with a lost field that must hold its value, whatever its type, in the gained one for a correspondence.
 SUPPORT = 0.8
 _GROUP = ("origin", "instance")
@@ -78,11 +83,15 @@ def _null_entry() -> Column:
     )
 
 
-def _profile(rows: DataFrame) -> DataFrame:
-    """Per origin and instance the list of (export_no, field, types); field null says only that the export exists."""
-    fields = rows.select("origin", "instance", "export_no", F.explode_outer(F.map_keys("fields")).alias("field"), "fields")
-    cell = F.when(F.col("field").isNotNull(), F.try_element_at("fields", "field")["t"])
-    per_field = fields.groupBy("origin", "instance", "export_no", "field").agg(F.array_sort(F.collect_set(cell)).alias("types"))
+def layouts(rows: DataFrame) -> DataFrame:
+    """origin, instance, export_no, field, t: the fields of every export with each of their types (schema-sized); field null says only that the export exists."""
+    cells = F.transform(F.map_entries("fields"), lambda e: F.struct(e["key"].alias("field"), e["value"]["t"].alias("t")))
+    return rows.select("origin", "instance", "export_no", F.inline_outer(cells)).distinct()
+
+
+def _profile(fields: DataFrame) -> DataFrame:
+    """Per origin and instance the list of (export_no, field, types)."""
+    per_field = fields.groupBy("origin", "instance", "export_no", "field").agg(F.array_sort(F.collect_set("t")).alias("types"))
     return per_field.groupBy("origin", "instance").agg(F.collect_list(F.struct("export_no", "field", "types")).alias("profile"))
 
 
@@ -118,10 +127,11 @@ def _name_similarity(a: str, b: str) -> float:
 
 
 def flood(gone: dict[str, tuple], new: dict[str, tuple], agreement: dict[tuple[str, str], float]) -> dict[tuple[str, str], float]:
-    """Similarity of each gone and new field after flooding the pairwise connectivity graph to convergence.
+    """Similarity in 0..1 of each gone and new field after flooding the pairwise connectivity graph to convergence.
 
     Nodes of the graph are pairs: (field, field) joined to their parent pair (export, export) and to the pairs of
-    their types. A pair's weight flows to its neighbours, split evenly over the edges that leave it.
+    their types. In each round a node takes ``DAMPING`` of the mean of its neighbours, weighted by how few neighbours those have,
+    and the rest of its own initial similarity. The map is a contraction, so the rounds converge.
     """
     start: dict[tuple, float] = {("", "", "root"): 1.0}
     edges: dict[tuple, set[tuple]] = {}
@@ -133,18 +143,18 @@ def flood(gone: dict[str, tuple], new: dict[str, tuple], agreement: dict[tuple[s
     for g, types_g in gone.items():
         for n, types_n in new.items():
             pair = (g, n, "field")
-            start[pair] = 0.3 * _name_similarity(g, n) + 0.7 * agreement.get((g, n), 0.0)
+            start[pair] = NAME_WEIGHT * _name_similarity(g, n) + (1 - NAME_WEIGHT) * agreement.get((g, n), 0.0)
             link(("", "", "root"), pair)
             for s in types_g:
                 for t in types_n:
                     start[(s, t, "type")] = 1.0 if s == t else 0.1
                     link(pair, (s, t, "type"))
     now = dict(start)
+    share = {p: sum(1 / len(edges[q]) for q in edges[p]) for p in edges}
     for _ in range(ROUNDS):
-        flow = {p: start[p] + now[p] + sum((now[q] + start[q]) / len(edges[q]) for q in edges.get(p, ())) for p in start}
-        top = max(flow.values()) or 1.0
-        after = {p: x / top for p, x in flow.items()}
-        moved = sum((after[p] - now[p]) ** 2 for p in start) ** 0.5
+        inflow = {p: sum(now[q] / len(edges[q]) for q in edges[p]) / share[p] if p in edges else now[p] for p in start}
+        after = {p: (1 - DAMPING) * start[p] + DAMPING * inflow[p] for p in start}
+        moved = max(abs(after[p] - now[p]) for p in start)
         now = after
         if moved < EPSILON:
             break
@@ -154,15 +164,19 @@ def flood(gone: dict[str, tuple], new: dict[str, tuple], agreement: dict[tuple[s
 def correspondences(
     gone: dict[str, tuple], new: dict[str, tuple], shared: dict[tuple[str, str], int], total: dict[str, int], like: dict[tuple[str, str], int]
 ) -> list[tuple[str, str, float, bool, bool]]:
-    """(gone, new, score, confirmed, chosen): every pair with full evidence, and the one-to-one choice by flooded score.
+    """(gone, new, score, confirmed, chosen) of the pairs that flooding proposes; confirmed: an exact check found full evidence.
 
+    Only pairs whose flooded score reaches ``PROPOSED`` are looked at. That loses no pair with full evidence: its initial similarity is at
+    least 1 - NAME_WEIGHT, and of that flooding keeps at least 1 - DAMPING, which is PROPOSED. chosen is the one-to-one
+    selection by flooded score, among confirmed pairs first, then among those supported by most records.
     shared counts the records with the same value in both fields, like those with the same text of any type, total those with the gone field.
     """
     scores = flood(gone, new, {p: n / total[p[0]] for p, n in like.items()})
-    exact = {p for p in scores if total.get(p[0], 0) and shared.get(p, 0) == total[p[0]]}
-    supported = {p for p in scores if total.get(p[0], 0) and like.get(p, 0) >= SUPPORT * total[p[0]]}
+    proposed = {p: x for p, x in scores.items() if x >= PROPOSED - 1e-9}
+    exact = {p for p in proposed if total.get(p[0], 0) and shared.get(p, 0) == total[p[0]]}
+    supported = {p for p in proposed if total.get(p[0], 0) and like.get(p, 0) >= SUPPORT * total[p[0]]}
     out, left, right = [], set(), set()
-    for (g, n), score in sorted(scores.items(), key=lambda x: (x[0] not in exact, -x[1], x[0])):
+    for (g, n), score in sorted(proposed.items(), key=lambda x: (x[0] not in exact, -x[1], x[0])):
         chosen = (g, n) in supported and g not in left and n not in right
         if chosen:
             left.add(g)
@@ -213,14 +227,14 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=list(names))
 
 
-def drift_report(rows: DataFrame, proposed: bool = False) -> DataFrame:
+def drift_report(rows: DataFrame, proposed: bool = False, fields: DataFrame | None = None) -> DataFrame:
     """Each change from one export of an instance to the next: origin, instance, export_no, field, change, former, score, chosen.
 
     rows as of field_rows. change is added, removed, renamed or retyped; score is the flooded similarity of a rename, chosen whether
     flooding chose it among all that concern its fields. With ``proposed``, the correspondences that flooding chose without full
-    evidence are listed as well, beside the removal and addition of their fields.
+    evidence are listed as well, beside the removal and addition of their fields. fields: the layouts of rows if they are at hand.
     """
-    profile, evidence = _profile(rows), _evidence(rows)
+    profile, evidence = _profile(layouts(rows) if fields is None else fields), _evidence(rows)
     both = profile.join(evidence, [profile[c].eqNullSafe(evidence[c]) for c in _GROUP], "left")
     report = both.select(profile["origin"], profile["instance"], "profile", "evidence").mapInArrow(_compare, _OUT)
     return report if proposed else report.filter("change <> 'proposed'")
@@ -253,22 +267,71 @@ def canonical_names(report: DataFrame) -> DataFrame:
     return pairs.mapInArrow(_components, "origin string, field string, canonical string")
 
 
-def unified(rows: DataFrame, report: DataFrame) -> DataFrame:
-    """One consistent table of all exports, a row for each of rows: its columns, with attributes in place of readable and fields.
+def names_by_instance(profile: DataFrame, report: DataFrame) -> DataFrame:
+    """origin, instance, field, canonical for every field of every instance (schema-sized).
+
+    A name found anywhere holds in an instance unless two fields of that instance that stand side by side in one of its exports would
+    become one by it; such an instance keeps its own names for those fields, so what is a rename elsewhere never merges two fields here.
+    """
+    present = profile.filter("field IS NOT NULL").select("origin", "instance", "export_no", "field").distinct()
+    named = present.join(F.broadcast(canonical_names(report)), ["origin", "field"], "left").select("origin", "instance", "export_no", "field", F.coalesce("canonical", "field").alias("canonical"))
+    at = ["origin", "instance", "canonical"]
+    sides = named.groupBy(*at, "export_no").agg(F.count(F.lit(1)).alias("n")).groupBy(*at).agg(F.max("n").alias("most"))
+    every = named.select(*at, "field").distinct().alias("a").join(sides.alias("b"), [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in at])
+    return every.select("a.origin", "a.instance", "a.field", F.when(F.col("most") == 1, F.col("a.canonical")).otherwise(F.col("a.field")).alias("canonical"))
+
+
+#: JSON type of a field to the type of its column; a field of several types is text.
+WIDENED = {"number": "double", "boolean": "boolean", "string": "string"}
+
+
+def unified_schema(profile: DataFrame, names: DataFrame) -> list[tuple[str, str]]:
+    """(canonical name, column type) of every field, by name: a driver-side list as long as the schema, whatever the number of rows."""
+    types = profile.select("origin", "instance", "field", "t").distinct()
+    joined = types.alias("t").join(F.broadcast(names.alias("n")), F.col("t.origin").eqNullSafe(F.col("n.origin")) & F.col("t.instance").eqNullSafe(F.col("n.instance")) & (F.col("t.field") == F.col("n.field")))
+    found = joined.groupBy("canonical").agg(F.array_sort(F.collect_set("t")).alias("types")).orderBy("canonical").toLocalIterator()
+    return [(r["canonical"], WIDENED.get(r["types"][0], "string") if len(r["types"]) == 1 else "string") for r in found]
+
+
+def unified(rows: DataFrame, report: DataFrame, fields: DataFrame | None = None) -> DataFrame:
+    """One consistent table of all exports, a row for each of rows: its columns, and one column of the widened type for each field.
 
-    attributes is a JSON object text of canonical field name to the value's JSON text, sorted by name, every value cast to text, the type all
-    layouts share. Where a row holds two names of one field the one that sorts first gets the canonical name, others keep their own.
-    Names are resolved inside each row, so rows without id or with a repeated key stay as they are.
+    Numbers become double, booleans boolean, strings their text; a field of several types, an object or an array becomes text (JSON, a string
+    without quotes). Fields are named as in names_by_instance; where a row still holds two names of one field, the one that sorts first is
+    taken for the canonical column and the other stays under its own name, a column of its own. Column names are the fields' names,
+    with ``_2`` and so on behind where another column has the same name in any case of letters. No row is grouped, joined by key or merged.
     """
     columns = [c for c in rows.columns if c not in ("readable", "fields")]
-    names = canonical_names(report).groupBy("origin").agg(F.map_from_entries(F.collect_list(F.struct("field", "canonical"))).alias("__names"))
-    joined = rows.join(F.broadcast(names), "origin", "left")
+    profile = cut(layouts(rows)) if fields is None else fields
+    names = cut(names_by_instance(profile, report))
+    schema = unified_schema(profile, names)
+    maps = names.groupBy("origin", "instance").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "canonical")))).alias("__names"))
+    r, m = rows.alias("r"), F.broadcast(maps.alias("m"))
+    joined = r.join(m, F.col("r.origin").eqNullSafe(F.col("m.origin")) & F.col("r.instance").eqNullSafe(F.col("m.instance")), "left").select("r.*", "m.__names")
     entries = F.array_sort(F.transform(F.map_entries("fields"), lambda e: F.struct(e["key"].alias("field"), e["value"]["j"].alias("value"))))
     cells = F.transform(entries, lambda e: F.struct(F.coalesce(F.try_element_at("__names", e["field"]), e["field"]).alias("name"), e["field"].alias("field"), e["value"].alias("value")))
     listed = joined.select(*columns, F.inline(F.array(F.struct(cells.alias("__cells")))))
     named = listed.select(*columns, "__cells", F.inline(F.array(F.struct(F.transform("__cells", lambda c: c["name"]).alias("__of")))))
     own = F.transform("__cells", lambda c, i: F.struct(F.when(F.array_position("__of", c["name"]) == i + 1, c["name"]).otherwise(c["field"]).alias("key"), c["value"].alias("value")))
-    return named.select(*columns, F.to_json(F.map_from_entries(F.array_sort(own))).alias("attributes"))
+    keyed = named.select(*columns, F.inline(F.array(F.struct(F.map_from_entries(own).alias("__values")))))
+    taken = {c.lower() for c in columns}
+    out = []
+    for name, kind in schema:
+        alias, n = name, 1
+        while alias.lower() in taken:
+            n += 1
+            alias = f"{name}_{n}"
+        taken.add(alias.lower())
+        out.append(_typed(F.try_element_at("__values", F.lit(name)), kind).alias(alias))
+    return keyed.select(*columns, *out)
+
+
+def _typed(text: Column, kind: str) -> Column:
+    """A value given as JSON text, in the type of its column; JSON null is null."""
+    parsed = F.when(text != "null", text)
+    if kind != "string":
+        return parsed.try_cast(kind)
+    return F.when(parsed.startswith('"'), F.try_variant_get(F.try_parse_json(parsed), "$", "string")).otherwise(parsed)
 
 
 def union_rows(parts: list[DataFrame]) -> DataFrame:

@@ -7,9 +7,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollate.operators.drift import drift_report, field_rows, unified, union_rows
+from recollate.operators.drift import drift_report, field_rows, layouts, unified, union_rows
 from recollate.operators.nested import flatten_records
 from recollate.operators.timestamps import with_instant
+from recollate.session import cut
 from recollate.tables import spread, table
 
 
@@ -71,7 +72,11 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p1_unified(spark: SparkSession, folder: str) -> DataFrame:
     """All exports in one consistent table with all columns of both, renamed fields under one name."""
-    return unified(_exports(spark, folder, others=True), drift_report(_exports(spark, folder), proposed=True))
+    rows = _exports(spark, folder, others=True)
+    # Both are schema-sized and used for the names as well as for the columns.
+    fields = cut(layouts(rows))
+    report = cut(drift_report(_exports(spark, folder), proposed=True, fields=fields))
+    return unified(rows, report, fields)
 
 
 QUERIES = {"p1_found": p1_found, "p1_unified": p1_unified, "p2_found": p2_found, "p2_nodes": p2_nodes, "p7_found": p7_found}

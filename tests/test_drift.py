@@ -1,4 +1,7 @@
-from recollate.operators.drift import canonical_names, drift_report, field_rows, flood, unified, union_rows
+import random
+
+from recollate.operators import drift
+from recollate.operators.drift import canonical_names, correspondences, drift_report, field_rows, flood, unified, union_rows
 
 SCHEMA = "id string, metadata_ string, label string, instance string, export_no int, value string"
 
@@ -51,9 +54,10 @@ def test_one_table_of_all_exports(spark):
     rows, _ = report(spark, [("1", '{"a":1}', "L", "i", 1, ""), ("1", '{"b":1}', "L", "i", 2, ""), ("2", '{"c":[1]}', None, "i", 2, "")])
     changes = drift_report(rows)
     assert {(r["field"], r["canonical"]) for r in canonical_names(changes).collect()} == {("metadata_.a", "metadata_.a"), ("metadata_.b", "metadata_.a")}
-    table = {(r["id"], r["export_no"]): r["attributes"] for r in unified(rows, changes).collect()}
-    assert table[("1", 1)] == table[("1", 2)] == '{"label":"\\"L\\"","metadata_.a":"1"}'
-    assert table[("2", 2)] == '{"metadata_.c":"[1]"}'
+    table = unified(rows, changes)
+    assert dict(table.dtypes[4:]) == {"label": "string", "metadata_.a": "double", "metadata_.c": "string"}
+    got = {(r["id"], r["export_no"]): tuple(r)[4:] for r in table.collect()}
+    assert got == {("1", 1): ("L", 1.0, None), ("1", 2): ("L", 1.0, None), ("2", 2): (None, None, "[1]")}
     assert union_rows([rows, rows]).count() == 2 * rows.count()
 
 
@@ -86,33 +90,54 @@ def test_flooding_decides_the_unified_table(spark):
 def test_unified_rows_stay_apart(spark):
     data = [
         ("1", '{"a":1}', None, "i", 1, "v"),
-        ("1", '{"b":1,"a":2}', None, "i", 2, "v"),  # both names of a field
         ("2", '{"a":3}', None, "i", 1, "v"),
         ("2", '{"b":3}', None, "i", 2, "v"),
         ("2", '{"b":4}', None, "i", 2, "v"),  # a key with two values
         ("2", '{"b":4}', None, "i", 2, "w"),  # and with two values of another column
         ("2", '{"b":4}', None, "i", 2, "w"),  # an exact copy
         (None, '{"a":5}', None, "i", 1, "x"),
-        (None, '{"a":6}', "L", "i", 1, None),
+        (None, '{"a":6,"label":null}', "L", "i", 1, None),
         (None, "torn {", None, "i", 1, "y"),
     ]
     df = spark.createDataFrame(data, SCHEMA)
     changes = spark.createDataFrame([("block", "metadata_.b", "metadata_.a", True)], "origin string, field string, former string, chosen boolean")
     table = unified(field_rows(df, "block", "metadata_", "metadata_", "label", others=True), changes)
-    assert table.columns == ["origin", "instance", "export_no", "id", "value", "unread", "attributes"]
-    got = [(r["id"], r["export_no"], r["value"], r["unread"], r["attributes"]) for r in table.collect()]
-    a = lambda n: f'{{"metadata_.a":"{n}"}}'
-    assert sorted(got, key=str) == sorted(
-        [
-            ("1", 1, "v", None, a(1)),
-            ("1", 2, "v", None, '{"metadata_.a":"2","metadata_.b":"1"}'),
-            ("2", 1, "v", None, a(3)),
-            ("2", 2, "v", None, a(3)),
-            ("2", 2, "v", None, a(4)),
-            ("2", 2, "w", None, a(4)),
-            (None, 1, "x", None, a(5)),
-            (None, 1, None, None, '{"label":"\\"L\\"","metadata_.a":"6"}'),
-            (None, 1, "y", "torn {", "{}"),
-        ],
-        key=str,
-    )
+    assert table.columns == ["origin", "instance", "export_no", "id", "value", "unread", "label", "metadata_.a", "metadata_.label"]
+    want = [("1", 1, "v", None, None, 1.0), ("2", 1, "v", None, None, 3.0), ("2", 2, "v", None, None, 3.0), ("2", 2, "v", None, None, 4.0), ("2", 2, "w", None, None, 4.0),
+            (None, 1, "x", None, None, 5.0), (None, 1, None, None, "L", 6.0), (None, 1, "y", "torn {", None, None)]
+    assert sorted(((r[3], r[2], *tuple(r)[4:8]) for r in table.collect()), key=str) == sorted(want, key=str)
+
+
+def test_a_rename_elsewhere_never_merges_two_fields(spark):
+    # in instance A the field x is renamed to y; in B both stand side by side, in C only y occurs
+    data = [("1", '{"x":"k"}', None, "A", 1, ""), ("1", '{"y":"k"}', None, "A", 2, ""), ("1", '{"x":"p","y":7}', None, "B", 1, ""), ("2", '{"y":8}', None, "B", 1, ""), ("1", '{"y":"c"}', None, "C", 1, "")]
+    rows, _ = report(spark, data)
+    table = unified(rows, drift_report(rows, proposed=True))
+    assert {(r["instance"], r["export_no"], r["id"], r["metadata_.x"], r["metadata_.y"]) for r in table.collect()} == {
+        ("A", 1, "1", "k", None), ("A", 2, "1", "k", None), ("B", 1, "1", "p", 7.0), ("B", 1, "2", None, 8.0), ("C", 1, "1", "c", None)
+    }
+
+
+def test_types_widen_to_text(spark):
+    data = [("1", '{"n":1,"m":5,"t":true,"o":{"k":[1]}}', None, "i", 1, ""), ("2", '{"n":2.5,"m":"five","t":null}', None, "i", 1, "")]
+    rows, _ = report(spark, data)
+    got = {r["id"]: (r["metadata_.n"], r["metadata_.m"], r["metadata_.t"], r["metadata_.o"]) for r in unified(rows, drift_report(rows)).collect()}
+    assert got == {"1": (1.0, "5", True, '{"k":[1]}'), "2": (2.5, "five", None, None)}
+
+
+def test_without_flooding_there_is_no_rename(monkeypatch):
+    assert correspondences({"f.a": ("number",)}, {"f.z": ("number",)}, {("f.a", "f.z"): 1}, {"f.a": 1}, {("f.a", "f.z"): 1})[0][3:] == (True, True)
+    monkeypatch.setattr(drift, "flood", lambda gone, new, agreement: {(g, n): 0.0 for g in gone for n in new})
+    assert drift.correspondences({"f.a": ("number",)}, {"f.z": ("number",)}, {("f.a", "f.z"): 1}, {"f.a": 1}, {("f.a", "f.z"): 1}) == []
+
+
+def test_flooding_proposes_every_full_evidence():
+    rng = random.Random(4)
+    kinds = ["string", "number", "array", "object"]
+    for _ in range(300):
+        gone = {f"m.g{i}": tuple(rng.sample(kinds, rng.randint(0, 2))) for i in range(rng.randint(1, 5))}
+        new = {f"m.{rng.choice('xyz')}{i}": tuple(rng.sample(kinds, rng.randint(0, 2))) for i in range(rng.randint(1, 5))}
+        pairs = [(g, n) for g in gone for n in new]
+        full = rng.sample(pairs, min(2, len(pairs)))
+        scores = flood(gone, new, {p: 1.0 for p in full})
+        assert all(scores[p] >= drift.PROPOSED - 1e-9 for p in full) and all(0 <= x <= 1 + 1e-9 for x in scores.values())
