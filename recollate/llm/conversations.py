@@ -107,3 +107,11 @@ def conversations(events: DataFrame) -> DataFrame:
     held = judged.filter("NOT fails AND asked AND opens = 'user' AND closes = 'assistant'").join(bad, ["origin", "session_id"], "left_anti")
     kept = placed.join(held.select("origin", "session_id", "segment", "offset"), ["origin", "session_id", "segment"])
     return kept.select("origin", "session_id", (F.col("offset") + F.col("at") - 1).cast("int").alias("turn_no"), "message_key", "speaker")
+
+
+def with_text(turns: DataFrame, events: DataFrame) -> DataFrame:
+    """turns with the text of each: that of the version which fold_log takes for final. events as in fold_log, with text."""
+    key = ["origin", "session_id", "message_key"]
+    state = F.struct("version", "instant", "op", "speaker", "filled", "text")
+    final = events.filter(F.col("session_id").isNotNull()).join(turns.select(*key), key, "left_semi").groupBy(*key).agg(F.max(state)["text"].alias("text"))
+    return turns.join(final, key).select("origin", "session_id", "turn_no", "message_key", "speaker", "text")

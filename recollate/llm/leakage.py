@@ -2,26 +2,28 @@
 
 A generalised suffix automaton over the words of all evaluation items is built once per block of items; every document
 streams through it, the longest match is tracked at each word, and wherever it reaches ``least`` words all items that hold
-those words are reported. A vectorised filter hands only stretches of word pairs known from the items to the automaton;
+those words are reported; ``cleaned`` takes the matched spans out where they exceed limits of length or coverage. A vectorised filter hands only stretches of word pairs known from the items to the automaton;
 every run of ``least`` words consists of such pairs, so it loses nothing.
 
-Words are maximal runs of letters and digits, lower-cased. Null and empty texts match nothing. Items go to the
-workers in blocks of at most ``block_words`` words, so what is broadcast has a fixed bound whatever the number of items.
+Words are maximal runs of letters and digits, lower-cased. Null and empty texts match nothing. The items' texts are broadcast in blocks of
+at most ``block_words`` words, each worker process builds the automaton of a block once, and one scan of the documents passes all of
+them. What a worker holds grows with the evaluation texts, which are held out of training and small beside the corpus, never with the corpus.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LEAST, BLOCK_WORDS = 12, 400_000
+#: Spans go if the longest run of an item has more words than this, or if the item makes up more than this share of the words.
+LONGEST, COVERAGE = 25, 0.3
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -100,10 +102,9 @@ class Automaton:
             return [(0, len(numbers))]
         return [(int(a), int(b)) for a, b in zip(starts, ends, strict=True) if b - a >= self.least]
 
-    def matches(self, text: str) -> dict[int, list[tuple[int, int]]]:
-        """For each item the [start, end) word spans of the text that it shares, merged."""
+    def matches(self, found: list[str]) -> dict[int, list[tuple[int, int]]]:
+        """For each item the [start, end) spans of the words of a text that it shares, merged."""
         get = self.words.get
-        found = WORD.findall(text.lower())
         if len(found) < self.least:
             return {}
         numbers = np.fromiter((get(w, -1) for w in found), np.int64, len(found))
@@ -130,16 +131,37 @@ class Automaton:
         return spans
 
 
-def _blocks(items: DataFrame, key: str, text: str, block_words: int) -> Iterator[list[tuple[int, str]]]:
-    block, words = [], 0
-    for row in items.select(F.col(key), F.col(text)).na.drop().distinct().toLocalIterator():
+def _blocks(items: DataFrame, key: str, text: str, block_words: int) -> list[list[tuple[int, str]]]:
+    blocks: list[list[tuple[int, str]]] = []
+    words = block_words
+    for row in items.select(F.col(key), F.col(text)).na.drop().distinct().orderBy(key, text).toLocalIterator():
         size = len(WORD.findall(row[1].lower()))
-        if block and words + size > block_words:
-            yield block
-            block, words = [], 0
-        block.append((row[0], row[1]))
+        if words + size > block_words:
+            blocks.append([])
+            words = 0
+        blocks[-1].append((row[0], row[1]))
         words += size
-    yield block
+    return blocks
+
+
+#: Automata of this worker process, by the number of their broadcast.
+_BUILT: dict[int, list[Automaton]] = {}
+
+
+def _automata(shared: Broadcast, number: int) -> list[Automaton]:
+    if number not in _BUILT:
+        _BUILT.clear()
+        least, blocks = shared.value
+        _BUILT[number] = [Automaton(b, least) for b in blocks]
+    return _BUILT[number]
+
+
+def _all_matches(automata: list[Automaton], found: list[str]) -> dict[int, list[tuple[int, int]]]:
+    out: dict[int, list[tuple[int, int]]] = {}
+    for a in automata:
+        for item, spans in a.matches(found).items():
+            out.setdefault(item, []).extend(spans)
+    return out
 
 
 def leaks(docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame, item_key: str, item_text: str, least: int = LEAST, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -147,34 +169,80 @@ def leaks(docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame, item_k
 
     Rows without key are left out. Repeated document rows give repeated rows.
     """
-    spark = docs.sparkSession
     doc_type, item_type = docs.schema[doc_key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
     out = f"`{doc_key}` {doc_type}, `{item_key}` {item_type}, words int, longest int, coverage double"
     source = docs.filter(F.col(doc_key).isNotNull() & F.col(doc_text).isNotNull()).select(F.col(doc_key).alias("__key"), F.col(doc_text).alias("__text"))
-
-    def of(block: list[tuple[int, str]]) -> DataFrame:
-        shared = spark.sparkContext.broadcast(cloudpickle.dumps(Automaton(block, least)))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            automaton = cloudpickle.loads(shared.value)
-            for batch in batches:
-                rows, hits = [], []
-                for r, t in enumerate(batch.column(1).to_pylist()):
-                    for item, spans in automaton.matches(t).items():
-                        sizes = [b - a for a, b in spans]
-                        rows.append(r)
-                        hits.append((item, sum(sizes), max(sizes), sum(sizes) / len(WORD.findall(t.lower()))))
-                c = list(zip(*hits, strict=True)) if hits else [()] * 4
-                types = (pa.int64() if item_type == "bigint" else None, pa.int32(), pa.int32(), pa.float64())
-                arrays = [batch.column(0).take(pa.array(rows, pa.int32()))] + [pa.array(x, t) for x, t in zip(c, types, strict=True)]
-                yield pa.RecordBatch.from_arrays(arrays, names=[doc_key, item_key, "words", "longest", "coverage"])
-
-        return source.mapInArrow(run, out)
-
-    return reduce(DataFrame.unionByName, map(of, _blocks(items, item_key, item_text, block_words)))
-
-
-def without_leaks(docs: DataFrame, doc_key: str, found: DataFrame, longest: int = 50, coverage: float = 0.3) -> DataFrame:
-    """docs without those that share too long a span or too large a part of their words with an evaluation item."""
-    drop = found.filter((F.col("longest") > longest) | (F.col("coverage") > coverage)).select(doc_key).distinct()
-    return docs.join(drop, doc_key, "left_anti")
+    shared = docs.sparkSession.sparkContext.broadcast((least, _blocks(items, item_key, item_text, block_words)))
+    number = id(shared)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automata = _automata(shared, number)
+        for batch in batches:
+            rows, hits = [], []
+            for r, t in enumerate(batch.column(1).to_pylist()):
+                found = WORD.findall(t.lower())
+                for item, spans in _all_matches(automata, found).items():
+                    sizes = [b - a for a, b in spans]
+                    rows.append(r)
+                    hits.append((item, sum(sizes), max(sizes), sum(sizes) / len(found)))
+            c = list(zip(*hits, strict=True)) if hits else [()] * 4
+            types = (pa.int64() if item_type == "bigint" else None, pa.int32(), pa.int32(), pa.float64())
+            arrays = [batch.column(0).take(pa.array(rows, pa.int32()))] + [pa.array(x, t) for x, t in zip(c, types, strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, names=[doc_key, item_key, "words", "longest", "coverage"])
+
+    return source.mapInArrow(run, out)
+
+
+def _places(text: str) -> list[tuple[str, int, int]]:
+    """(word, start, end) of the words of a text, positions in the text as it is."""
+    low = text.lower()
+    if len(low) == len(text):
+        return [(m[0], m.start(), m.end()) for m in WORD.finditer(low)]
+    at = [i for i, c in enumerate(text) for _ in c.lower()] + [len(text)]  # some letters grow when lowered
+    return [(m[0], at[m.start()], at[m.end() - 1] + 1) for m in WORD.finditer("".join(c.lower() for c in text))]
+
+
+def without_spans(text: str, automata: list[Automaton], longest: int, coverage: float) -> tuple[str, int, int]:
+    """(text, spans removed, words removed): the spans of every item whose longest run or whose share of the text's words is above the limits."""
+    places = _places(text)
+    found = [p[0] for p in places]
+    cut = []
+    for spans in _all_matches(automata, found).values():
+        sizes = [b - a for a, b in spans]
+        if max(sizes) > longest or sum(sizes) > coverage * len(found):
+            cut += spans
+    if not cut:
+        return text, 0, 0
+    merged: list[list[int]] = []
+    for a, b in sorted(cut):
+        if merged and a <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], b)
+        else:
+            merged.append([a, b])
+    kept, at = [], 0
+    for a, b in merged:
+        kept.append(text[at : places[a][1]])
+        at = places[b - 1][2]
+    return "".join([*kept, text[at:]]), len(merged), sum(b - a for a, b in merged)
+
+
+def cleaned(
+    docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame, item_key: str, item_text: str, least: int = LEAST, longest: int = LONGEST, coverage: float = COVERAGE, block_words: int = BLOCK_WORDS
+) -> DataFrame:
+    """doc_key, doc_text, spans, words: every document without the passages it shares beyond the limits, and how much was taken out.
+
+    A passage goes from its first to its last word; what stands around it stays. A null text stays null; rows without key stay.
+    """
+    doc_type = docs.schema[doc_key].dataType.simpleString()
+    shared = docs.sparkSession.sparkContext.broadcast((least, _blocks(items, item_key, item_text, block_words)))
+    number = id(shared)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automata = _automata(shared, number)
+        for batch in batches:
+            rows = [(None, 0, 0) if t is None else without_spans(t, automata, longest, coverage) for t in batch.column(1).to_pylist()]
+            c = list(zip(*rows, strict=True)) if rows else [()] * 3
+            arrays = [batch.column(0), pa.array(c[0], pa.string()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.int32())]
+            yield pa.RecordBatch.from_arrays(arrays, names=[doc_key, doc_text, "spans", "words"])
+
+    return docs.select(doc_key, doc_text).mapInArrow(run, f"`{doc_key}` {doc_type}, `{doc_text}` string, spans int, words int")

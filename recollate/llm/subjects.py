@@ -1,11 +1,13 @@
-"""Subject areas of documents: classifier chains over sentence, term, source and structure features.
+"""Subject areas of documents: classifier chains over term, source and structure features.
 
 Training (on the driver, on at most ``sample`` documents, labelled ones first, a bounded and documented parameter)
-1. A sentence model: naive Bayes over the words of a sentence (character pairs for scripts without spaces), classes none and
+1. Term weights: a naive Bayes model over the words of a sentence (character pairs for scripts without spaces), classes none and
    the subjects, fitted by expectation maximisation with the documents' labels as priors of their sentences.
-2. A classifier chain: one logistic model per subject in order of frequency, over how many and what share of a document's sentences
-   deal with the subject, terms summed over the document, structure (sentences, kind, language), source, and the
-   subjects before it in the chain, which models co-occurrence. Each is calibrated by its own intercept and slope on held-out folds.
+2. A classifier chain: boosted trees per subject in order of frequency. Their features are of three kinds: terms (the subject's term weights
+   summed over the document, per sentence, and in its strongest sentences; how many and what share of its sentences they favour; the same of the
+   strongest other subject), structure (number of sentences, kind, language) and source; and the subjects before it in the chain, which
+   models co-occurrence. What amount of a subject makes a document deal with it is learned from the labels alone.
+   Each model is calibrated by its own intercept and slope on held-out folds.
 Inference (on the workers, over whole texts): label combinations are decoded by beam search over the chain.
 
 Null, empty and wordless texts have no subject; null language, kind or source are a value of their own. Every document
@@ -19,7 +21,6 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import repeat
-from math import exp, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,11 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE, ROUNDS, BEAM, LEAST_DOCS = 4000, 8, 8, 2
+from recollate.llm.boosting import Trees, fit_trees
+
+SAMPLE, ROUNDS, LEAST_DOCS = 4000, 8, 2
+#: Label combinations kept per document while decoding; one less likely than the best by more than a factor of exp(GAP) is dropped, too.
+BEAM, GAP = 8, 9.0
 _NOISE = re.compile(r"\A---\r?\n(?s:.*?)\n---\r?$|^[ \t]*(?:#{1,6} |\*\*\w+\*\*|\[\w+:|```|\|).*$", re.M)
 _TOKEN = re.compile(r"[^\W\d_]+|[.!?](?=\s)|[。！？]|\n")
 _WIDE = re.compile(r"[\u3040-\u30ff\u3400-\u9fff]")
@@ -83,15 +88,13 @@ class SentenceModel:
     weights: np.ndarray
     prior: np.ndarray
 
-    def count(self, texts: list[str]) -> np.ndarray:
-        """For each text how many of its sentences fall to each class."""
-        classes = len(self.prior)
+    def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, term scores by class) of every sentence, and the number of sentences of each document."""
         ids, own, of_doc, sizes = numbered(texts, self.number)
-        scores = np.tile(np.log(self.prior), (len(of_doc), 1))
-        for c in range(classes):
-            scores[:, c] += np.bincount(own, self.weights[ids, c], len(of_doc))
-        best = scores.argmax(1)
-        return np.bincount(of_doc * classes + best, minlength=len(texts) * classes).reshape(len(texts), classes)
+        scores = np.empty((len(of_doc), len(self.prior)))
+        for c in range(len(self.prior)):
+            scores[:, c] = np.log(self.prior[c]) + np.bincount(own, self.weights[ids, c], len(of_doc))
+        return of_doc, scores, sizes
 
 
 def fit_sentences(texts: list[str], labels: list[set[int] | None], classes: int, rounds: int = ROUNDS) -> SentenceModel:
@@ -143,18 +146,45 @@ def fit_sentences(texts: list[str], labels: list[set[int] | None], classes: int,
     return SentenceModel(number, weights, mean / mean.sum())
 
 
-_STEPS = (0.1, 0.15, 0.2, 0.225, 0.25, 0.275, 0.3, 0.4)
+PER_SUBJECT = 9
+
+
+def term_features(of_doc: np.ndarray, scores: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(documents x subjects x PER_SUBJECT, documents x 3): what the terms of a document say of each subject, and of its structure."""
+    docs, subjects = len(sizes), scores.shape[1] - 1
+    n = np.maximum(1, sizes).astype(float)
+    shifted = np.exp(scores - scores.max(1, keepdims=True)) if len(scores) else scores
+    soft = shifted / shifted.sum(1, keepdims=True) if len(scores) else scores
+    best = scores.argmax(1) if len(scores) else np.zeros(0, int)
+    lead = scores[:, 1:] - scores[:, :1]  # log odds of a subject against none
+    count = np.bincount(of_doc * (subjects + 1) + best, minlength=docs * (subjects + 1)).reshape(docs, subjects + 1).astype(float)
+    out = np.zeros((docs, subjects, PER_SUBJECT))
+    rest = np.zeros(docs)
+    order = np.argsort(of_doc, kind="stable")
+    starts = np.searchsorted(of_doc[order], np.arange(docs))
+    filled = np.flatnonzero(sizes > 0)
+    share = count[:, 1:] / n[:, None]
+    for k in range(subjects):
+        total = np.bincount(of_doc, soft[:, k + 1], docs)
+        weight = np.bincount(of_doc, np.clip(lead[:, k], -6, 12), docs)
+        top = np.zeros(docs)
+        if len(filled):
+            top[filled] = np.maximum.reduceat(lead[order, k], starts[filled])
+        others = np.delete(share, k, axis=1)
+        rest = others.max(1) if others.shape[1] else rest
+        out[:, k] = np.stack([count[:, k + 1], share[:, k], total, total / n, weight, weight / n, top, rest, count[:, k + 1] - np.delete(count[:, 1:], k, axis=1).max(1, initial=0)], 1)
+    return out, np.stack([sizes, count[:, 0] / n, (count[:, 1:] > 0).sum(1)], 1)
 
 
 @dataclass
 class Chain:
-    """Logistic models in chain order; model j sees the base features and the decisions of the models before it."""
+    """Boosted trees in chain order; model j sees the base features and the decisions of the models before it."""
 
     subjects: list[str]
     order: list[int]
     sentence: SentenceModel
     codes: list[dict[str, int]]
-    models: list[np.ndarray] = field(default_factory=list)
+    models: list[Trees] = field(default_factory=list)
     scales: list[tuple[float, float]] = field(default_factory=list)
 
     def one_hot(self, lang: list, source: list, kind: list) -> np.ndarray:
@@ -162,51 +192,37 @@ class Chain:
         at = 0
         rows = np.arange(len(lang))
         for code, values in zip(self.codes, (kind, lang, [(x or "").partition(":")[0] for x in source]), strict=True):
-            out[rows, at + np.array([code.get(v or "", 0) for v in values], int)] = 0.3
+            out[rows, at + np.array([code.get(v or "", 0) for v in values], int)] = 1
             at += len(code)
         return out
 
-    def features(self, counts: np.ndarray, k: int, extra: np.ndarray) -> np.ndarray:
-        """Base features of subject k for all documents; counts as of SentenceModel.count, extra as of one_hot."""
-        n = np.maximum(1, counts.sum(1))
-        count = counts[:, k + 1]
-        share = count / n
-        two = (count >= 2).astype(float)
-        rest = np.delete(counts[:, 1:], k, axis=1) / n[:, None]
-        columns = [np.ones(len(n)), np.minimum(count, 4) / 4, two, share, two * share]
-        columns += [two * (share >= s - 1e-9) for s in _STEPS]
-        columns += [rest.max(1) if rest.shape[1] else np.zeros(len(n)), counts[:, 0] / n, np.minimum(n, 40) / 40]
-        return np.column_stack([*columns, extra])
-
-    def decode(self, counts: np.ndarray, lang: list, source: list, kind: list, beam: int = BEAM) -> list[list[int]]:
-        """The likeliest label combination of each document; subjects no sentence deals with stay off."""
-        if not self.subjects:
-            return [[] for _ in lang]
-        extra = self.one_hot(lang, source, kind)
-        width = len(self.subjects)
-        base, lead = [], []
+    def base(self, texts: list[str], lang: list, source: list, kind: list) -> tuple[np.ndarray, np.ndarray]:
+        """(features by document and subject, features of the document)."""
+        terms, structure = term_features(*self.sentence.score(texts))
+        return terms, np.column_stack([structure, self.one_hot(lang, source, kind)])
+
+    def decode(self, texts: list[str], lang: list, source: list, kind: list, beam: int = BEAM) -> list[list[int]]:
+        """The likeliest label combination of each document."""
+        if not self.subjects or not texts:
+            return [[] for _ in texts]
+        terms, shared = self.base(texts, lang, source, kind)
+        docs, width = len(texts), len(self.subjects)
+        # All states of all documents side by side: whose they are, how likely, and which subjects they have decided on.
+        doc, score, on = np.arange(docs), np.zeros(docs), np.zeros((docs, width))
         for j, k in enumerate(self.order):
             a, b = self.scales[j]
-            x = self.features(counts, k, extra)
-            base.append(a * (x @ self.models[j][:-width]) + b)
-            lead.append((a * self.models[j][-width:] * 0.5).tolist())
-        scores = np.stack(base, 1).tolist()
-        present = (counts[:, 1:] > 0).tolist()
-        out = []
-        for z, here in zip(scores, present, strict=True):
-            states: list[tuple[float, list[int]]] = [(0.0, [])]
-            for j, k in enumerate(self.order):
-                if not here[k]:
-                    continue
-                grown = []
-                for score, on in states:
-                    v = z[j] + sum(lead[j][i] for i in on)
-                    soft = log1p(exp(-abs(v)))
-                    grown.append((score + min(v, 0.0) - soft, [*on, k]))
-                    grown.append((score - max(v, 0.0) - soft, on))
-                states = sorted(grown, key=lambda x: -x[0])[:beam]
-            out.append(states[0][1])
-        return out
+            z = a * self.models[j].raw(np.column_stack([terms[doc, k], shared[doc], on])) + b
+            soft = np.log1p(np.exp(-np.abs(z)))
+            yes = on.copy()
+            yes[:, k] = 1
+            doc, score, on = np.concatenate([doc, doc]), np.concatenate([score + np.minimum(z, 0) - soft, score - np.maximum(z, 0) - soft]), np.concatenate([yes, on])
+            order = np.lexsort((-score, doc))
+            doc, score, on = doc[order], score[order], on[order]
+            first = np.searchsorted(doc, np.arange(docs))
+            keep = (np.arange(len(doc)) - first[doc] < beam) & (score > score[first[doc]] - GAP)
+            doc, score, on = doc[keep], score[keep], on[keep]
+        best = np.searchsorted(doc, np.arange(docs))
+        return [[k for k in self.order if on[i, k]] for i in best]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.02, steps: int = 40) -> np.ndarray:
@@ -238,26 +254,24 @@ def fit(rows: list[tuple], subjects: list[str], others: list[str] = ()) -> Chain
     texts, lang, source, kind = ([r[i] for r in rows] for i in (0, 2, 3, 4))
     model = fit_sentences([*texts, *others], [*labels, *[None] * len(others)], len(subjects))
     chain = Chain(subjects, order, model, [codes(kind), codes(lang), codes([(x or "").partition(":")[0] for x in source])])
-    counts, extra = model.count(texts), chain.one_hot(lang, source, kind)
+    terms, shared = chain.base(texts, lang, source, kind)
     member = np.zeros((len(rows), len(subjects)))
     for i, mine in enumerate(labels):
         member[i, list(mine)] = 1
+    fold = np.arange(len(rows)) % 2
     for j, k in enumerate(order):
         seen = np.zeros_like(member)
         seen[:, order[:j]] = member[:, order[:j]]
-        x = np.column_stack([chain.features(counts, k, extra), 0.5 * seen])
-        y = np.array([float(k in own) for own in labels])
+        x, y = np.column_stack([terms[:, k], shared, seen]), member[:, k]
         if not 0 < y.sum() < len(y):
-            base = np.zeros(x.shape[1])
-            base[0] = -4.0 if y.sum() == 0 else 4.0
-            chain.models.append(base)
+            chain.models.append(Trees(1, 4.0 if y.sum() else -4.0))
             chain.scales.append((1.0, 0.0))
             continue
-        chain.models.append(_logistic(x, y))
-        fold = np.arange(len(y)) % 2
+        grow = lambda xs, ys: fit_trees(xs, ys, rounds=60, most_cuts=48)
+        chain.models.append(grow(x, y))
         held = np.zeros(len(y))
         for f in (0, 1):
-            held[fold == f] = x[fold == f] @ _logistic(x[fold != f], y[fold != f])
+            held[fold == f] = grow(x[fold != f], y[fold != f]).raw(x[fold == f])
         a, b = _logistic(np.stack([np.clip(held, -12, 12), np.ones(len(y))], 1), y, ridge=0.5)
         chain.scales.append((max(float(a), 0.1), float(b)))
     return chain
@@ -265,7 +279,7 @@ def fit(rows: list[tuple], subjects: list[str], others: list[str] = ()) -> Chain
 
 def train(docs: DataFrame, labels: DataFrame, subjects: DataFrame, sample: int = SAMPLE) -> Chain:
     """The chain from at most ``sample`` documents, chosen by the hash of their ids, labelled ones first."""
-    names = sorted({r[0] for r in subjects.select("subject").distinct().limit(1000).collect() if r[0] is not None})
+    names = sorted({r[0] for r in subjects.select("subject").distinct().toLocalIterator() if r[0] is not None})
     own = labels.filter("doc_id IS NOT NULL AND subject IS NOT NULL").groupBy("doc_id").agg(F.collect_set("subject").alias("subjects"))
     chosen = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     picked = docs.select("doc_id", "text", "lang", "source", "doc_kind").join(chosen, "doc_id").filter("text IS NOT NULL").dropDuplicates(["doc_id"])
@@ -285,7 +299,7 @@ def assign(docs: DataFrame, chain: Chain) -> DataFrame:
         for batch in batches:
             texts, langs, sources, kinds = (batch.column(c).to_pylist() for c in ("text", "lang", "source", "doc_kind"))
             rows, out = [], []
-            for i, mine in enumerate(model.decode(model.sentence.count(texts), langs, sources, kinds)):
+            for i, mine in enumerate(model.decode(texts, langs, sources, kinds)):
                 for k in mine:
                     rows.append(i)
                     out.append(model.subjects[k])

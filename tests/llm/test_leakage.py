@@ -1,6 +1,6 @@
 import random
 
-from recollate.llm.leakage import WORD, Automaton, leaks, without_leaks
+from recollate.llm.leakage import WORD, Automaton, cleaned, leaks, without_spans
 
 
 def brute(docs, items, n):
@@ -23,7 +23,7 @@ def test_automaton_against_grams():
         for _ in range(40):
             items = [(i, " ".join(rng.choice("abcd") for _ in range(rng.randint(0, 14)))) for i in range(4)]
             doc = " ".join(rng.choice("abcde") for _ in range(40))
-            got = {(0, i) for i in Automaton(items, n).matches(doc)}
+            got = {(0, i) for i in Automaton(items, n).matches(doc.split())}
             assert got == brute([(0, doc)], items, n), (n, items, doc)
 
 
@@ -36,5 +36,19 @@ def test_operator_in_blocks(spark):
         found = leaks(d, "doc_id", "text", i, "item_id", "text", block_words=block)
         assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == brute(docs, items, 12) == {(10, 1), (10, 2), (14, 1), (14, 2)}
         assert max(r["longest"] for r in found.collect()) == 13
-    assert {r["doc_id"] for r in without_leaks(d, "doc_id", found).collect()} == {11, 12, 13}
+    clean = [(r["doc_id"], r["text"], r["spans"], r["words"]) for r in cleaned(d, "doc_id", "text", i, "item_id", "text", block_words=20).collect()]
+    assert sorted(clean, key=str) == sorted([(10, "intro.  outro", 1, 13), (11, docs[1][1], 0, 0), (12, None, 0, 0), (13, "", 0, 0), (14, "", 1, 12), (10, "intro.  outro", 1, 13)], key=str)
     assert leaks(d, "doc_id", "text", i.limit(0), "item_id", "text").count() == 0
+
+
+def test_spans_within_the_limits_stay():
+    item = " ".join(f"w{i}" for i in range(40))
+    automata = [Automaton([(1, item)])]
+    doc = " ".join(f"x{i}" for i in range(100)) + ". " + " ".join(item.split()[:20]) + "! " + " ".join(f"y{i}" for i in range(100))
+    assert without_spans(doc, automata, 25, 0.3) == (doc, 0, 0)
+    short, spans, words = without_spans(doc, automata, 19, 0.3)
+    assert (spans, words) == (1, 20) and short == " ".join(f"x{i}" for i in range(100)) + ". ! " + " ".join(f"y{i}" for i in range(100))
+    assert without_spans(doc, automata, 25, 0.05)[1:] == (1, 20)
+    # letters that grow when lowered keep their places
+    odd = "İİ " + item + " İ end"
+    assert without_spans(odd, automata, 25, 0.3) == ("İİ  İ end", 1, 40)
