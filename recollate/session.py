@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +17,7 @@ def build_session(master: str = "local[8]", app: str = "recollate", partitions:
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": memory,
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
     } | conf
@@ -26,14 +29,24 @@ def build_session(master: str = "local[8]", app: str = "recollate", partitions:
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's spark.checkpoint.dir; only where none is set (tests, one machine) make a temporary one."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir. Only a local master may go without, and gets a temporary one that is removed at exit."""
     context = spark.sparkContext
+    folder = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir")
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="recollate-checkpoint-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="recollate-checkpoint-"))
+        context.setCheckpointDir(folder)
+    return folder
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared checkpoint folder, so that lost executors cost no recomputation of its lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
+    """Materialise df in the shared checkpoint folder, so that lost executors cost no recomputation of its lineage.
+
+    With spark.cleaner.referenceTracking.cleanCheckpoints, which build_session sets, the files go when the DataFrame does.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

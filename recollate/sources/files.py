@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import fnmatch
+import os
 import tomllib
+from collections.abc import Iterator
+from functools import reduce
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,20 +19,42 @@ SCHEMA = "path string, rel string, name string, content string, mtime long"
 def text_files(spark: SparkSession, root: str, glob: str = "*", since: int | None = None) -> DataFrame:
     """path, rel (below root), name, content, mtime (Unix seconds) of all files below root whose name fits glob; none gives an empty table.
 
-    since: only files changed after that time, filtered at the listing.
+    since: only files changed after that time, filtered at the listing. The file reader passes over names that begin with a dot or an
+    underscore, so files with such a name anywhere below root are listed here and opened by the tasks; the folder must be visible to them.
     """
     base = str(Path(root).resolve())
-    if not any(p.is_file() for p in Path(base).rglob(glob)):
+    plain, hidden = False, []
+    for folder, _, names in os.walk(base):
+        for name in fnmatch.filter(names, glob):
+            path = os.path.join(folder, name)
+            if not any(part[0] in "._" for part in path[len(base) + 1 :].split(os.sep)):
+                plain = True
+            elif since is None or os.stat(path).st_mtime > since:
+                hidden.append((path,))
+    parts = []
+    if plain:
+        reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
+        if since is not None:
+            reader = reader.option("timeZone", "UTC").option("modifiedAfter", f"{_iso(since)}")
+        df = reader.text(f"file://{base}", wholetext=True).select(F.col("value").alias("content"), "_metadata.file_path", "_metadata.file_modification_time")
+        path = F.url_decode(F.regexp_replace(F.col("file_path"), r"^file:/+", "/"))
+        parts.append(df.select(path.alias("path"), "content", F.unix_seconds("file_modification_time").alias("mtime")))
+    if hidden:
+        paths = spark.createDataFrame(sorted(hidden), "path string")
+        parts.append(paths.repartition(min(len(hidden), spark.sparkContext.defaultParallelism), "path").mapInArrow(_open, "path string, content string, mtime long"))
+    if not parts:
         return spark.createDataFrame([], SCHEMA)
-    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
-    if since is not None:
-        reader = reader.option("timeZone", "UTC").option("modifiedAfter", f"{_iso(since)}")
-    df = reader.text(f"file://{base}", wholetext=True).select(F.col("value").alias("content"), "_metadata.file_path", "_metadata.file_modification_time")
-    path = F.url_decode(F.regexp_replace(F.col("file_path"), r"^file:/+", "/"))
-    named = df.select(path.alias("path"), "content", F.unix_seconds("file_modification_time").alias("mtime"))
+    named = reduce(DataFrame.unionByName, parts)
     return named.select("path", F.substr("path", F.lit(len(base) + 2)).alias("rel"), F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), "content", "mtime")
 
 
+def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for path in batch.column(0).to_pylist():  # one file at a time, they may be large
+            text = Path(path).read_bytes().decode("utf-8", "replace")
+            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([text], pa.string()), pa.array([int(os.stat(path).st_mtime)], pa.int64())], names=["path", "content", "mtime"])
+
+
 def _iso(seconds: int) -> str:
     from datetime import UTC, datetime
 

@@ -17,7 +17,9 @@ from recollate.operators.timestamps import with_instant
 from recollate.sources import sqlite
 from recollate.sources.files import body, front_matter, lines, text_files
 
-RECORD = ["id", "adapter", "instance", "native_id", "native_path", "content", "kind", "scope", "created_at", "updated_at", "tags", "metadata", "raw_hash", "schema_version"]
+RECORD = ["id", "adapter", "instance", "native_id", "native_path", "content", "kind", "scope", "created_at", "updated_at", "tags", "metadata", "raw_hash", "schema_version", "derived_from"]
+#: Prefix of the keys that carry a record's origin through another store.
+ORIGIN = "origin_"
 Read = tuple[DataFrame, DataFrame]
 
 # Kind and scope by the type in a memory file's front matter.
@@ -57,11 +59,21 @@ def finish(df: DataFrame, adapter: str, instance: str | None) -> Read:
     for name, value in fill.items():
         if name not in have:
             df = df.withColumn(name, value)
-    place = F.lit(instance or "")
+    own = {"adapter": F.lit(adapter), "instance": F.lit(instance or ""), "native_id": F.col("native_id"), "kind": F.col("kind"), "scope": F.col("scope")}
+    own["raw_hash"] = F.col("raw_hash") if "raw_hash" in have else F.sha2(F.coalesce("content", F.lit("")), 256)
+    # A record that came out of another store carries its origin: it gets its identity and classification back, and the block goes.
+    meta = F.try_variant_get(F.try_parse_json("metadata"), "$", "map<string,variant>")
+    origin = F.when(F.col("metadata").contains(f'"{ORIGIN}source_adapter"'), F.map_filter(meta, lambda k, _: k.startswith(ORIGIN)))
+    df = df.select("*", F.inline(F.array(F.struct(origin.alias("__origin")))))
+    of = lambda n: F.try_variant_get(F.try_element_at("__origin", F.lit(f"{ORIGIN}{n}")), "$", "string")
+    back = {n: F.coalesce(of(f"source_{n}" if n in ("adapter", "instance") else n), c) for n, c in own.items()}
+    tags = F.coalesce(F.try_variant_get(F.try_element_at("__origin", F.lit(f"{ORIGIN}tags")), "$", "array<string>"), "tags")
+    rest = F.map_filter(meta, lambda k, _: ~k.startswith(ORIGIN))
     full = df.select(
-        F.sha2(F.concat_ws(":", F.lit(adapter), place, "native_id"), 256).alias("id"), F.lit(adapter).alias("adapter"), place.alias("instance"), "native_id", "native_path",
-        F.coalesce("content", F.lit("")).alias("content"), "kind", "scope", F.col("created_at").cast("long"), F.col("updated_at").cast("long"), "tags", "metadata",
-        (F.col("raw_hash") if "raw_hash" in have else F.sha2(F.coalesce("content", F.lit("")), 256)).alias("raw_hash"), F.lit(1).alias("schema_version"), F.col("content").isNull().alias("__broken"),
+        F.sha2(F.concat_ws(":", back["adapter"], back["instance"], back["native_id"]), 256).alias("id"), back["adapter"].alias("adapter"), back["instance"].alias("instance"), back["native_id"].alias("native_id"), "native_path",
+        F.coalesce("content", F.lit("")).alias("content"), back["kind"].alias("kind"), back["scope"].alias("scope"), F.col("created_at").cast("long"), F.col("updated_at").cast("long"), tags.alias("tags"),
+        F.when(F.col("__origin").isNotNull(), F.to_json(rest)).otherwise(F.col("metadata")).alias("metadata"), back["raw_hash"].alias("raw_hash"), F.lit(1).alias("schema_version"), of("derived_from").alias("derived_from"),
+        F.col("content").isNull().alias("__broken"),
     )
     broken = F.col("native_id").isNull() | F.col("__broken")
     errors = full.filter(broken).select("adapter", "instance", "native_id", "native_path", F.lit("normalize").alias("phase"), F.when(F.col("native_id").isNull(), "no native id").otherwise("no content").alias("error"))
@@ -72,6 +84,11 @@ def _all(parts: list[Read]) -> Read:
     return reduce(DataFrame.unionByName, [p[0] for p in parts]), reduce(DataFrame.unionByName, [p[1] for p in parts])
 
 
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"\A\s+|\s+\z", "")
+
+
 def _variant(text: str, path: str) -> Column:
     return F.try_variant_get(F.try_parse_json(F.col(text)), path, "string")
 
@@ -92,11 +109,11 @@ def session_turns(content: Column, style: str) -> Column:
         def one(b: Column) -> Column:
             kind, result = get(b, "$.type"), F.coalesce(get(b, "$.content"), F.lit(""))
             preview = F.concat(F.lit("[tool_result("), F.length(result).cast("string"), F.lit(" chars): "), F.substring(result, 1, PREVIEW), F.when(F.length(result) > PREVIEW, "…").otherwise(""), F.lit("]"))
-            marked = F.when(kind.isin("text", "input_text", "output_text"), F.trim(F.coalesce(get(b, "$.text"), F.lit(""))))
+            marked = F.when(kind.isin("text", "input_text", "output_text"), stripped(F.coalesce(get(b, "$.text"), F.lit(""))))
             return marked.when(kind == "tool_use", F.concat(F.lit("[tool_use: "), F.coalesce(get(b, "$.name"), F.lit("?")), F.lit("]"))).when(kind == "tool_result", preview) if events else marked
 
         joined = F.array_join(F.filter(F.transform(blocks, one), lambda t: t.isNotNull() & (t != "")), "\n\n")
-        return F.trim(F.when(blocks.isNotNull(), joined).otherwise(F.coalesce(get(v, f"{base}.content"), F.lit(""))))
+        return stripped(F.when(blocks.isNotNull(), joined).otherwise(F.coalesce(get(v, f"{base}.content"), F.lit(""))))
 
     parsed = F.transform(F.split(content, r"\r?\n"), lambda line: F.try_parse_json(line))
     wanted = lambda v: get(v, "$.type").isin("user", "assistant") if events else ((get(v, "$.type") == "response_item") & (get(v, "$.payload.type") == "message") & get(v, "$.payload.role").isin("user", "assistant"))
@@ -128,13 +145,19 @@ def claude_code(spark: SparkSession, root: str, instance: str | None = None, sin
     name, about = front_matter(F.col("content"), "name"), front_matter(F.col("content"), "description")
     memory = files.select(
         F.concat(F.lit("memory|"), "rel").alias("native_id"), F.col("path").alias("native_path"), body(F.col("content")).alias("content"), kind.alias("kind"), scope.alias("scope"), F.col("mtime").alias("created_at"),
-        F.filter(F.array(name, about), lambda t: t.isNotNull()).alias("tags"), F.to_json(F.struct(name.alias("name"), about.alias("description"))).alias("metadata"), F.sha2("content", 256).alias("raw_hash"),
+        F.filter(F.array(name, about), lambda t: t.isNotNull()).alias("tags"), F.coalesce(front_matter(F.col("content"), "origin"), F.to_json(F.struct(name.alias("name"), about.alias("description")))).alias("metadata"), F.sha2("content", 256).alias("raw_hash"),
     )
     return _all([finish(memory, "claude-code", instance), finish(_sessions(text_files(spark, root, "*.jsonl", since), "events"), "claude-code", instance)])
 
 
 def codex(spark: SparkSession, root: str, instance: str | None = None, since: int | None = None) -> Read:
-    return finish(_sessions(text_files(spark, root, "*.json*", since), "items"), "codex", instance)
+    """Session logs: one JSON object a line in .jsonl, in .json a whole document, an array of the same objects or an object that holds one."""
+    logs = text_files(spark, root, "*.jsonl", since)
+    v = F.try_parse_json("content")
+    listed = F.coalesce(F.try_variant_get(v, "$", "array<variant>"), *[F.try_variant_get(v, f"$.{k}", "array<variant>") for k in ("items", "events", "messages")], F.when(v.isNotNull(), F.array(v)))
+    lines_of = F.array_join(F.transform(listed, lambda i: F.to_json(i)), "\n")
+    whole = text_files(spark, root, "*.json", since).withColumn("content", F.when(listed.isNotNull(), lines_of).otherwise(F.col("content")))
+    return finish(_sessions(logs.unionByName(whole), "items"), "codex", instance)
 
 
 def hermes(spark: SparkSession, root: str, instance: str | None = None, since: int | None = None) -> Read:
@@ -174,7 +197,7 @@ def _optional(df: DataFrame, name: str) -> Column:
 def mem0(spark: SparkSession, path: str, instance: str | None = None, since: int | None = None) -> Read:
     """memories(id, memory) with optional columns; unknown columns go to metadata, which never loses a key of its own."""
     rows = sqlite.read_table(spark, path, "memories")
-    known = {"id", "memory", "metadata", "created_at", "updated_at", "categories"}
+    known = {"id", "memory", "metadata", "created_at", "updated_at", "categories", "hash"}
     extra = [c for c in rows.columns if c not in known]
     df = rows.select(F.col("id").cast("string").alias("native_id"), F.col("memory").alias("content"), _optional(rows, "created_at").alias("__c"), _optional(rows, "updated_at").alias("__u"), _optional(rows, "metadata").alias("__m"), F.to_json(F.struct(*[F.col(c) for c in extra]) if extra else F.create_map()).alias("__x"))
     own = F.coalesce(F.try_variant_get(F.try_parse_json("__m"), "$", "map<string,variant>"), F.try_variant_get(F.parse_json(F.lit("{}")), "$", "map<string,variant>"))
@@ -192,8 +215,13 @@ def letta(spark: SparkSession, path: str, instance: str | None = None, since: in
     meta = "metadata_" if "metadata_" in rows.columns else "metadata"
     df = rows.select(
         F.col("id").cast("string").alias("native_id"), F.col("value").alias("content"), _optional(rows, "created_at").alias("__c"), _optional(rows, "updated_at").alias("__u"),
-        F.filter(F.array(_optional(rows, "label")), lambda t: t.isNotNull()).alias("tags"), F.to_json(F.struct(_optional(rows, "label").alias("label"), _optional(rows, "description").alias("description"), _optional(rows, meta).alias("metadata"))).alias("metadata"),
+        F.filter(F.array(_optional(rows, "label")), lambda t: t.isNotNull()).alias("tags"), _optional(rows, "label").alias("__l"), _optional(rows, "description").alias("__d"), _optional(rows, meta).alias("__m"),
     )
+    # The keys of the block's own metadata stand beside its label and description, which never replace one of them.
+    own = F.coalesce(F.try_variant_get(F.try_parse_json("__m"), "$", "map<string,variant>"), F.try_variant_get(F.parse_json(F.lit("{}")), "$", "map<string,variant>"))
+    more = F.map_filter(F.try_variant_get(F.parse_json(F.to_json(F.struct(F.col("__l").alias("label"), F.col("__d").alias("description")))), "$", "map<string,variant>"), lambda k, _: ~F.map_contains_key(own, k))
+    imported = F.coalesce(F.map_contains_key(own, F.lit(f"{ORIGIN}source_adapter")), F.lit(False))
+    df = df.withColumn("metadata", F.when(imported, F.to_json(own)).otherwise(F.to_json(F.map_concat(own, more)))).drop("__l", "__d", "__m")
     df = seconds(seconds(df, "__c", "created_at"), "__u", "updated_at")
     if since is not None:
         seen = F.coalesce("updated_at", "created_at")
@@ -244,6 +272,9 @@ def memos(spark: SparkSession, root: str, instance: str | None = None, since: in
         get("$.id").alias("native_id"), F.col("path").alias("native_path"), get("$.memory").alias("content"), kind.alias("kind"), scope.alias("scope"), F.coalesce(get("$.metadata.updated_at"), get("$.metadata.created_at")).alias("__at"), "mtime",
         F.coalesce(F.try_variant_get("i", "$.metadata.tags", "array<string>"), F.array().cast("array<string>")).alias("tags"), F.to_json(F.try_variant_get("i", "$.metadata", "variant")).alias("metadata"),
     )
+    # What an export added beside the origin goes with it.
+    added = F.map_filter(F.try_variant_get(F.try_parse_json("metadata"), "$", "map<string,variant>"), lambda k, _: ~k.isin("status", "memory_type", "tags", "created_at"))
+    df = df.withColumn("metadata", F.when(F.col("metadata").contains(f'"{ORIGIN}source_adapter"'), F.to_json(added)).otherwise(F.col("metadata")))
     return finish(seconds(df, "__at", "__s").withColumn("created_at", F.coalesce("__s", "mtime")), "memos", instance)
 
 
@@ -259,7 +290,7 @@ def memary(spark: SparkSession, root: str, instance: str | None = None, since: i
     tally = each("entity_knowledge_store.json", whole).select(F.concat(F.lit("tally|"), number).alias("native_id"), F.concat(F.lit("entity tally: "), get("$.entity"), F.lit(" (count="), get("$.count"), F.lit(")")).alias("content"), get("$.date").alias("__at"), "path", "mtime", F.lit("reference").alias("kind"), F.lit("project").alias("scope"))
     chat = each("past_chat.json", F.coalesce(whole, F.try_variant_get(v, "$.messages", "array<variant>"))).select(F.concat(F.lit("chat|"), number).alias("native_id"), F.concat_ws(": ", get("$.role"), get("$.content")).alias("content"), F.lit(None).cast("string").alias("__at"), "path", "mtime", F.lit("episode").alias("kind"), F.lit("session").alias("scope"))
     persona = files.filter(F.col("name").isin("system_persona.txt", "user_persona.txt")).select(
-        F.concat(F.lit("persona|"), "name").alias("native_id"), F.trim("content").alias("content"), F.lit(None).cast("string").alias("__at"), "path", "mtime", F.when(F.col("name") == "user_persona.txt", "preference").otherwise("reference").alias("kind"), F.when(F.col("name") == "user_persona.txt", "user").otherwise("project").alias("scope")
+        F.concat(F.lit("persona|"), "name").alias("native_id"), stripped(F.col("content")).alias("content"), F.lit(None).cast("string").alias("__at"), "path", "mtime", F.when(F.col("name") == "user_persona.txt", "preference").otherwise("reference").alias("kind"), F.when(F.col("name") == "user_persona.txt", "user").otherwise("project").alias("scope")
     )
     df = seconds(stream.unionByName(tally).unionByName(chat).unionByName(persona), "__at", "__s")
     if since is not None:
@@ -270,7 +301,7 @@ def memary(spark: SparkSession, root: str, instance: str | None = None, since: i
 def mempalace(spark: SparkSession, root: str, instance: str | None = None, since: int | None = None) -> Read:
     """An identity file, and two collections of a vector database whose metadata rows are turned into one map per item."""
     files = text_files(spark, root, "identity.txt", since)
-    parts = [finish(files.select(F.lit("identity").alias("native_id"), F.col("path").alias("native_path"), F.trim("content").alias("content"), F.lit("preference").alias("kind"), F.lit("user").alias("scope"), F.col("mtime").alias("created_at")), "mempalace", instance)]
+    parts = [finish(files.select(F.lit("identity").alias("native_id"), F.col("path").alias("native_path"), stripped(F.col("content")).alias("content"), F.lit("preference").alias("kind"), F.lit("user").alias("scope"), F.col("mtime").alias("created_at")), "mempalace", instance)]
     for db in sorted(Path(root).rglob("*.sqlite3")):
         items, segments, collections, meta = (sqlite.read_table(spark, str(db), n) for n in ("embeddings", "segments", "collections", "embedding_metadata"))
         if None in (items, segments, collections, meta):
@@ -313,16 +344,23 @@ def tdai(spark: SparkSession, root: str, instance: str | None = None, since: int
     kind, scope = _pick(F.col("layer"), {"L0": ("episode", "session"), "L1": ("fact", "user"), "L2": ("reference", "user"), "L3": ("preference", "user")}, ("unknown", "ephemeral"))
     short = lambda *c: F.substring(F.sha2(F.concat_ws("|", *c), 256), 1, 32).alias("native_id")
     whole = known.filter("layer <> 'L1'").select(short("layer", "rel"), F.col("path").alias("native_path"), "content", kind.alias("kind"), scope.alias("scope"), F.col("mtime").alias("created_at"))
-    facts = lines(known.filter("layer = 'L1'")).select(short("rel", F.col("line_no").cast("string")), F.col("path").alias("native_path"), F.coalesce(_variant("line", "$.content"), "line").alias("content"), F.lit("fact").alias("kind"), F.lit("user").alias("scope"), F.col("mtime").alias("created_at"))
+    facts = lines(known.filter("layer = 'L1'")).select(short("rel", F.col("line_no").cast("string")), F.col("path").alias("native_path"), F.coalesce(_variant("line", "$.content"), "line").alias("content"), F.lit("fact").alias("kind"), F.lit("user").alias("scope"), F.coalesce(_variant("line", "$.created_at").try_cast("long"), "mtime").alias("created_at"), _variant("line", "$.updated_at").try_cast("long").alias("updated_at"), F.coalesce(F.to_json(F.try_variant_get(F.try_parse_json("line"), "$.origin", "variant")), F.lit("{}")).alias("metadata"))
     return _all([finish(whole, "tdai", instance), finish(facts, "tdai", instance)])
 
 
 def resources(listed: DataFrame, instance: str | None = None) -> Read:
     """Records of resources already fetched from a server: uri, text, fetched_at (Unix seconds); templates are skipped."""
-    kept = listed.filter(~F.col("uri").contains("{"))
+    kept = listed.filter(F.col("uri").isNull() | ~F.col("uri").contains("{"))
     return finish(kept.select(F.col("uri").alias("native_id"), F.col("text").alias("content"), F.lit("unknown").alias("kind"), F.lit("ephemeral").alias("scope"), F.col("fetched_at").alias("created_at"), F.array("uri").alias("tags")), "generic-mcp", instance)
 
 
+def generic_mcp(spark: SparkSession, path: str, instance: str | None = None, since: int | None = None) -> Read:
+    """Resources listed by a server, as JSON lines {uri, text, fetched_at}; lines without a uri go to the errors."""
+    listed = spark.read.schema("uri string, text string, fetched_at long").json(path)
+    return resources(listed if since is None else listed.filter(F.col("fetched_at").isNull() | (F.col("fetched_at") > since)), instance)
+
+
 READERS: dict[str, Callable[..., Read]] = {
+    "generic-mcp": generic_mcp,
     "claude-code": claude_code, "codex": codex, "hermes": hermes, "openclaw": openclaw, "mem0": mem0, "letta": letta, "memori": memori, "memos": memos, "memary": memary, "mempalace": mempalace, "openviking": openviking, "tdai": tdai,
 }

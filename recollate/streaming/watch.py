@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -49,6 +49,16 @@ def follow(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoin
     return (writer.trigger(availableNow=True) if catch_up else writer.trigger(processingTime=POLL)).start()
 
 
+def remember(batch: DataFrame, number: int, path: str) -> None:
+    """One step of the state of each source: what this batch adds, under the batch's number, so that a batch that comes twice counts once."""
+    batch.groupBy("source").agg(F.max("ts").alias("last"), F.count(F.lit(1)).alias("seen")).write.mode("overwrite").parquet(f"{path}/step={number}")
+
+
+def remembered(spark: SparkSession, path: str) -> DataFrame:
+    """source, last, seen over all batches so far."""
+    return spark.read.parquet(path).groupBy("source").agg(F.max("last").alias("last"), F.sum("seen").alias("seen"))
+
+
 def heartbeat(query: StreamingQuery, now: float, stale_after: float = 45.0) -> str:
     """alive, stale or stopped, from the last progress of a query."""
     if not query.isActive:

@@ -13,5 +13,5 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores if its files give fewer tasks than there are; larger inputs, which give more, stay as they are read."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    tasks = df._jdf.queryExecution().toRdd().getNumPartitions()
+    tasks = df.rdd.getNumPartitions()
     return df.repartition(cores) if tasks < cores else df

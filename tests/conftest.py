@@ -1,3 +1,4 @@
+import os
 import sys
 from pathlib import Path
 
@@ -7,7 +8,8 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 from recollate.session import build_session  # noqa: E402
 
-DATA = Path("/root/testdata/sf0.001")
+DATA = Path("/root/testdata/sf0.01")
+SMALL = Path("/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="session")
@@ -22,6 +24,31 @@ def folder():
     return str(DATA)
 
 
+@pytest.fixture(scope="session")
+def small():
+    if not SMALL.exists():
+        pytest.skip("no test data here")
+    return str(SMALL)
+
+
+def _views(place):
+    duckdb = pytest.importorskip("duckdb")
+    c = duckdb.connect()
+    for f in os.listdir(place):
+        c.sql(f"CREATE VIEW {f[:-8]} AS SELECT * FROM '{place}/{f}'")
+    return c
+
+
+@pytest.fixture(scope="session")
+def duck(folder):
+    return _views(folder)
+
+
+@pytest.fixture(scope="session")
+def duck_small(small):
+    return _views(small)
+
+
 @pytest.fixture()
 def rows():
     return lambda df: sorted(tuple(r) for r in df.collect())

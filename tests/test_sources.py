@@ -2,6 +2,7 @@ import json
 import sqlite3
 
 import pytest
+from pyspark.sql import functions as F
 
 from recollate.sinks import export
 from recollate.sources import files, sqlite, stores
@@ -66,6 +67,30 @@ def test_sqlite_stores(spark, tmp_path):
     assert got["entity_fact|g"]["created_at"] == 1704153600
 
 
+def test_hidden_files_are_read(spark, tmp_path):
+    root = write(tmp_path / "t", {"x.md": "1", "_under.md": "2", ".dot.md": "3", "sub/.a/b.md": "4", "_d/c.md": "5", "y.txt": "6", ".z.txt": "7"})
+    assert sorted((r["rel"], r["name"], r["content"]) for r in files.text_files(spark, root, "*.md").collect()) == [(".dot.md", ".dot.md", "3"), ("_d/c.md", "c.md", "5"), ("_under.md", "_under.md", "2"), ("sub/.a/b.md", "b.md", "4"), ("x.md", "x.md", "1")]
+    assert files.text_files(spark, root, "*.md", since=4_000_000_000).count() == 0
+
+
+def test_pretty_printed_sessions(spark, tmp_path):
+    item = {"type": "response_item", "payload": {"type": "message", "role": "user", "content": [{"type": "input_text", "text": " q\n"}]}}
+    got, _ = by_id(stores.codex(spark, write(tmp_path / "x", {"a.json": json.dumps([item, item], indent=2), "b.json": json.dumps({"items": [item]}, indent=1), "c.json": "{torn"})))
+    assert {k: json.loads(r["metadata"])["message_count"] for k, r in got.items()} == {"session|a.json": 2, "session|b.json": 1, "session|c.json": 0}
+
+
+def test_metadata_survives_an_export(spark, tmp_path):
+    source = db(tmp_path / "m.db", ("CREATE TABLE memories (id TEXT, memory TEXT, metadata TEXT)",), ("INSERT INTO memories VALUES ('1', 'x', ?)", [('{"own":{"k":[1]},"categories":["c"]}',)]))
+    records = stores.mem0(spark, source, "i")[0].withColumn("derived_from", F.lit("parent"))
+    export.export(records, "mem0-sqlite", str(tmp_path / "out"))
+    r = stores.mem0(spark, str(tmp_path / "out"))[0].first()
+    assert json.loads(r["metadata"]) == {"own": {"k": [1]}, "categories": ["c"]} and r["derived_from"] == "parent" and r["tags"] == ["c"]
+    with sqlite3.connect(tmp_path / "out") as c:
+        assert {"own", "origin_source_adapter", "origin_derived_from"} < set(json.loads(c.execute("SELECT metadata FROM memories").fetchone()[0]))
+    export.report_csv(records.select("id", "tags", "raw_hash"), str(tmp_path / "report"))
+    assert spark.read.option("header", "true").csv(str(tmp_path / "report")).columns == ["id", "tags"]
+
+
 def test_sqlite_splits_read_every_row_once(spark, tmp_path):
     path = db(tmp_path / "n.db", ("CREATE TABLE t (id INTEGER PRIMARY KEY, v TEXT, x REAL, b BLOB)",), ("INSERT INTO t VALUES (?,?,?,?)", [(i, f"v{i}", i / 2, b"z") for i in range(1, 252)]))
     spark.dataSource.register(sqlite.SqliteSource)
@@ -81,8 +106,11 @@ def test_file_stores(spark, tmp_path):
     assert {r["content"] for r in got.values()} == {"entity mentioned: E", "entity tally: E (count=3)", "user: q", "me"}
     got, _ = by_id(stores.openclaw(spark, write(tmp_path / "w", {"openclaw.json": "{}", "workspace/AGENTS.md": "a", "workspace/skills/s/SKILL.md": "k", "workspace/sessions/1.jsonl": "l", "other.txt": "x"})))
     assert {r["kind"] for r in got.values()} == {"reference", "skill", "episode"} and len(got) == 4
-    tree = {"local/a/resources/r/x.md": "r", "local/a/user/u/memories/profile.md": "p", "local/a/agent/g/skills/s.md": "k", "local/a/session/s1/.abstract.md": "sum", "local/a/session/s1/messages.jsonl": '{"id":"m1","role":"user","parts":[{"type":"text","text":"hey"}]}\nbroken\n', "local/a/session/s1/.meta.json": "{}"}
+    tree = {"local/a/resources/r/x.md": "r", "local/a/user/u/memories/profile.md": "p", "local/a/agent/g/skills/s.md": "k", "local/a/session/s1/.abstract.md": "sum", "local/a/session/s1/.overview.md": "over", "local/a/resources/_r.md": "u", "local/a/session/s1/messages.jsonl": '{"id":"m1","role":"user","parts":[{"type":"text","text":"hey"}]}\nbroken\n', "local/a/session/s1/.meta.json": "{}"}
     got, errors = by_id(stores.openviking(spark, write(tmp_path / "v", tree)))
+    layers = {k: json.loads(r["metadata"]).get("layer") for k, r in got.items() if k.startswith("viking")}
+    assert layers == {"viking://resources/r/x.md": "L2", "viking://resources/_r.md": "L2", "viking://user/u/memories/profile.md": "L2", "viking://agent/g/skills/s.md": "L2", "viking://session/s1/.abstract.md": "L0", "viking://session/s1/.overview.md": "L1"}
+    assert got["viking://session/s1/.abstract.md"]["content"] == "sum" and got["viking://session/s1/.abstract.md"]["scope"] == "session"
     assert got["message|s1|m1"]["content"] == "hey" and len(errors) == 1 and {r["kind"] for r in got.values()} == {"reference", "preference", "skill", "episode"}
     got, _ = by_id(stores.tdai(spark, write(tmp_path / "t", {"persona.md": "P", "refs/r.md": "R", "f.jsonl": '{"content":"F"}\nraw\n', "s.md": "S"})))
     assert {(r["content"], r["kind"]) for r in got.values()} == {("P", "preference"), ("R", "episode"), ("F", "fact"), ("raw", "fact"), ("S", "reference")}
@@ -136,6 +164,12 @@ def test_exports_round_trip(spark, tmp_path):
     export.export(records, "csv", str(tmp_path / "out.csv"))
     assert {r["content"] for r in spark.read.option("header", "true").option("multiLine", "true").option("escape", '"').csv(str(tmp_path / "out.csv")).collect()} == texts
     export.export(records, "tdai-dir", str(tmp_path / "facts"))
-    assert spark.read.text(str(tmp_path / "facts")).count() == 2
+    assert len(list((tmp_path / "facts").glob("*.jsonl"))) >= 1
+    columns = ["id", "adapter", "instance", "native_id", "content", "kind", "scope", "tags", "raw_hash"]
+    want = sorted(map(tuple, records.select(*columns).collect()))
+    for form, back in (("mem0-sqlite", stores.mem0), ("letta-sqlite", stores.letta), ("tdai-dir", stores.tdai), ("memos-dir", stores.memos), ("memory-dir", stores.claude_code)):
+        again, _ = back(spark, str(tmp_path / {"tdai-dir": "facts", "memos-dir": "cube", "memory-dir": "md"}.get(form, form)), "elsewhere")
+        assert sorted(map(tuple, again.select(*columns).collect())) == want, form
+        assert {r["metadata"] for r in again.select("metadata").collect()} == {"{}"}
     with pytest.raises(ValueError):
         export.export(records, "nope", "x")
