@@ -51,6 +51,8 @@ def index_terms(text: Column) -> Column:
 STOP_WORDS = frozenset(
     "a an and are as at be by can do does for from had has have how i in is it its me my of on or our that the their this to was we what when where which who why will with you your".split()
 )
+# The same in Chinese, as the pairs of characters that terms of dense scripts are.
+STOP_PAIRS = frozenset("一个 没有 自己 这个 那个 什么 怎么 我们 你们 他们 可以 因为 所以 但是 如果 就是 还是 不是 这些 那些 以及 或者 已经 关于".split())
 
 
 def plan_query(text: str) -> tuple[list[str], list[str]]:
@@ -61,5 +63,5 @@ def plan_query(text: str) -> tuple[list[str], list[str]]:
     for w in words:
         parts = [w[i : i + 2] for i in range(max(len(w) - 1, 1))] if dense.match(w) else [w]
         terms += [p for p in parts if p not in terms]
-    salient = [t for t in terms if t not in STOP_WORDS] or terms
+    salient = [t for t in terms if t not in STOP_WORDS | STOP_PAIRS] or terms
     return terms, [] if len(terms) <= 1 else salient

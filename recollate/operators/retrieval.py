@@ -7,16 +7,16 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recollate.functions.text import estimate_tokens, index_terms, plan_query, project_root
+from recollate.functions.text import STOP_PAIRS, STOP_WORDS, index_terms, project_root
 from recollate.session import cut
 
 K1, B, FUSION = 1.2, 0.75, 60
 BOOST, BOOSTED = 0.05, ("preference", "feedback", "fact", "skill", "reference")
-#: Queries compared in one pass over the vectors; what is broadcast is this many vectors.
-QUERY_BLOCK = 2048
+#: Vectors that stand in one block of queries and in one of the index: they bound what a task holds.
+QUERY_BLOCK, VECTOR_BLOCK = 1024, 4096
 
 
 def pool_size(limit: int) -> int:
@@ -24,96 +24,114 @@ def pool_size(limit: int) -> int:
     return 0 if limit <= 0 else max(limit, min(max(8 * limit, 64), 512))
 
 
-def query_terms(queries: list[tuple[int, str]]) -> list[tuple[int, str, int, bool]]:
-    """(query, term, number of strict terms, whether the term counts in the relaxed pass)."""
-    out = []
-    for q, text in queries:
-        strict, relaxed = plan_query(text)
-        out += [(q, t, len(strict), t in relaxed or not relaxed) for t in strict]
-    return out
+def resolve_mode(mode: str | None, has_vectors: bool) -> str:
+    """fulltext, vector or hybrid (the default); keyword is another name of fulltext. Without vectors everything is fulltext."""
+    name = {"keyword": "fulltext", None: "hybrid"}.get(mode, mode)
+    if name not in ("fulltext", "vector", "hybrid"):
+        raise ValueError(f"unknown mode {mode!r}")
+    return name if has_vectors else "fulltext"
 
 
-def full_text(records: DataFrame, queries: list[tuple[int, str]], limit: int, key: str = "doc_id", text: str = "content") -> DataFrame:
+def query_terms(queries: DataFrame) -> DataFrame:
+    """query_id, term, strict (how many terms the query has), relaxed (whether the term counts when not all are met); queries: query_id, text."""
+    stop = F.col("term").isin(*sorted(STOP_WORDS | STOP_PAIRS))
+    each = queries.select("query_id", F.inline(F.array(F.struct(index_terms(F.col("text")).alias("terms"))))).select("query_id", F.size("terms").alias("strict"), "terms")
+    meant = F.size(F.array_except("terms", F.array(*[F.lit(w) for w in sorted(STOP_WORDS | STOP_PAIRS)])))
+    return each.select("query_id", "strict", meant.alias("meant"), F.explode("terms").alias("term")).select("query_id", "term", "strict", (~stop | (F.col("meant") == 0)).alias("relaxed"))
+
+
+def full_text(records: DataFrame, queries: DataFrame, limit: int, key: str = "doc_id", text: str = "content", allowed: DataFrame | None = None) -> DataFrame:
     """query_id, key, tier, score, rank: BM25 over distinct terms; records with all terms (tier 0) come before those with any meaningful one.
 
-    Statistics are those of the whole index. The queries are few and given by the caller; their terms are the only thing
-    broadcast, and only matching postings are shuffled.
+    queries: query_id, text, any number of them. Statistics are those of the whole index; the texts are cut into terms once. allowed: the keys that
+    a filter admits, applied before the ranks and so before any limit. Queries and postings meet in a join on the term, which Spark
+    broadcasts if the queries are few and otherwise shuffles; a term that many texts and queries share is split by the adaptive skew join.
     """
-    spark = records.sparkSession
-    docs = records.select(key, F.inline(F.array(F.struct(index_terms(F.col(text)).alias("terms")))))
-    total = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("terms")).alias("length")).first()
-    n, mean = total["n"], total["length"] or 1.0
-    terms = spark.createDataFrame(query_terms(queries), "query_id int, term string, strict int, relaxed boolean")
+    docs = cut(records.select(key, F.inline(F.array(F.struct(index_terms(F.col(text)).alias("terms"))))))
+    total = docs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg(F.size("terms")), F.lit(1.0)).alias("mean"))
+    terms = query_terms(queries)
     postings = docs.select(key, F.size("terms").alias("length"), F.explode("terms").alias("term"))
-    # Only postings of the queries' terms survive; they are written once and give both the hits and the document frequencies.
-    matched = cut(postings.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi"))
-    hits = matched.join(F.broadcast(terms), "term")
-    df = matched.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.greatest(F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    weight = idf * (K1 + 1) / (1 + K1 * (1 - B + B * F.col("length") / mean))
-    scored = hits.join(F.broadcast(df), "term").groupBy("query_id", key).agg(
+    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    wanted = terms.join(df, "term").crossJoin(F.broadcast(total))  # one row of totals
+    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
+    asked = wanted.select("query_id", "term", "strict", "relaxed", idf.alias("idf"), "mean")
+    weight = F.col("idf") * (K1 + 1) / (1 + K1 * (1 - B + B * F.col("length") / F.col("mean")))
+    scored = postings.join(asked, "term").groupBy("query_id", key).agg(
         F.sum(weight).alias("score"), F.count(F.lit(1)).alias("found"), F.max("strict").alias("strict"), F.sum(F.when(F.col("relaxed"), weight).otherwise(0.0)).alias("loose")
     )
-    tiered = scored.select("query_id", key, F.when(F.col("found") == F.col("strict"), 0).otherwise(1).alias("tier"), F.when(F.col("found") == F.col("strict"), F.col("score")).otherwise(F.col("loose")).alias("score"))
+    all_met = F.col("found") == F.col("strict")
+    tiered = scored.select("query_id", key, F.when(all_met, 0).otherwise(1).alias("tier"), F.when(all_met, F.col("score")).otherwise(F.col("loose")).alias("score"))
+    if allowed is not None:
+        tiered = tiered.join(allowed.select(key), key, "left_semi")
     order = Window.partitionBy("query_id").orderBy("tier", F.round("score", 9).desc(), key)
     return tiered.filter("tier = 0 OR score > 0").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, limit: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """query_id, key, score, rank: exact cosine neighbours of every query among all vectors.
-
-    queries: (query_id, vector), compared in blocks of QUERY_BLOCK; each partition keeps its best ``limit`` for every query, so only those are
-    shuffled. Vectors of another length or of no length score 0.
+def _blocks(df: DataFrame, key: str, vector: str, size: int) -> DataFrame:
+    """ids, matrix (unit vectors of float64, row after row), dim: the vectors of df in blocks of at most ``size``; those of another length than the first of a block get one of their own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[list, list]] = {}
+
+        def emit(dim: int) -> pa.RecordBatch:
+            ids, rows = held.pop(dim)
+            x = np.concatenate(rows)
+            norm = np.linalg.norm(x, axis=1, keepdims=True)
+            x = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+            return pa.RecordBatch.from_arrays([pa.array([np.concatenate(ids)], pa.list_(pa.int64())), pa.array([x.tobytes()], pa.binary()), pa.array([dim], pa.int32())], names=["ids", "matrix", "dim"])
+
+        for batch in batches:
+            lists = batch.column(1)
+            sizes = np.diff(lists.offsets.to_numpy())
+            flat, at = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(sizes)))
+            items = batch.column(0).to_numpy()
+            for dim in np.unique(sizes):
+                if dim == 0:
+                    continue
+                rows = np.flatnonzero(sizes == dim)
+                ids, parts = held.setdefault(int(dim), ([], []))
+                ids.append(items[rows])
+                parts.append(flat[at[rows][:, None] + np.arange(dim)].astype(np.float64))
+                if sum(map(len, ids)) >= size:
+                    yield emit(int(dim))
+        for dim in list(held):
+            yield emit(dim)
+
+    return df.select(F.col(key).cast("long"), F.col(vector).cast("array<double>")).na.drop().mapInArrow(run, "ids array<long>, matrix binary, dim int")
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, limit: int, key: str = "vec_id", vector: str = "embedding", allowed: DataFrame | None = None) -> DataFrame:
+    """query_id, key, score, rank: exact cosine neighbours of every query among all vectors of its length.
+
+    queries: (query_id, vector), any number. Both sides are packed into blocks on the executors; each block of queries meets each block of
+    vectors in one matrix product that keeps the best ``limit``, so nothing passes the driver and only those are shuffled. Vectors without length score 0.
     """
-    spark = vectors.sparkSession
-    out = "query_id long, item long, score double"
-
-    def block(rows: list) -> DataFrame:
-        ids = np.array([r[0] for r in rows])
-        matrix = np.array([r[1] for r in rows], np.float64)
-        norm = np.linalg.norm(matrix, axis=1, keepdims=True)
-        shared = spark.sparkContext.broadcast((ids, np.divide(matrix, norm, out=np.zeros_like(matrix), where=norm > 0)))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, q = shared.value
-            best: tuple[np.ndarray, np.ndarray] | None = None
-            for batch in batches:
-                lists = batch.column(1)
-                sizes = np.diff(lists.offsets.to_numpy())
-                items = batch.column(0).to_numpy()
-                x = np.zeros((len(items), q.shape[1]))
-                fit = sizes == q.shape[1]
-                if fit.all():
-                    x = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(items), -1)
-                else:
-                    for i in np.flatnonzero(fit):
-                        x[i] = lists[int(i)].values.to_numpy(zero_copy_only=False)
-                norm = np.linalg.norm(x, axis=1, keepdims=True)
-                score = q @ np.divide(x, norm, out=np.zeros_like(x), where=norm > 0).T
-                names = np.broadcast_to(items, score.shape)
-                if best is not None:
-                    score, names = np.concatenate([best[0], score], 1), np.concatenate([best[1], names], 1)
-                keep = np.lexsort((names, -np.round(score, 12)), axis=1)[:, :limit]
-                best = np.take_along_axis(score, keep, 1), np.take_along_axis(names, keep, 1)
-            if best is not None:
-                k = best[0].shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, k)), pa.array(best[1].ravel()), pa.array(best[0].ravel())], names=["query_id", "item", "score"])
-
-        return vectors.select(F.col(key).cast("long"), F.col(vector).cast("array<double>")).na.drop().mapInArrow(run, out)
-
-    parts, rows = [], []
-    for r in queries.na.drop().toLocalIterator():
-        rows.append((r[0], r[1]))
-        if len(rows) == QUERY_BLOCK:
-            parts.append(block(rows))
-            rows = []
-    if rows or not parts:
-        parts.append(block(rows) if rows else spark.createDataFrame([], out))
+    if allowed is not None:
+        vectors = vectors.join(allowed.select(key), key, "left_semi")
+    q = _blocks(queries, queries.columns[0], queries.columns[1], QUERY_BLOCK).select(F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"), "dim")
+    v = _blocks(vectors, key, vector, VECTOR_BLOCK).select("ids", "matrix", F.col("dim").alias("v_dim"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for q_ids, q_matrix, ids, matrix, dim in zip(*(batch.column(c).to_pylist() for c in ("q_ids", "q_matrix", "ids", "matrix", "dim")), strict=True):
+                names = np.array(ids)
+                score = np.frombuffer(q_matrix).reshape(-1, dim) @ np.frombuffer(matrix).reshape(-1, dim).T
+                keep = np.lexsort((np.broadcast_to(names, score.shape), -np.round(score, 12)), axis=1)[:, :limit]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(q_ids), keep.shape[1])), pa.array(names[keep].ravel()), pa.array(np.take_along_axis(score, keep, 1).ravel())], names=["query_id", "item", "score"])
+
+    pairs = v.crossJoin(q).filter("dim = v_dim").select("q_ids", "q_matrix", "ids", "matrix", "dim")  # blocks of the stated queries against blocks of all vectors
+    found = pairs.mapInArrow(run, "query_id long, item long, score double")
     order = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "item")
-    found = reduce(DataFrame.unionByName, parts)
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).withColumnRenamed("item", key)
 
 
+def best_chunks(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """query_id, doc_id, chunk_id, score, place, tokens: the matched chunks of each record, best first (ties by chunk)."""
+    full = hits.select("query_id", "chunk_id", "score").join(chunks.select("chunk_id", "doc_id", F.col("token_estimate").alias("tokens")), "chunk_id")
+    order = Window.partitionBy("query_id", "doc_id").orderBy(F.round("score", 9).desc(), "chunk_id")
+    return full.select("query_id", "doc_id", "chunk_id", "score", F.row_number().over(order).alias("place"), "tokens")
+
+
 def fuse(text: DataFrame, vector: DataFrame, limit: int, key: str = "doc_id") -> DataFrame:
     """Reciprocal rank fusion: the sum of 1 / (60 + rank) over both lists, ties by key; raw scores and ranks stay."""
     a = text.select("query_id", key, F.col("rank").alias("text_rank"), F.col("score").alias("text_score"))
@@ -125,28 +143,61 @@ def fuse(text: DataFrame, vector: DataFrame, limit: int, key: str = "doc_id") ->
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
 
 
-def pack(hits: DataFrame, records: DataFrame, max_records: int = 20, max_tokens: int = 4000, per_source: int = 5, per_project: int = 3, key: str = "doc_id") -> DataFrame:
-    """query_id, place, key, score, kept_tokens: hits as context, each record with one chunk.
+def explain(matched: DataFrame, records: DataFrame) -> DataFrame:
+    """query_id, doc_id, record_score, best_chunk, best_score, boost: how the score of each matched record comes about."""
+    best = matched.filter("place = 1").select("query_id", "doc_id", F.col("chunk_id").alias("best_chunk"), F.col("score").alias("best_score"))
+    boost = F.when(F.col("kind").isin(*BOOSTED), BOOST).otherwise(0.0)
+    return best.join(records.select("doc_id", "kind"), "doc_id").select("query_id", "doc_id", (F.col("best_score") + boost).alias("record_score"), "best_chunk", "best_score", boost.alias("boost"))
+
+
+def _budget(max_tokens: int) -> Column:
+    """The chunks kept of the ordered records: a record comes in while the budget isn't used up, its first chunk always, others until one doesn't fit."""
+    zero = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<doc_id:bigint,place:int,score:double,chunk_id:string,tokens:bigint>>").alias("kept"))
+
+    def record(acc: Column, r: Column) -> Column:
+        start = F.struct(acc["used"].alias("used"), F.lit(True).alias("open"), F.array().cast("array<struct<chunk_id:string,tokens:bigint>>").alias("own"))
 
-    Kinds that agents care for are boosted, scores compared in bands of 0.01 with the newest first inside a band, then at most ``per_source``
-    of a source, ``per_project`` of a project among the survivors, ``max_records`` in all, and records until the token budget is used up.
+        def chunk(a: Column, c: Column) -> Column:
+            fits = a["open"] & ((F.size(a["own"]) == 0) | (a["used"] + c["tokens"] <= max_tokens))
+            taken = F.concat(a["own"], F.array(F.struct(c["chunk_id"].alias("chunk_id"), c["tokens"].alias("tokens"))))
+            return F.struct((a["used"] + F.when(fits, c["tokens"]).otherwise(0)).alias("used"), fits.alias("open"), F.when(fits, taken).otherwise(a["own"]).alias("own"))
+
+        done = F.aggregate(r["chunks"], start, chunk)
+        rows = F.transform(done["own"], lambda c: F.struct(r["doc_id"].alias("doc_id"), r["place"].alias("place"), r["score"].alias("score"), c["chunk_id"].alias("chunk_id"), c["tokens"].alias("tokens")))
+        return F.when(acc["used"] >= max_tokens, acc).otherwise(F.struct(done["used"].alias("used"), F.concat(acc["kept"], rows).alias("kept")))
+
+    return F.aggregate("records", zero, record, lambda acc: acc["kept"])
+
+
+def pack(matched: DataFrame, records: DataFrame, max_records: int = 20, max_tokens: int = 4000, per_source: int = 5, per_project: int = 3) -> DataFrame:
+    """query_id, place, doc_id, score, chunk_id, tokens: matched chunks (as of best_chunks) as context.
+
+    A record scores as its best chunk; kinds that agents care for are boosted, scores compared in bands of 0.01 with the newest first
+    inside a band, then at most ``per_source`` of a source, ``per_project`` of a project among the survivors, ``max_records`` in all, and chunks
+    within the token budget. What is folded in one value is at most ``max_records`` records of a query.
     """
-    full = hits.select("query_id", key, "score").join(records.select(key, "id", "adapter", "instance", "kind", "created_at", "updated_at", "native_path", "content"), key)
+    best = matched.filter("place = 1").select("query_id", "doc_id", "score")
+    full = best.join(records.select("doc_id", "id", "adapter", "instance", "kind", "created_at", "updated_at", "native_path"), "doc_id")
     boosted = full.select(
-        "query_id", key, "id", "adapter", "instance",
+        "query_id", "doc_id", "id", "adapter", "instance",
         project_root(F.col("native_path")).alias("project"),
         (F.col("score") + F.when(F.col("kind").isin(*BOOSTED), BOOST).otherwise(0.0)).alias("score"),
         F.greatest(F.coalesce("updated_at", "created_at"), "created_at").alias("newest"),
-        estimate_tokens(F.col("content")).alias("tokens"),
     )
     order = [F.round(F.col("score") * 100).desc(), F.col("newest").desc(), F.col("id")]
     place = lambda *by: F.row_number().over(Window.partitionBy("query_id", *by).orderBy(*order))
     capped = boosted.withColumn("of_source", place("adapter", "instance")).filter(F.col("of_source") <= per_source)
     capped = capped.withColumn("of_project", place("adapter", "instance", "project")).filter(F.col("of_project") <= per_project)
-    first = capped.withColumn("place", place()).filter(F.col("place") <= max_records)
-    # A record's first chunk is always kept; a record is dropped once the budget was used up before it.
-    before = F.coalesce(F.sum("tokens").over(Window.partitionBy("query_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return first.withColumn("used", before).filter(F.col("used") < max_tokens).select("query_id", "place", key, "score", F.col("tokens").alias("kept_tokens"))
+    first = capped.withColumn("place", place()).filter(F.col("place") <= max_records).select("query_id", "doc_id", "score", "place")
+    chunks = matched.select("query_id", "doc_id", F.col("place").alias("at"), "chunk_id", F.col("tokens").cast("long").alias("tokens")).join(first, ["query_id", "doc_id"])
+    by_record = chunks.groupBy("query_id", "doc_id", "place", "score").agg(F.array_sort(F.collect_list(F.struct("at", "chunk_id", "tokens"))).alias("chunks"))
+    by_query = by_record.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("place", F.col("doc_id").cast("long").alias("doc_id"), "score", "chunks"))).alias("records"))
+    return by_query.select("query_id", F.inline(_budget(max_tokens))).select("query_id", "place", "doc_id", "score", "chunk_id", "tokens")
+
+
+def trace(**stages: DataFrame) -> DataFrame:
+    """stage, rows: how many rows each stage of a search holds; no text of a user is in it."""
+    return reduce(DataFrame.unionByName, (df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("stage"), "rows") for n, df in stages.items()))
 
 
 def evaluate(ranked: DataFrame, judged: DataFrame, k: int, key: str = "doc_id") -> DataFrame:

@@ -50,8 +50,8 @@ def counts_by(df: DataFrame, *columns: str, name: str = "n") -> DataFrame:
 
 def keep_last(metrics: DataFrame, most: int = 5000) -> DataFrame:
     """The newest rows of a log that is capped by number; the cap is the feature."""
-    newest = metrics.agg(F.max("event_id")).first()[0]
-    return metrics.filter(F.col("event_id") > (newest or 0) - most)
+    newest = metrics.agg(F.max("event_id").alias("__newest"))
+    return metrics.crossJoin(F.broadcast(newest)).filter(F.col("event_id") > F.col("__newest") - most).drop("__newest")  # one row
 
 
 def tail(log: DataFrame, limit: int, actions: list[str] | None = None, since: int | None = None) -> DataFrame:

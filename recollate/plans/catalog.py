@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from recollate.functions.text import estimate_tokens, freshness, normalize_tag, project_root, truncate
+from recollate.functions.text import STOP_PAIRS, STOP_WORDS, estimate_tokens, freshness, normalize_tag, project_root, truncate
 from recollate.operators import chunking, duplicates, extraction, graph, retrieval, rollups, selection, similar, state
 from recollate.plans import model
 from recollate.plans.model import oracle
+from recollate.session import cut
 from recollate.tables import spread, table
 
 NOW = 1704067200 + 400 * 3600
@@ -95,9 +96,9 @@ def list_forgotten(s: SparkSession, d: str) -> DataFrame:
     return selection.top(selection.redacted(stones, ["reason", "derived_from"]), 20, F.col("forgotten_at").desc(), F.col("record_id").desc())
 
 
-@query("SELECT id, adapter, created_at FROM (SELECT *, row_number() OVER (PARTITION BY adapter ORDER BY created_at DESC, id) AS n FROM records) WHERE n <= 5")
+@query("SELECT id, adapter, created_at FROM (SELECT *, row_number() OVER (PARTITION BY adapter, instance ORDER BY created_at DESC, id) AS n FROM records) WHERE n <= 5")
 def newest_per_source(s: SparkSession, d: str) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy("adapter").orderBy(F.col("created_at").desc(), "id"))
+    place = F.row_number().over(Window.partitionBy("adapter", "instance").orderBy(F.col("created_at").desc(), "id"))
     return model.records(s, d).select("id", "adapter", "created_at", place.alias("n")).filter("n <= 5").drop("n")
 
 
@@ -142,12 +143,12 @@ def gate_scores(s: SparkSession, d: str) -> DataFrame:
 
 @query(
     "SELECT r.adapter, r.instance, r.records, coalesce(c.chunks, 0) AS chunks, coalesce(t.tagged, 0) AS tagged FROM (SELECT adapter, instance, count(*) AS records FROM records GROUP BY 1, 2) r "
-    "LEFT JOIN (SELECT adapter, instance, count(*) AS chunks FROM records GROUP BY 1, 2) c USING (adapter, instance) "
+    "LEFT JOIN (SELECT adapter, instance, count(*) AS chunks FROM records JOIN chunks USING (doc_id) GROUP BY 1, 2) c USING (adapter, instance) "
     "LEFT JOIN (SELECT adapter, instance, count(DISTINCT r2.doc_id) AS tagged FROM records r2 JOIN tags USING (doc_id) GROUP BY 1, 2) t USING (adapter, instance)"
 )
 def source_inventory(s: SparkSession, d: str) -> DataFrame:
     records = model.records(s, d)
-    return rollups.source_inventory(records, model.tags(s, d), records.select("doc_id"))
+    return rollups.source_inventory(records, model.tags(s, d), chunking.chunks(records))
 
 
 @query(
@@ -375,103 +376,183 @@ def tag_replace(s: SparkSession, d: str) -> DataFrame:
     return state.tag(model.tags(s, d), model.records(s, d).filter("kind = 'skill'"), ["kept"], "replace")
 
 
-def _embedded(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    chunks = model.records(s, d).select("doc_id", F.col("doc_id").cast("string").alias("chunk_id"), F.col("raw_hash").alias("content_hash"))
-    vectors = table(s, d, "embeddings").select(F.col("vec_id").cast("string").alias("chunk_id"), F.when(F.col("label") < 5, "small").otherwise("large").alias("model_id"))
-    return chunks, vectors.join(chunks.select("chunk_id", "content_hash"), "chunk_id", "left")
+def embedded(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(chunks, vectors): the vectors are those of first chunks; of every tenth the content has changed since."""
+    chunks = chunking.chunks(model.records(s, d))
+    vectors = table(s, d, "embeddings").select("vec_id", F.concat(F.col("vec_id"), F.lit(":0")).alias("chunk_id"), F.when(F.col("label") < 5, "small").otherwise("large").alias("model_id"))
+    known = vectors.join(chunks.select("chunk_id", "content_hash"), "chunk_id", "left")
+    return chunks, known.select("chunk_id", "model_id", F.when(F.col("vec_id") % 10 == 3, "stale").otherwise(F.col("content_hash")).alias("content_hash"))
 
 
-@query("SELECT doc_id, CAST(doc_id AS VARCHAR) AS chunk_id, raw_hash AS content_hash FROM records WHERE doc_id NOT IN (SELECT vec_id FROM embeddings WHERE label < 5)")
+VECTORS = "vectors AS (SELECT vec_id || ':0' AS chunk_id, CASE WHEN label < 5 THEN 'small' ELSE 'large' END AS model_id, CASE WHEN vec_id % 10 = 3 THEN 'stale' ELSE content_hash END AS content_hash FROM embeddings LEFT JOIN chunks ON chunk_id = vec_id || ':0')"
+
+
+@query(f"WITH {VECTORS} SELECT doc_id, chunk_id, content_hash FROM chunks c WHERE NOT EXISTS (SELECT 1 FROM vectors v WHERE v.chunk_id = c.chunk_id AND v.content_hash = c.content_hash AND model_id = 'small')")
 def missing_embeddings(s: SparkSession, d: str) -> DataFrame:
-    chunks, vectors = _embedded(s, d)
+    chunks, vectors = embedded(s, d)
     return state.missing_embeddings(chunks, vectors, "small").select("doc_id", "chunk_id", "content_hash")
 
 
 @query(
-    "SELECT 'records_without_chunks' AS \"check\", CAST(0 AS BIGINT) AS n UNION ALL SELECT 'chunks_without_record', 0 UNION ALL SELECT 'chunks_without_embedding', (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)) "
-    "UNION ALL SELECT 'embeddings_without_chunk', (SELECT count(*) FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents))"
+    f"""WITH {VECTORS}, live AS (SELECT doc_id FROM records WHERE id NOT IN (SELECT record_id FROM tombstones)), kept AS (SELECT * FROM chunks WHERE doc_id % 17 <> 0)
+ SELECT 'records_without_chunks' AS "check", (SELECT count(*) FROM live WHERE doc_id NOT IN (SELECT doc_id FROM kept)) AS n UNION ALL SELECT 'chunks_without_record', (SELECT count(*) FROM kept WHERE doc_id NOT IN (SELECT doc_id FROM live))
+ UNION ALL SELECT 'chunks_without_embedding', (SELECT count(*) FROM kept WHERE chunk_id NOT IN (SELECT chunk_id FROM vectors)) UNION ALL SELECT 'embeddings_without_chunk', (SELECT count(*) FROM vectors WHERE chunk_id NOT IN (SELECT chunk_id FROM kept))"""
 )
 def verify_store(s: SparkSession, d: str) -> DataFrame:
-    chunks, vectors = _embedded(s, d)
-    return state.verify(model.records(s, d), chunks, vectors)
+    """A store that lost the chunks of every seventeenth record and the records that were forgotten."""
+    chunks, vectors = embedded(s, d)
+    return state.verify(_live(s, d), chunks.filter("doc_id % 17 <> 0"), vectors)
+
 
+def _live(s: SparkSession, d: str) -> DataFrame:
+    return state.live(model.records(s, d), model.tombstones(s, d).select(F.col("record_id").alias("id")))
 
-# --- retrieval: the queries are the fixed subject descriptions, and every vector whose id is divisible by 50
+
+# --- retrieval: the queries are the documents and vectors whose id is divisible by 50, against all rows; the judged ones are the subjects
 
 _TERMS = f"""list_distinct(flatten(list_transform(regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}_]+'), lambda w: CASE WHEN regexp_full_match(w, '[{_DENSE}]+')
  THEN list_transform(range(1, greatest(length(w) - 1, 1) + 1), lambda i: substr(w, i, 2)) ELSE [w] END)))"""
-_STOP = "'of', 'and', 'to', 'the', 'a', 'for', 'in', 'their', 'its'"
-_BM25 = f"""WITH docs AS (SELECT doc_id, {_TERMS} AS terms FROM records), n AS (SELECT count(*) AS n, avg(len(terms)) AS mean FROM docs), post AS (SELECT doc_id, len(terms) AS length, unnest(terms) AS term FROM docs),
- q AS (SELECT row_number() OVER (ORDER BY subject) - 1 AS query_id, list_distinct(regexp_extract_all(lower(description), '\\w+')) AS terms FROM subject_area), qt AS (SELECT query_id, len(terms) AS strict, unnest(terms) AS term FROM q),
+_STOP = ", ".join(f"'{w}'" for w in sorted(STOP_WORDS | STOP_PAIRS))
+_EVERY_50 = "SELECT doc_id AS query_id, content FROM records WHERE doc_id % 50 = 0"
+_SUBJECTS = "SELECT row_number() OVER (ORDER BY subject) - 1 AS query_id, description AS content FROM (SELECT DISTINCT subject, description FROM subject_area)"
+
+
+def _bm25(queries: str = _EVERY_50, index: str = "records", key: str = "doc_id", allowed: str = "TRUE") -> str:
+    return f"""WITH docs AS (SELECT {key}, {_TERMS} AS terms FROM {index}), n AS (SELECT count(*) AS n, avg(len(terms)) AS mean FROM docs), post AS (SELECT {key}, len(terms) AS length, unnest(terms) AS term FROM docs),
+ q AS (SELECT query_id, {_TERMS} AS terms FROM ({queries})), qt AS (SELECT query_id, len(terms) AS strict, unnest(terms) AS term, len(list_filter(terms, lambda t: t NOT IN ({_STOP}))) AS meant FROM q),
  df AS (SELECT term, count(*) AS df FROM post WHERE term IN (SELECT term FROM qt) GROUP BY 1),
- w AS (SELECT query_id, doc_id, term, strict, greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * 2.2 / (1 + 1.2 * (0.25 + 0.75 * length / mean)) AS weight FROM post JOIN qt USING (term) JOIN df USING (term), n),
- scored AS (SELECT query_id, doc_id, CASE WHEN count(*) = max(strict) THEN 0 ELSE 1 END AS tier, CASE WHEN count(*) = max(strict) THEN sum(weight) ELSE coalesce(sum(weight) FILTER (term NOT IN ({_STOP})), 0) END AS score FROM w GROUP BY 1, 2),
- ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY tier, round(score, 9) DESC, doc_id) AS rank FROM scored WHERE tier = 0 OR score > 0)"""
+ w AS (SELECT query_id, {key}, term, strict, meant, greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * 2.2 / (1 + 1.2 * (0.25 + 0.75 * length / mean)) AS weight FROM post JOIN qt USING (term) JOIN df USING (term), n),
+ scored AS (SELECT query_id, {key}, CASE WHEN count(*) = max(strict) THEN 0 ELSE 1 END AS tier, CASE WHEN count(*) = max(strict) THEN sum(weight) ELSE coalesce(sum(weight) FILTER (meant = 0 OR term NOT IN ({_STOP})), 0) END AS score FROM w GROUP BY 1, 2),
+ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY tier, round(score, 9) DESC, {key}) AS rank FROM scored WHERE (tier = 0 OR score > 0) AND {allowed})"""
 
 
-def _subject_queries(s: SparkSession, d: str) -> list[tuple[int, str]]:
-    """The fixed eight subjects in order of name, as (number, description)."""
-    rows = table(s, d, "subject_area").select("subject", "description").distinct().orderBy("subject").limit(1000).collect()
-    return [(i, r["description"]) for i, r in enumerate(rows)]
+_RANKED = " SELECT CAST(query_id AS BIGINT) AS query_id, doc_id, tier, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 10"
 
 
-@query(_BM25 + " SELECT CAST(query_id AS INTEGER) AS query_id, doc_id, tier, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 10")
+def _texts(s: SparkSession, d: str) -> DataFrame:
+    return model.records(s, d).filter("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.col("content").alias("text"))
+
+
+def _subjects(s: SparkSession, d: str) -> DataFrame:
+    """The eight subjects in order of name, as query_id, subject, text."""
+    number = F.row_number().over(Window.orderBy("subject")) - 1  # a fixed table of eight rows
+    return table(s, d, "subject_area").select("subject", F.col("description").alias("text")).distinct().select(number.cast("long").alias("query_id"), "subject", "text")
+
+
+@query(_bm25() + _RANKED)
 def full_text_search(s: SparkSession, d: str) -> DataFrame:
-    return retrieval.full_text(spread(model.records(s, d)), _subject_queries(s, d), 10).withColumn("score", F.round("score", 6))
+    return retrieval.full_text(spread(model.records(s, d)), _texts(s, d), 10).withColumn("score", F.round("score", 6))
+
+
+_FILTER = "adapter = 'claude-code' AND kind = 'fact' AND scope = 'user' AND created_at >= 1704067200 AND EXISTS (SELECT 1 FROM tags t WHERE t.doc_id = f.doc_id AND t.tag = 'en')"
+
+
+@query(_bm25(allowed=f"doc_id IN (SELECT doc_id FROM records f WHERE {_FILTER})") + _RANKED)
+def filtered_search(s: SparkSession, d: str) -> DataFrame:
+    """The filter holds before the limit, so the best admitted records come out however many others score higher."""
+    records = model.records(s, d)
+    admitted = selection.retrieval_filter(records, "claude-code", None, "fact", "user", 1704067200, None, model.tags(s, d), "en")
+    return retrieval.full_text(spread(records), _texts(s, d), 10, allowed=admitted).withColumn("score", F.round("score", 6))
 
 
 _NEAREST = """SELECT a.vec_id AS query_id, b.vec_id AS vec_id, list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]) * list_inner_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS score
- FROM embeddings a, embeddings b WHERE {0}"""
+ FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0"""
+
+
+def _vectors(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    vectors = table(s, d, "embeddings")
+    return vectors, vectors.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding"))
 
 
 @query(
-    f"WITH pairs AS ({_NEAREST.format('a.vec_id % 50 = 0')}), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS rank FROM pairs) SELECT query_id, vec_id, round(score, 5) AS score, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 10"
+    f"WITH pairs AS ({_NEAREST}), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS rank FROM pairs) SELECT query_id, vec_id, round(score, 5) AS score, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 10"
 )
 def vector_search(s: SparkSession, d: str) -> DataFrame:
-    vectors = table(s, d, "embeddings")
-    queries = vectors.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    return retrieval.nearest(vectors, queries, 10).withColumn("score", F.round("score", 5))
+    return retrieval.nearest(*_vectors(s, d), 10).withColumn("score", F.round("score", 5))
 
 
-def _hybrid(s: SparkSession, d: str, limit: int = 10) -> DataFrame:
+def _hybrid(s: SparkSession, d: str, limit: int = 10) -> tuple[DataFrame, DataFrame, DataFrame]:
     pool = retrieval.pool_size(limit)
-    text = retrieval.full_text(spread(model.records(s, d)), _subject_queries(s, d), pool)
-    vectors = table(s, d, "embeddings")
-    queries = vectors.filter("vec_id < 8").select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    near = retrieval.nearest(vectors, queries, pool).select(F.col("query_id").cast("int").alias("query_id"), F.col("vec_id").alias("doc_id"), "score", "rank")
-    return retrieval.fuse(text, near, limit)
+    text = retrieval.full_text(spread(model.records(s, d)), _texts(s, d), pool)
+    near = retrieval.nearest(*_vectors(s, d), pool).select("query_id", F.col("vec_id").alias("doc_id"), "score", "rank")
+    return text, near, retrieval.fuse(text, near, limit)
 
 
-_HYBRID_OF = (
-    _BM25
-    + f", pairs AS ({_NEAREST.format('a.vec_id < 8')}), near AS (SELECT query_id, vec_id AS doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS rank FROM pairs), "
+_HYBRID = (
+    _bm25()
+    + f", pairs AS ({_NEAREST}), near AS (SELECT query_id, vec_id AS doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS rank FROM pairs), "
     "fused AS (SELECT coalesce(t.query_id, v.query_id) AS query_id, coalesce(t.doc_id, v.doc_id) AS doc_id, t.rank AS text_rank, v.rank AS vector_rank, coalesce(1.0 / (60 + t.rank), 0) + coalesce(1.0 / (60 + v.rank), 0) AS score "
     "FROM (SELECT * FROM ranked WHERE rank <= POOL) t FULL OUTER JOIN (SELECT * FROM near WHERE rank <= POOL) v ON t.query_id = v.query_id AND t.doc_id = v.doc_id), "
     "placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, doc_id) AS rank FROM fused)"
-)
-_HYBRID = _HYBRID_OF.replace("POOL", str(retrieval.pool_size(10)))
+).replace("POOL", str(retrieval.pool_size(10)))
 
 
 @query(
-    _HYBRID + " SELECT CAST(query_id AS INTEGER) AS query_id, doc_id, CAST(text_rank AS INTEGER) AS text_rank, CAST(vector_rank AS INTEGER) AS vector_rank, round(score, 9) AS score, CAST(rank AS INTEGER) AS rank FROM placed WHERE rank <= 10"
+    _HYBRID + " SELECT CAST(query_id AS BIGINT) AS query_id, doc_id, CAST(text_rank AS INTEGER) AS text_rank, CAST(vector_rank AS INTEGER) AS vector_rank, round(score, 9) AS score, CAST(rank AS INTEGER) AS rank FROM placed WHERE rank <= 10"
 )
 def hybrid_search(s: SparkSession, d: str) -> DataFrame:
-    return _hybrid(s, d).select("query_id", "doc_id", "text_rank", "vector_rank", F.round("score", 9).alias("score"), "rank")
+    return _hybrid(s, d)[2].select("query_id", "doc_id", "text_rank", "vector_rank", F.round("score", 9).alias("score"), "rank")
+
+
+@query(
+    _HYBRID + " SELECT 'fulltext' AS stage, (SELECT count(*) FROM ranked WHERE rank <= 80) AS rows UNION ALL SELECT 'vector', (SELECT count(*) FROM near WHERE rank <= 80) UNION ALL SELECT 'fused', (SELECT count(*) FROM placed WHERE rank <= 10)"
+)
+def search_trace(s: SparkSession, d: str) -> DataFrame:
+    text, near, fused = _hybrid(s, d)
+    return retrieval.trace(fulltext=text, vector=near, fused=fused)
+
+
+_MATCHED = (
+    _bm25(_SUBJECTS, "chunks", "chunk_id")
+    + ", matched AS (SELECT query_id, doc_id, chunk_id, score, token_estimate AS tokens, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY round(score, 9) DESC, chunk_id) AS place FROM ranked JOIN chunks USING (chunk_id) WHERE rank <= 320)"
+)
+
+
+def _matched(s: SparkSession, d: str) -> DataFrame:
+    chunks = chunking.chunks(model.records(s, d))
+    hits = retrieval.full_text(spread(chunks), _subjects(s, d).select("query_id", "text"), retrieval.pool_size(40), key="chunk_id")
+    return retrieval.best_chunks(hits, chunks)
+
+
+@query(
+    _MATCHED
+    + " SELECT CAST(query_id AS BIGINT) AS query_id, m.doc_id, round(score + CASE WHEN kind IN ('preference', 'feedback', 'fact', 'skill', 'reference') THEN 0.05 ELSE 0 END, 6) AS record_score, chunk_id AS best_chunk, round(score, 6) AS best_score, CAST(CASE WHEN kind IN ('preference', 'feedback', 'fact', 'skill', 'reference') THEN 0.05 ELSE 0 END AS DOUBLE) AS boost FROM matched m JOIN records USING (doc_id) WHERE place = 1"
+)
+def explained_search(s: SparkSession, d: str) -> DataFrame:
+    return retrieval.explain(_matched(s, d), model.records(s, d)).withColumn("record_score", F.round("record_score", 6)).withColumn("best_score", F.round("best_score", 6))
 
 
 _PACK = (
-    _HYBRID_OF.replace("POOL", str(retrieval.pool_size(40)))
-    + f""", full_hits AS (SELECT p.query_id, p.doc_id, r.id, adapter, instance, coalesce(CASE WHEN regexp_extract(native_path, '/\\.codex/([^/]+)', 1) <> '' THEN regexp_extract(native_path, '/\\.codex/([^/]+)', 1) END, '') AS project,
- p.score + CASE WHEN kind IN ('preference', 'feedback', 'fact', 'skill', 'reference') THEN 0.05 ELSE 0 END AS score, greatest(coalesce(updated_at, created_at), created_at) AS newest, {estimate_sql('content')} AS tokens FROM placed p JOIN records r USING (doc_id) WHERE p.rank <= 40),
+    _MATCHED.replace("WITH docs", "WITH RECURSIVE docs", 1)
+    + """, full_hits AS (SELECT p.query_id, p.doc_id, r.id, adapter, instance, coalesce(CASE WHEN regexp_extract(native_path, '/\\.codex/([^/]+)', 1) <> '' THEN regexp_extract(native_path, '/\\.codex/([^/]+)', 1) END, '') AS project,
+ p.score + CASE WHEN kind IN ('preference', 'feedback', 'fact', 'skill', 'reference') THEN 0.05 ELSE 0 END AS score, greatest(coalesce(updated_at, created_at), created_at) AS newest FROM matched p JOIN records r USING (doc_id) WHERE p.place = 1),
  s1 AS (SELECT *, row_number() OVER (PARTITION BY query_id, adapter, instance ORDER BY round(score * 100) DESC, newest DESC, id) AS a FROM full_hits), s2 AS (SELECT *, row_number() OVER (PARTITION BY query_id, adapter, instance, project ORDER BY round(score * 100) DESC, newest DESC, id) AS b FROM s1 WHERE a <= 5),
- s3 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score * 100) DESC, newest DESC, id) AS place FROM s2 WHERE b <= 3),
- s4 AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY query_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM s3 WHERE place <= 20)"""
+ s3 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score * 100) DESC, newest DESC, id) AS pos FROM s2 WHERE b <= 3),
+ listed AS (SELECT m.query_id, m.doc_id, m.chunk_id, m.tokens, m.place AS c, s3.pos, s3.score, row_number() OVER (PARTITION BY m.query_id ORDER BY s3.pos, m.place) AS i FROM matched m JOIN s3 ON s3.query_id = m.query_id AND s3.doc_id = m.doc_id WHERE s3.pos <= 20),
+ walk AS (SELECT query_id, i, pos, doc_id, score, chunk_id, tokens, tokens AS used, TRUE AS open, TRUE AS kept FROM listed WHERE i = 1 UNION ALL
+  SELECT l.query_id, l.i, l.pos, l.doc_id, l.score, l.chunk_id, l.tokens, CASE WHEN (l.c = 1 AND w.used < 4000) OR (l.c > 1 AND w.open AND w.used + l.tokens <= 4000) THEN w.used + l.tokens ELSE w.used END,
+  (l.c = 1 AND w.used < 4000) OR (l.c > 1 AND w.open AND w.used + l.tokens <= 4000), (l.c = 1 AND w.used < 4000) OR (l.c > 1 AND w.open AND w.used + l.tokens <= 4000) FROM walk w JOIN listed l ON l.query_id = w.query_id AND l.i = w.i + 1)"""
 )
 
 
-@query(_PACK + " SELECT CAST(query_id AS INTEGER) AS query_id, CAST(place AS INTEGER) AS place, doc_id, round(score, 9) AS score, tokens AS kept_tokens FROM s4 WHERE used < 4000")
+@query(_PACK + " SELECT CAST(query_id AS BIGINT) AS query_id, CAST(pos AS INTEGER) AS place, doc_id, round(score, 6) AS score, chunk_id, tokens FROM walk WHERE kept")
 def packed_context(s: SparkSession, d: str) -> DataFrame:
-    return retrieval.pack(_hybrid(s, d, 40), model.records(s, d)).withColumn("score", F.round("score", 9))
+    return retrieval.pack(_matched(s, d), model.records(s, d)).withColumn("score", F.round("score", 6))
+
+
+@query(_PACK + " SELECT CAST(query_id AS BIGINT) AS query_id, string_agg('- ' || left(content, 240), chr(10) ORDER BY pos, i) AS prompt FROM walk JOIN chunks USING (chunk_id) WHERE kept AND pos <= 5 GROUP BY 1")
+def prompt_find_related(s: SparkSession, d: str) -> DataFrame:
+    """The first five records of a packed context as one text per query."""
+    matched = cut(_matched(s, d))
+    packed = retrieval.pack(matched, model.records(s, d)).filter("place <= 5").select("query_id", "place", "chunk_id")
+    lines = packed.join(chunking.chunks(model.records(s, d)).select("chunk_id", "content"), "chunk_id")
+    return _bullets(lines.join(matched.select("query_id", "chunk_id", F.col("place").alias("at")), ["query_id", "chunk_id"]), "query_id", ["place", "at"], "prompt")
+
+
+def _bullets(rows: DataFrame, by: str, order: list[str], name: str) -> DataFrame:
+    """One text of bullet lines per group of a bounded number of rows."""
+    item = F.struct(*order, F.concat(F.lit("- "), F.substring("content", 1, 240)).alias("line"))
+    return rows.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["line"]), "\n").alias(name))
 
 
 _JUDGED = """, subjects AS (SELECT subject, row_number() OVER (ORDER BY subject) - 1 AS query_id FROM subject_area), judged AS (SELECT DISTINCT query_id, doc_id FROM subjects JOIN subject_label USING (subject)),
@@ -480,21 +561,31 @@ _JUDGED = """, subjects AS (SELECT subject, row_number() OVER (ORDER BY subject)
 
 
 def _evaluated(s: SparkSession, d: str) -> DataFrame:
-    names = [(i, r) for i, r in enumerate(x[0] for x in table(s, d, "subject_area").select("subject").distinct().orderBy("subject").limit(1000).collect())]
-    judged = table(s, d, "subject_label").join(F.broadcast(s.createDataFrame(names, "query_id int, subject string")), "subject").select("query_id", "doc_id", F.lit(1).alias("grade")).distinct()
-    return retrieval.evaluate(retrieval.full_text(spread(model.records(s, d)), _subject_queries(s, d), 10), judged, 10)
+    subjects = _subjects(s, d)
+    judged = table(s, d, "subject_label").join(subjects.select("query_id", "subject"), "subject").select("query_id", "doc_id", F.lit(1).alias("grade")).distinct()
+    return retrieval.evaluate(retrieval.full_text(spread(model.records(s, d)), subjects.select("query_id", "text"), 10), judged, 10)
 
 
-@query(
-    _BM25
+_EVALUATED = (
+    _bm25(_SUBJECTS)
     + _JUDGED
-    + " SELECT CAST(i.query_id AS INTEGER) AS query_id, round(coalesce(rr, 0), 6) AS reciprocal_rank, round(coalesce(dcg / idcg, 0), 6) AS ndcg, coalesce(found, 0) AS relevant_in_topk, judged_relevant FROM ideal i LEFT JOIN hits h ON h.query_id = i.query_id"
+    + ", evaluated AS (SELECT CAST(i.query_id AS BIGINT) AS query_id, coalesce(rr, 0) AS reciprocal_rank, coalesce(dcg / idcg, 0) AS ndcg, coalesce(found, 0) AS relevant_in_topk, judged_relevant FROM ideal i LEFT JOIN hits h ON h.query_id = i.query_id)"
 )
+
+
+@query(_EVALUATED + " SELECT query_id, round(reciprocal_rank, 6) AS reciprocal_rank, round(ndcg, 6) AS ndcg, relevant_in_topk, judged_relevant FROM evaluated")
 def retrieval_quality(s: SparkSession, d: str) -> DataFrame:
     return _evaluated(s, d).withColumn("reciprocal_rank", F.round("reciprocal_rank", 6)).withColumn("ndcg", F.round("ndcg", 6))
 
 
-@query()
+@query(_EVALUATED + " SELECT count(*) AS queries, round(avg(reciprocal_rank), 6) AS mrr, round(coalesce(avg(ndcg) FILTER (judged_relevant > 0), 0), 6) AS ndcg, avg(reciprocal_rank) >= 0.05 AND avg(ndcg) >= 0.01 AS passed FROM evaluated")
+def retrieval_means(s: SparkSession, d: str) -> DataFrame:
+    means = retrieval.quality(_evaluated(s, d))
+    gates = (F.col("mrr") >= 0.05) & (F.col("ndcg") >= 0.01)
+    return means.select("queries", F.round("mrr", 6).alias("mrr"), F.round("ndcg", 6).alias("ndcg"), gates.alias("passed"))
+
+
+@query("SELECT doc_id, chunk_id, seq, content, content_hash, token_estimate FROM chunks")
 def chunked_records(s: SparkSession, d: str) -> DataFrame:
     return chunking.chunks(model.records(s, d))
 
