@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollate.functions.text import truncate
@@ -49,11 +49,12 @@ def conflict_variants(records: DataFrame, preview: int = 240) -> DataFrame:
     return members.join(numbered, ["native_id", "raw_hash"]).select("native_id", "variant", "id", *SOURCE, truncate(F.col("content"), preview).alias("preview"))
 
 
-def accept_variant(records: DataFrame, native_id: str, variant: int) -> DataFrame:
-    """The plan of accepting a variant: every member of the conflict with keep or forget; no row if there is no such variant."""
+def accept_variant(records: DataFrame, native_id: str, variant: int | None = None, record_id: str | None = None) -> DataFrame:
+    """The plan of accepting a variant, given by its number or by one of its records: every member of the conflict with keep or forget; no row if there is no such variant."""
     members = conflict_variants(records.filter(F.col("native_id") == native_id))
-    chosen = members.filter(F.col("variant") == variant).select("native_id").distinct()
-    return members.join(chosen, "native_id", "left_semi").select("native_id", "id", "variant", F.when(F.col("variant") == variant, "keep").otherwise("forget").alias("decision"))
+    wanted = F.col("variant") == variant if variant is not None else F.col("id") == record_id
+    chosen = members.filter(wanted).select("native_id", F.col("variant").alias("__chosen")).distinct()
+    return members.join(chosen, "native_id").select("native_id", "id", "variant", F.when(F.col("variant") == F.col("__chosen"), "keep").otherwise("forget").alias("decision"))
 
 
 def merge_preview(members: DataFrame, tags: DataFrame, group: str = "raw_hash") -> DataFrame:
@@ -70,17 +71,34 @@ def merge_preview(members: DataFrame, tags: DataFrame, group: str = "raw_hash")
     return full.join(kept, group).withColumn("decision", F.when(F.col("id") == F.col("kept"), "keep").otherwise("forget")).drop("kept")
 
 
-def reconcile(records: DataFrame, left: str, right: str) -> DataFrame:
-    """bucket, native_id, left_id, right_id: only_left, only_right, same or conflict.
+def identity_key() -> Column:
+    """What makes two records of different sources the same item: the native id, else the content."""
+    return F.coalesce(F.when(F.col("native_id") != "", F.concat(F.lit("n:"), "native_id")), F.concat(F.lit("h:"), "raw_hash"))
 
-    Every left row counts; right rows of one native id collapse to the least id.
+
+def reconcile(records: DataFrame, left: tuple[str, str | None], right: tuple[str, str | None]) -> DataFrame:
+    """bucket, identity, left_id, right_id: only_left, only_right, same or conflict, between two sources (adapter, instance or None for all instances).
+
+    Every left row counts; right rows of one identity collapse to the least id.
     """
-    a = records.filter(F.col("adapter") == left).select("native_id", F.col("id").alias("left_id"), F.col("raw_hash").alias("left_hash"))
-    b = records.filter(F.col("adapter") == right)
-    first = b.groupBy("native_id").agg(F.min(F.struct("id", "raw_hash")).alias("f")).select("native_id", F.col("f.id").alias("right_id"), F.col("f.raw_hash").alias("right_hash"))
-    kept = a.join(first, "native_id", "left")
-    matched = kept.select(
-        F.when(F.col("right_id").isNull(), "only_left").when(F.col("left_hash") == F.col("right_hash"), "same").otherwise("conflict").alias("bucket"), "native_id", "left_id", "right_id"
+    of = lambda s: records.filter((F.col("adapter") == s[0]) & (F.lit(s[1] is None) | (F.col("instance") == (s[1] or "")))).withColumn("identity", identity_key())
+    a, b = of(left).select("identity", F.col("id").alias("left_id"), F.col("raw_hash").alias("left_hash")), of(right)
+    first = b.groupBy("identity").agg(F.min(F.struct("id", "raw_hash")).alias("f")).select("identity", F.col("f.id").alias("right_id"), F.col("f.raw_hash").alias("right_hash"))
+    matched = a.join(first, "identity", "left").select(
+        F.when(F.col("right_id").isNull(), "only_left").when(F.col("left_hash") == F.col("right_hash"), "same").otherwise("conflict").alias("bucket"), "identity", "left_id", "right_id"
     )
-    only_right = b.join(a.select("native_id").distinct(), "native_id", "left_anti").select(F.lit("only_right").alias("bucket"), "native_id", F.lit(None).cast("string").alias("left_id"), F.col("id").alias("right_id"))
+    only_right = b.join(a.select("identity").distinct(), "identity", "left_anti").select(F.lit("only_right").alias("bucket"), "identity", F.lit(None).cast("string").alias("left_id"), F.col("id").alias("right_id"))
     return matched.unionByName(only_right)
+
+
+def samples(buckets: DataFrame, limit: int = 10, include_identity: bool = False) -> DataFrame:
+    """The first rows of each bucket (limit clamped to 1..100) in order of identity, which only comes out if asked for."""
+    n = F.row_number().over(Window.partitionBy("bucket").orderBy("identity", F.coalesce("left_id", "right_id")))
+    kept = buckets.withColumn("n", n).filter(F.col("n") <= min(max(limit, 1), 100))
+    return kept if include_identity else kept.drop("identity")
+
+
+def bucket_records(buckets: DataFrame, records: DataFrame, bucket: str) -> DataFrame:
+    """The records of a bucket, ready for an export: the right ones of only_right, else the left ones."""
+    side = "right_id" if bucket == "only_right" else "left_id"
+    return records.join(buckets.filter(F.col("bucket") == bucket).select(F.col(side).alias("id")).distinct(), "id", "left_semi")

@@ -6,7 +6,7 @@ import json
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SHORTEST, PLATEAU, HALF_LIFE, PASS = 40, 600, 30.0, 0.4
@@ -30,6 +30,13 @@ def candidates(records: DataFrame, now: int, limit: int = 25, least: float = PAS
     return scored.filter(F.col("score") >= least).orderBy(F.col("score").desc(), "id").limit(limit)
 
 
+def planned(chosen: DataFrame, most_calls: int, most_chars: int) -> DataFrame:
+    """id, call, content of the episodes that stage two will send, best first: at most ``most_calls``, and none longer than ``most_chars``."""
+    fits = chosen.filter(F.length("content") <= most_chars)
+    call = F.row_number().over(Window.orderBy(F.col("score").desc(), "id"))  # over the bounded list of candidates
+    return fits.select("id", "score", "content", call.alias("call")).filter(F.col("call") <= most_calls)
+
+
 def first_sentences(text: str) -> str:
     """A provider for tests and offline use: the first sentences as a JSON list."""
     return json.dumps([s.strip() for s in text.replace("\n", " ").split(". ")[:2] if s.strip()], ensure_ascii=False)

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from recollate.session import cut
 
 
-def children(df: DataFrame, parent: int, key: str = "doc_id", up: str = "derived_from") -> DataFrame:
-    return df.filter(F.col(up) == parent).orderBy("created_at", key)
+def children(df: DataFrame, parent: int, limit: int = 1000, key: str = "doc_id", up: str = "derived_from") -> DataFrame:
+    """What is derived from a record directly, oldest first; limit is clamped to 1..1000."""
+    return df.filter(F.col(up) == parent).orderBy("created_at", key).limit(min(max(limit, 1), 1000))
 
 
 def ancestors(df: DataFrame, key: str = "doc_id", up: str = "derived_from") -> DataFrame:

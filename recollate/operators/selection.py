@@ -74,6 +74,14 @@ def page(df: DataFrame, cursor: str | None, limit: int, key: str = "id") -> Data
     return df.orderBy(key).limit(min(max(limit, 1), 1000))
 
 
+def page_with_cursor(df: DataFrame, cursor: str | None, limit: int, key: str = "id") -> DataFrame:
+    """The page, and on every row the cursor of the next one: the last key if the page is full, else null."""
+    size = min(max(limit, 1), 1000)
+    rows = page(df, cursor, limit, key)
+    end = rows.agg(F.count(F.lit(1)).alias("__n"), F.max(key).alias("__last"))
+    return rows.crossJoin(F.broadcast(end)).withColumn("next_cursor", F.when(F.col("__n") == size, F.col("__last"))).drop("__n", "__last")  # one row
+
+
 def redacted(df: DataFrame, hidden: list[str], show: bool = False) -> DataFrame:
     """Without the hidden columns, which leave only whether they were there."""
     if show:

@@ -89,9 +89,30 @@ def near_pairs(records: DataFrame) -> DataFrame:
 
 def near_groups(records: DataFrame) -> DataFrame:
     """component, doc_id, adapter of groups of alike records that cross adapters (copies belong together as well)."""
-    of = class_of(records)
-    linked = components(near_pairs(records), "class_a", "class_b")
-    grouped = of.join(linked.withColumnRenamed("node", "class"), "class", "left").select("doc_id", F.coalesce("component", "class").alias("component"))
-    members = grouped.join(records.select("doc_id", "adapter"), "doc_id")
+    return cross_source(grouped(records, near_pairs(records)))
+
+
+def grouped(records: DataFrame, pairs: DataFrame) -> DataFrame:
+    """component, doc_id, adapter, class of every record with enough terms."""
+    linked = components(pairs, "class_a", "class_b").withColumnRenamed("node", "class")
+    own = class_of(records).join(linked, "class", "left").select("doc_id", "class", F.coalesce("component", "class").alias("component"))
+    return own.join(records.select("doc_id", "adapter"), "doc_id")
+
+
+def cross_source(members: DataFrame) -> DataFrame:
     several = members.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("adapter").alias("adapters")).filter("n > 1 AND adapters > 1")
-    return members.join(several.select("component"), "component", "left_semi")
+    return members.join(several.select("component"), "component", "left_semi").select("component", "doc_id", "adapter")
+
+
+def group_report(records: DataFrame, limit: int = 20) -> DataFrame:
+    """component, members, adapters, min_similarity, max_distance of the groups that cross adapters: largest first, then the least alike; limit is clamped to 1..100.
+
+    Similarity and distance are those of the pairs that hold the group together; a group of copies alone has 1 and 0.
+    """
+    pairs = cut(near_pairs(records))
+    members = cut(grouped(records, pairs))
+    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("members"), F.countDistinct("adapter").alias("adapters")).filter("members > 1 AND adapters > 1")
+    of = members.select(F.col("class").alias("class_a"), "component").distinct()
+    links = pairs.join(of, "class_a").groupBy("component").agg(F.min("similarity").alias("s"), F.max("distance").alias("d"))
+    full = sizes.join(links, "component", "left").select("component", "members", "adapters", F.round(F.coalesce("s", F.lit(1.0)), 6).alias("min_similarity"), F.coalesce("d", F.lit(0).cast("long")).alias("max_distance"))
+    return full.orderBy(F.col("members").desc(), "min_similarity", "component").limit(min(max(limit, 1), 100))

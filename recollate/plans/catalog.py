@@ -159,10 +159,14 @@ def status_rollup(s: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"SELECT count(*) AS registered, count(*) FILTER ({NOW} - m <= 172800) AS ok, count(*) FILTER ({NOW} - m > 172800) AS stale FROM (SELECT max(created_at) AS m FROM records GROUP BY adapter, instance)"
+    f"""WITH seen AS (SELECT adapter, instance, max(created_at) AS m FROM records GROUP BY 1, 2), reg AS (SELECT DISTINCT adapter, instance FROM records WHERE adapter <> 'mem0' UNION SELECT 'mem0', 'new'), bad AS (SELECT DISTINCT adapter, instance FROM import_errors),
+ j AS (SELECT r.adapter IS NOT NULL AS known, m, b.adapter IS NOT NULL AS failed FROM reg r FULL OUTER JOIN seen s ON r.adapter = s.adapter AND r.instance = s.instance LEFT JOIN bad b ON b.adapter = coalesce(r.adapter, s.adapter) AND b.instance = coalesce(r.instance, s.instance))
+ SELECT count(*) FILTER (known) AS registered, count(*) FILTER (known AND {NOW} - m <= 172800 AND NOT failed) AS ok, count(*) FILTER (known AND (m IS NULL OR {NOW} - m > 172800)) AS stale, count(*) FILTER (known AND failed) AS unhealthy, count(*) FILTER (NOT known) AS unregistered FROM j"""
 )
 def doctor_rollup(s: SparkSession, d: str) -> DataFrame:
-    return rollups.doctor(model.records(s, d), NOW, 172800)
+    """The registry knows all sources but those of one adapter, and one that was never read."""
+    known = model.records(s, d).select("adapter", "instance").distinct().filter("adapter <> 'mem0'").unionByName(s.createDataFrame([("mem0", "new")], "adapter string, instance string"))
+    return rollups.doctor(model.records(s, d), known, model.import_errors(s, d), NOW, 172800)
 
 
 @query(
@@ -178,14 +182,14 @@ def forgotten_by_source(s: SparkSession, d: str) -> DataFrame:
     return rollups.counts_by(model.tombstones(s, d), "adapter", "instance")
 
 
-@query("SELECT tool, count(*) AS n FROM metrics WHERE NOT ok GROUP BY tool")
-def errors_by_tool(s: SparkSession, d: str) -> DataFrame:
-    return rollups.counts_by(model.metrics(s, d).filter("NOT ok"), "tool")
+@query("SELECT adapter, count(*) AS n FROM import_errors GROUP BY 1")
+def errors_by_adapter(s: SparkSession, d: str) -> DataFrame:
+    return rollups.counts_by(model.import_errors(s, d), "adapter")
 
 
-@query("SELECT event_id, tool, started_at FROM metrics WHERE NOT ok ORDER BY started_at DESC, event_id DESC LIMIT 10")
+@query("SELECT error_id, adapter, phase, occurred_at FROM import_errors ORDER BY occurred_at DESC, error_id DESC LIMIT 10")
 def recent_errors(s: SparkSession, d: str) -> DataFrame:
-    return selection.top(model.metrics(s, d).filter("NOT ok").select("event_id", "tool", "started_at"), 10, F.col("started_at").desc(), F.col("event_id").desc())
+    return selection.top(model.import_errors(s, d).select("error_id", "adapter", "phase", "occurred_at"), 10, F.col("occurred_at").desc(), F.col("error_id").desc())
 
 
 @query("SELECT event_id, tool FROM metrics WHERE event_id > (SELECT max(event_id) FROM metrics) - 5000")
@@ -264,19 +268,19 @@ def conflict_variants(s: SparkSession, d: str) -> DataFrame:
     return duplicates.conflict_variants(model.records(s, d))
 
 
-_RECONCILE = """WITH b AS (SELECT native_id, min(concat(id, chr(1), raw_hash)) AS f FROM records WHERE adapter = 'letta' GROUP BY 1), a AS (SELECT * FROM records WHERE adapter = 'mem0'),
- buckets AS (SELECT CASE WHEN b.f IS NULL THEN 'only_left' WHEN split_part(b.f, chr(1), 2) = a.raw_hash THEN 'same' ELSE 'conflict' END AS bucket, a.native_id, a.id AS left_id, split_part(b.f, chr(1), 1) AS right_id FROM a LEFT JOIN b ON a.native_id = b.native_id
- UNION ALL SELECT 'only_right', native_id, NULL, id FROM records WHERE adapter = 'letta' AND native_id NOT IN (SELECT native_id FROM a))"""
+RECONCILE = """WITH b AS (SELECT 'n:' || native_id AS identity, min(concat(id, chr(1), raw_hash)) AS f FROM records WHERE adapter = 'letta' GROUP BY 1), a AS (SELECT *, 'n:' || native_id AS identity FROM records WHERE adapter = 'mem0'),
+ buckets AS (SELECT CASE WHEN b.f IS NULL THEN 'only_left' WHEN split_part(b.f, chr(1), 2) = a.raw_hash THEN 'same' ELSE 'conflict' END AS bucket, a.identity, a.id AS left_id, split_part(b.f, chr(1), 1) AS right_id FROM a LEFT JOIN b ON a.identity = b.identity
+ UNION ALL SELECT 'only_right', 'n:' || native_id, NULL, id FROM records WHERE adapter = 'letta' AND native_id NOT IN (SELECT native_id FROM a))"""
 
 
-@query(_RECONCILE + " SELECT bucket, native_id, left_id, right_id FROM buckets")
+@query(RECONCILE + " SELECT bucket, identity, left_id, right_id FROM buckets")
 def reconcile_buckets(s: SparkSession, d: str) -> DataFrame:
-    return duplicates.reconcile(model.records(s, d), "mem0", "letta")
+    return duplicates.reconcile(model.records(s, d), ("mem0", None), ("letta", None))
 
 
-@query(_RECONCILE + " SELECT bucket, count(*) AS n FROM buckets GROUP BY 1")
+@query(RECONCILE + " SELECT bucket, count(*) AS n FROM buckets GROUP BY 1")
 def reconcile_counts(s: SparkSession, d: str) -> DataFrame:
-    return rollups.counts_by(duplicates.reconcile(model.records(s, d), "mem0", "letta"), "bucket")
+    return rollups.counts_by(duplicates.reconcile(model.records(s, d), ("mem0", None), ("letta", None)), "bucket")
 
 
 _SIMHASH = """WITH terms AS (SELECT doc_id, list_sort(list_distinct(regexp_extract_all(lower(content), '[\\p{L}\\p{N}_]+'))) AS t FROM (SELECT id AS doc_id, content FROM memori_entity_fact)), classes AS (SELECT sha256(array_to_string(t, ' ')) AS class, any_value(t) AS t FROM terms WHERE len(t) >= 4 GROUP BY 1),
@@ -295,16 +299,51 @@ def near_duplicate_pairs(s: SparkSession, d: str) -> DataFrame:
     return similar.near_pairs(_facts(s, d)).withColumn("similarity", F.round("similarity", 6))
 
 
-@query()
+_RECORD_PAIRS = _SIMHASH.replace("(SELECT id AS doc_id, content FROM memori_entity_fact)", "records")
+
+
+@query(_RECORD_PAIRS)
 def near_duplicate_record_pairs(s: SparkSession, d: str) -> DataFrame:
     return similar.near_pairs(model.records(s, d)).withColumn("similarity", F.round("similarity", 6))
 
 
-@query()
+_GROUPS = _RECORD_PAIRS.replace("WITH terms", "WITH RECURSIVE terms", 1).replace(" SELECT class_a, class_b, distance, round(similarity, 6) AS similarity FROM (", ", pairs AS (SELECT class_a, class_b, distance, similarity FROM (", 1) + """),
+ edges AS (SELECT class_a AS a, class_b AS b FROM pairs UNION SELECT class_b, class_a FROM pairs), reach(a, b) AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON e.a = r.b),
+ least AS (SELECT a AS class, least(a, min(b)) AS component FROM reach GROUP BY a), of AS (SELECT doc_id, class, coalesce(component, class) AS component FROM (SELECT doc_id, sha256(array_to_string(t, ' ')) AS class FROM terms WHERE len(t) >= 4) LEFT JOIN least USING (class)),
+ members AS (SELECT component, doc_id, adapter, class FROM of JOIN records USING (doc_id)), big AS (SELECT component, count(*) AS members, count(DISTINCT adapter) AS adapters FROM members GROUP BY 1 HAVING count(*) > 1 AND count(DISTINCT adapter) > 1)"""
+GROUPS = _GROUPS
+
+
+@query(_GROUPS + " SELECT component, doc_id, adapter FROM members WHERE component IN (SELECT component FROM big)")
 def near_duplicate_groups(s: SparkSession, d: str) -> DataFrame:
     return similar.near_groups(model.records(s, d))
 
 
+@query(
+    _GROUPS
+    + ", links AS (SELECT component, min(similarity) AS s, max(distance) AS d FROM pairs JOIN (SELECT DISTINCT class, component FROM members) m ON m.class = class_a GROUP BY 1) SELECT component, members, adapters, round(coalesce(s, 1.0), 6) AS min_similarity, coalesce(d, 0) AS max_distance FROM big LEFT JOIN links USING (component) ORDER BY members DESC, min_similarity, component LIMIT 20"
+)
+def near_duplicate_report(s: SparkSession, d: str) -> DataFrame:
+    return similar.group_report(model.records(s, d))
+
+
+@query(
+    _GROUPS
+    + """ SELECT component, id, adapter, tag_count, effective_at, has_path, CASE WHEN n = 1 THEN 'keep' ELSE 'forget' END AS decision FROM (SELECT *, row_number() OVER (PARTITION BY component ORDER BY tag_count DESC, effective_at DESC, has_path DESC, adapter, id) AS n
+ FROM (SELECT component, id, r.adapter, coalesce(c, 0) AS tag_count, coalesce(updated_at, created_at) AS effective_at, native_path IS NOT NULL AS has_path FROM members JOIN big USING (component) JOIN records r USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS c FROM tags GROUP BY 1) t USING (doc_id)))"""
+)
+def near_merge_preview(s: SparkSession, d: str) -> DataFrame:
+    records = model.records(s, d)
+    members = similar.near_groups(records).select("component", "doc_id").join(records, "doc_id")
+    return duplicates.merge_preview(members, model.tags(s, d), "component")
+
+
+@query(_SIMHASH.replace("(SELECT id AS doc_id, content FROM memori_entity_fact)", "(SELECT * FROM records WHERE adapter IN ('mem0', 'letta'))"))
+def near_duplicates_of_sources(s: SparkSession, d: str) -> DataFrame:
+    """The filter narrows what is scanned, so copies outside it play no part."""
+    return similar.near_pairs(selection.csv_filter(model.records(s, d), "mem0,letta")).withColumn("similarity", F.round("similarity", 6))
+
+
 # --- lineage
 
 

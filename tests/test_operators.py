@@ -61,8 +61,15 @@ def test_vector_search_against_numpy(spark):
 
 def test_full_text_tiers(spark):
     df = spark.createDataFrame([(1, "red apple pie"), (2, "red car"), (3, None), (4, "blue sky"), (5, "")], "doc_id long, content string")
-    got = [(r["doc_id"], r["tier"]) for r in retrieval.full_text(df, [(0, "the red apple"), (1, "zzz")], 5).orderBy("rank").collect()]
+    queries = spark.createDataFrame([(0, "the red apple"), (1, "zzz"), (2, ""), (3, None)], "query_id long, text string")
+    got = [(r["doc_id"], r["tier"]) for r in retrieval.full_text(df, queries, 5).orderBy("rank").collect()]
     assert got[0] == (1, 1) and {d for d, _ in got} == {1, 2}
+    # a filter holds before the limit: the admitted record comes out although another one scores higher
+    admitted = df.filter("doc_id = 2")
+    assert [r["doc_id"] for r in retrieval.full_text(df, queries, 1, allowed=admitted).collect()] == [2]
+    assert retrieval.full_text(df.limit(0), queries, 5).count() == 0
+    terms = {(r["query_id"], r["term"]): r["relaxed"] for r in retrieval.query_terms(spark.createDataFrame([(0, "the red"), (1, "the of")], "query_id long, text string")).collect()}
+    assert terms == {(0, "the"): False, (0, "red"): True, (1, "the"): True, (1, "of"): True}
     assert retrieval.pool_size(0) == 0 and retrieval.pool_size(5) == 64 and retrieval.pool_size(1000) == 1000
 
 
@@ -80,6 +87,88 @@ def test_chunks_cover_the_boundaries(spark):
     assert [r[0] for r in est] == [chunking.tokens_of(t) for t in (text_, "漢字ab", "")]
 
 
+def naive_chunks(text, most, least):
+    """Piece by piece, as the rule says."""
+    if chunking.tokens_of(text) <= most:
+        return [text]
+    for separator, glue in chunking.BOUNDARIES:
+        pieces = chunking._pieces(text, separator)
+        if all(chunking.tokens_of(p) <= most for p in pieces):
+            out, run = [], []
+            need = lambda r: sum(map(chunking.tokens_of, r)) + (len(r) - 1) * chunking.tokens_of(glue)
+            for p in pieces:
+                if run and need([*run, p]) > most:
+                    if need(run) < least:
+                        out.append(glue.join([*run, p]))
+                        run = []
+                        continue
+                    out.append(glue.join(run))
+                    run = []
+                run.append(p)
+            return out + ([glue.join(run)] if run else []) or [""]
+    return [text[i : i + most] for i in range(0, len(text), most)]
+
+
+def test_chunks_against_the_rule():
+    rng = random.Random(5)
+    for _ in range(400):
+        text_ = "".join(rng.choice(["word", "a", "漢", "\n\n", "\n", ". ", " ", " ", "longerword"]) for _ in range(rng.randint(0, 120)))
+        most = rng.randint(4, 30)
+        assert chunking.chunk_text(text_, most, most // 3) == naive_chunks(text_, most, most // 3)
+
+
+def test_packing_keeps_the_budget(spark):
+    rng = random.Random(9)
+    records = spark.createDataFrame([(i, f"id{i}", f"a{i % 9}", "x", "fact", i, None, None) for i in range(12)], "doc_id long, id string, adapter string, instance string, kind string, created_at long, updated_at long, native_path string")
+    hits = [(0, i, f"{i}:{j}", 1.0 - i / 50 - j / 1000, j + 1, rng.randint(1, 60)) for i in range(12) for j in range(rng.randint(1, 4))]
+    matched = spark.createDataFrame(hits, "query_id long, doc_id long, chunk_id string, score double, place int, tokens int")
+    got = [(r["doc_id"], r["chunk_id"]) for r in retrieval.pack(matched, records, 10, 150, 5, 3).orderBy("place", "chunk_id").collect()]
+    used, want = 0, []
+    for i in range(10):
+        if used >= 150:
+            break
+        for n, h in enumerate(h for h in hits if h[1] == i):
+            if n and used + h[5] > 150:
+                break
+            used += h[5]
+            want.append((i, h[2]))
+    assert got == want
+    assert {r["boost"] for r in retrieval.explain(matched, records).collect()} == {0.05}
+    assert {r["stage"]: r["rows"] for r in retrieval.trace(a=matched, b=records.limit(0)).collect()} == {"a": len(hits), "b": 0}
+
+
+def test_modes():
+    assert [retrieval.resolve_mode(m, True) for m in (None, "keyword", "vector")] == ["hybrid", "fulltext", "vector"] and retrieval.resolve_mode("vector", False) == "fulltext"
+    with pytest.raises(ValueError):
+        retrieval.resolve_mode("nope", True)
+
+
+def test_outcome_and_snapshot_agree(spark):
+    cols = "id string, content string, raw_hash string, created_at long, updated_at long"
+    cur = spark.createDataFrame([("a", "1", "h1", 1, None)], cols)
+    inc = spark.createDataFrame([("a", "2", "zz", 3, None), ("a", "1", "h1", 9, None)], cols)  # the later version is the known one
+    none = spark.createDataFrame([], "id string")
+    assert [r["outcome"] for r in state.upsert_outcome(cur, inc, none).collect()] == ["unchanged"] and state.upsert(cur, inc, none).first()["content"] == "1"
+
+
+def test_drain_and_repair(spark):
+    queue = spark.createDataFrame([("1:0", "h", "x"), ("2:0", "g", None)], "chunk_id string, content_hash string, content string")
+    done, failed = state.drain(queue, "m", lambda c: F.when(c.isNotNull(), state.hashed_vector(c)))
+    assert [r["chunk_id"] for r in done.collect()] == ["1:0"] and [(r["chunk_id"], r["error"]) for r in failed.collect()] == [("2:0", "length 0")]
+    chunks = spark.createDataFrame([(1, "1:0", "h"), (2, "2:0", "g")], "doc_id long, chunk_id string, content_hash string")
+    kept, vectors = state.repair(chunks, spark.createDataFrame([("1:0", "h"), ("2:0", "g"), ("1:0", "old")], "chunk_id string, content_hash string"), spark.createDataFrame([(1,)], "doc_id long"))
+    assert [r["chunk_id"] for r in kept.collect()] == ["1:0"] and [tuple(r) for r in vectors.collect()] == [("1:0", "h")]
+    loop = spark.createDataFrame([(1, 2), (2, 1), (3, 2), (4, None)], "doc_id long, derived_from long")
+    assert {r[0] for r in state.with_descendants(loop.filter("doc_id = 1"), loop).collect()} == {1, 2, 3}
+
+
+def test_reconcile_by_content_where_there_is_no_native_id(spark):
+    rows = [("1", "a", "i", None, "h"), ("2", "b", "i", "", "h"), ("3", "b", "j", "n", "k"), ("4", "a", "i", "n", "z")]
+    df = spark.createDataFrame(rows, "id string, adapter string, instance string, native_id string, raw_hash string")
+    assert sorted((r["bucket"], r["left_id"], r["right_id"]) for r in duplicates.reconcile(df, ("a", None), ("b", None)).collect()) == [("conflict", "4", "3"), ("same", "1", "2")]
+    assert sorted(r["bucket"] for r in duplicates.reconcile(df, ("a", None), ("b", "i")).collect()) == ["only_left", "same"]
+
+
 def test_state_changes(spark):
     cols = "id string, content string, raw_hash string, created_at long, updated_at long"
     cur = spark.createDataFrame([("a", "1", "h1", 1, None), ("b", "2", "h2", 2, None)], cols)
@@ -98,6 +187,7 @@ def test_conflict_plan(spark):
     df = spark.createDataFrame([("n", "1", "a", "i", "x", "hx"), ("n", "2", "b", "i", "y", "hy"), ("n", "3", "c", "i", "x", "hx"), ("m", "4", "a", "i", "z", "hz")], "native_id string, id string, adapter string, instance string, content string, raw_hash string")
     plan = {r["id"]: (r["variant"], r["decision"]) for r in duplicates.accept_variant(df, "n", 1).collect()}
     assert plan == {"1": (1, "keep"), "2": (2, "forget"), "3": (1, "keep")}
+    assert {r["id"]: r["decision"] for r in duplicates.accept_variant(df, "n", record_id="2").collect()} == {"1": "forget", "2": "keep", "3": "forget"}
     assert duplicates.accept_variant(df, "n", 9).count() == 0
 
 
