@@ -1,15 +1,22 @@
 """Near-duplicate records: all pairs of word sets with Jaccard similarity of at least a threshold.
 
-Odd sketches over min-wise samples, made lossless:
-* the sample of a record is its words in one global order that puts rare words first; by the prefix principle two sets at the
-  threshold share at least ``l`` of their first n - ceil(t n) + l words, so the sample's words, combined ``l`` at a time, are the bands;
-* the odd sketch folds the whole set into a parity bitmap; the population count of the XOR of two sketches never exceeds the
-  symmetric difference, so a candidate whose count is above what the threshold allows is discarded without loss;
+Odd sketches of MinHash samples verify banded candidates:
+* the MinHash sample of a record is its ``SAMPLE`` words with the least hashes (a bottom-k sample; a smaller set is its own sample); the odd
+  sketch folds it into 256 parity bits, and the population count of the XOR of two sketches estimates how much the samples differ.
+  Where both samples are whole sets, that count never exceeds the difference, so the test loses nothing; for larger sets a candidate is
+  discarded if its estimated similarity is ``SLACK`` below the threshold, which is beyond eight standard deviations;
+* the bands are words of the records taken in one global order that puts rare words first; by the prefix principle two sets at the
+  threshold share at least ``l`` of their first n - ceil(t n) + l words, so bands of that prefix meet without loss (``bands``);
 * what is left is compared exactly.
 
+Bands. Sets up to ``LONG`` words use all combinations of two words of the prefix with l = 2. Longer sets split the words by hash into
+G groups, a power of two that grows with the size, and combine two words of a group: with l = G + 1 some group holds two of the shared
+words. A set near the size where G doubles, or where the two ways meet, uses both, so that no pair falls between.
+
 Skew. Copies (equal word sets) are one class before anything else. Bands of two words whose bucket is crowded are replaced by bands of three,
-these by bands of four, so that no common phrase makes a bucket of all pairs; buckets are counted over all
-data in a table of fixed size (``SLOTS``), where a collision only lengthens a band. Long sets use one rare word together with a size class.
+in short sets these by bands of four, so that no common phrase makes a bucket of all pairs. Buckets are counted in full over all
+data, each task sending its counts as compressed runs, in a table of slots that grows with the number of classes (``slots_for``), so the number of
+bands a class has doesn't depend on how many classes there are; a collision of slots only lengthens a band.
 Words are ordered by counts over all data in a table of ``WORD_SLOTS`` counters; any order is lossless.
 
 A word is a maximal run of letters and digits, lower-cased. Null texts and texts without words have no links. Words are
@@ -24,16 +31,19 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recollate.session import cut
 
 THRESHOLD = 0.8
-WORD_SLOTS, SLOTS = 1 << 18, 1 << 22
-CROWDED = 64
-#: Sets above this size are banded by single words; sets above THRESHOLD times it by both, so that no pair falls between.
+WORD_SLOTS = 1 << 18
+#: A bucket with more bands than this is crowded. Slots that count buckets: 64 for each class, within these powers of two.
+CROWDED, LEAST_SLOTS, MOST_SLOTS = 64, 22, 28
+#: Sets above this size are banded by groups of words; sets above THRESHOLD times it by both, so that no pair falls between.
 LONG = 48
+#: Words of a MinHash sample, bits of its odd sketch, and how far below the threshold an estimate from samples must be to discard.
+SAMPLE, BITS, SLACK = 256, 256, 0.25
 #: Classes of copies up to this size are written out as pairs; larger ones as links to their least record.
 EXPAND = 256
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -61,6 +71,18 @@ def sample_size(n: int | np.ndarray, words: int, threshold: float = THRESHOLD) -
     return np.minimum(n, n - np.ceil(np.asarray(n) * threshold - 1e-9).astype(np.int64) + words)
 
 
+def minhash_sample(flat: np.ndarray, sizes: np.ndarray, k: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
+    """(words, sizes) of the sets' samples: of each set its k words with the least hashes; flat holds the sets one after the other."""
+    if not (sizes > k).any():
+        return flat, sizes
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    mixed = flat.astype(np.uint32) * np.uint32(0x9E3779B1)
+    mixed = (mixed ^ (mixed >> np.uint32(15))) * np.uint32(0x85EBCA77)
+    order = np.lexsort((mixed, row))
+    rank = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return flat[order][rank < k], np.minimum(sizes, k)
+
+
 def odd_sketch(flat: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
     """256 parity bits of each set, as four words; flat holds the sets' hashes one after the other, none of them empty."""
     bit = np.uint64(1) << (flat.astype(np.int64) & 63).astype(np.uint64)
@@ -71,8 +93,20 @@ def odd_sketch(flat: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
 _SKETCH = ("s0", "s1", "s2", "s3")
 
 
+def group_numbers(n: int, threshold: float = THRESHOLD) -> list[int]:
+    """In how many groups the words of a set of n words fall: one number, two where a slightly larger set has twice as many."""
+    own = 1 << int(math.log2(max(n, 5) / 5) + 1e-9)
+    return [own, 2 * own] if n >= threshold * 10 * own - 1e-9 else [own]
+
+
+def _prefix(n: np.ndarray, threshold: float) -> np.ndarray:
+    """How many of its rarest words a set of n words needs at most."""
+    most = np.array([2 * group_numbers(int(x), threshold)[-1] + 1 if x > threshold * LONG else 4 for x in range(int(n.max(initial=0)) + 1)])
+    return sample_size(n, most[n], threshold)
+
+
 def samples(sets: DataFrame, counts: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
-    """class, size, s0 to s3 (the sketch), sample: one row per class, its rarest words first, as many as bands of four need."""
+    """class, size, s0 to s3 (the sketch), sample: one row per class, its rarest words first, as many as its bands need."""
     shared = sets.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,10 +120,11 @@ def samples(sets: DataFrame, counts: np.ndarray, threshold: float = THRESHOLD) -
             starts = np.cumsum(sizes) - sizes
             order = np.lexsort((flat, table[flat % len(table)], row))
             rank = np.arange(len(flat)) - np.repeat(starts, sizes)
-            keep = rank < np.repeat(sample_size(sizes, 4, threshold), sizes)
+            keep = rank < np.repeat(_prefix(sizes, threshold), sizes)
             offsets = np.concatenate(([0], np.cumsum(np.bincount(row[keep], minlength=len(sizes)))))
             sample = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat[order][keep], pa.int32()))
-            sketch = [pa.array(x) for x in odd_sketch(flat, starts)]
+            least, held = minhash_sample(flat, sizes)
+            sketch = [pa.array(x) for x in odd_sketch(least, np.cumsum(held) - held)]
             yield pa.RecordBatch.from_arrays([batch.column("class"), batch.column("size"), *sketch, sample], names=["class", "size", *_SKETCH, "sample"])
 
     rows = sets.select("class", "size", "words").mapInArrow(run, "class long, size int, s0 long, s1 long, s2 long, s3 long, sample array<int>")
@@ -107,28 +142,68 @@ def _hash(parts: list[np.ndarray]) -> np.ndarray:
     return (out >> np.uint64(16)).view(np.int64)
 
 
-def bands(sizes: np.ndarray, values: np.ndarray, offsets: np.ndarray, crowded: list[np.ndarray], level: int | None, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, band key, whether it is a single-word band) of sets given as samples. crowded[i] flags the crowded slots of bands of i + 2 words.
-
-    level: only the bands of that many words (for counting), else the final ones of every length.
-    """
+class Crowd:
+    """Which slots are crowded, one bit each, for bands of two words, of three and so on."""
+
+    def __init__(self, power: int, found: list[np.ndarray] = ()):
+        self.power, self.bits = power, []
+        for slots in found:
+            self.add(slots)
+
+    def add(self, slots: np.ndarray) -> None:
+        bits = np.zeros(1 << (self.power - 3), np.uint8)
+        np.bitwise_or.at(bits, slots >> 3, (1 << (slots & 7)).astype(np.uint8))
+        self.bits.append(bits)
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        return keys & ((1 << self.power) - 1)
+
+    def hot(self, keys: np.ndarray, words: int) -> np.ndarray:
+        if len(self.bits) <= words - 2:
+            return np.zeros(keys.shape, bool)
+        at = self.slot(keys)
+        return (self.bits[words - 2][at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _within_groups(rows: np.ndarray, words: np.ndarray, groups: int, number: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, band key) of all combinations of ``number`` words of a row that fall in one group; the words of a row stand together in global order."""
+    group = (words * np.int64(2654435761) >> np.int64(7)) & np.int64(groups - 1)
+    order = np.lexsort((group, rows))  # stable: the global order stays within a group
+    r, w, g = rows[order], words[order], group[order]
+    cell = np.cumsum(np.concatenate(([True], (r[1:] != r[:-1]) | (g[1:] != g[:-1])))) if len(r) else np.zeros(0, int)
+    most = int(np.bincount(cell).max(initial=0)) if len(cell) else 0
+    out_rows, out_keys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for steps in combinations(range(1, most), number - 1):
+        first = np.arange(len(r) - steps[-1])
+        first = first[cell[first] == cell[first + steps[-1]]]
+        if len(first):
+            out_rows.append(r[first])
+            out_keys.append(_hash([w[first], *(w[first + d] for d in steps), np.full(len(first), groups, np.int64)]))
+    return np.concatenate(out_rows), np.concatenate(out_keys)
+
+
+def bands(sizes: np.ndarray, values: np.ndarray, offsets: np.ndarray, crowd: Crowd, level: int | None, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, band key, whether the set is long) of sets given as samples. level: only the bands of that many words (for counting), else the final ones."""
     rows_out, keys_out, long_out = [], [], []
 
-    def emit(rows: np.ndarray, keys: np.ndarray, mask: np.ndarray | None = None) -> None:
-        r = np.broadcast_to(rows[:, None], keys.shape)
-        rows_out.append(r[mask] if mask is not None else r.ravel())
-        keys_out.append(keys[mask] if mask is not None else keys.ravel())
-        long_out.append(np.full(len(keys_out[-1]), mask is None))
+    def emit(rows: np.ndarray, keys: np.ndarray, long: bool) -> None:
+        rows_out.append(rows)
+        keys_out.append(keys)
+        long_out.append(np.full(len(rows), long))
 
     for n in np.unique(sizes):
         rows = np.flatnonzero(sizes == n)
-        if n > threshold * LONG and level is None:
-            p = int(sample_size(n, 1, threshold))
-            m = values[offsets[rows][:, None] + np.arange(p)]
-            # A set joins its own size class and the next: sizes of linked sets lie within one class of each other.
-            own = int(math.log(n) / -math.log(threshold) + 1e-9)
-            for c in (own, own + 1):
-                emit(rows, _hash([m, np.full_like(m, c)]))
+        if n > threshold * LONG and level in (None, 2):
+            for groups in group_numbers(int(n), threshold):
+                take = lambda l: (np.repeat(rows, k := int(sample_size(n, l, threshold))), (offsets[rows][:, None] + np.arange(k)).ravel())
+                of, at = take(groups + 1)
+                own, keys = _within_groups(of, values[at], groups, 2)
+                hot = crowd.hot(keys, 2) if level is None else np.zeros(len(keys), bool)
+                emit(own[~hot], keys[~hot], True)
+                if hot.any():  # a set that meets a crowd combines three words wherever a group has them
+                    of, at = take(2 * groups + 1)
+                    some = np.isin(of, np.unique(own[hot]))
+                    emit(*_within_groups(of[some], values[at[some]], groups, 3), True)
         if n > LONG or n < 2:
             continue
         p2 = int(sample_size(n, 2, threshold))
@@ -138,13 +213,11 @@ def bands(sizes: np.ndarray, values: np.ndarray, offsets: np.ndarray, crowded: l
         for words in (2, 3, 4):
             index = np.array(combos)
             keys = _hash([m[:, index[:, j]] for j in range(words)])
-            hot = live & crowded[words - 2][keys & (SLOTS - 1)] if len(crowded) > words - 2 else np.zeros_like(live)
-            if level is None:
-                emit(rows, keys, live & ~hot)
-            elif level == words:
-                emit(rows, keys, live)
-                break
-            if words == 4 or not hot.any():
+            hot = live & crowd.hot(keys, words)
+            chosen = live & ~hot if level is None else live
+            if level in (None, words):
+                emit(np.broadcast_to(rows[:, None], keys.shape)[chosen], keys[chosen], False)
+            if level == words or words == 4 or not hot.any():
                 break
             some = hot.any(axis=1)
             rows, m, hot = rows[some], m[some], hot[some]
@@ -164,38 +237,46 @@ def bands(sizes: np.ndarray, values: np.ndarray, offsets: np.ndarray, crowded: l
     return np.concatenate(rows_out), np.concatenate(keys_out), np.concatenate(long_out)
 
 
-def _crowded(sampled: DataFrame, level: int, known: list[np.ndarray], threshold: float) -> np.ndarray:
-    """Which slots hold more than CROWDED bands of ``level`` words, counted over all classes.
+def slots_for(classes: int) -> int:
+    """The power of two of slots that count the buckets of so many classes."""
+    return min(max(math.ceil(math.log2(64 * max(classes, 1))), LEAST_SLOTS), MOST_SLOTS)
+
 
-    A task reports only slots it met more than once: whatever is called crowded, longer bands find the same pairs.
+PARTS = 64
+
+
+def _crowded(sampled: DataFrame, level: int, power: int, found: list[np.ndarray], threshold: float) -> np.ndarray:
+    """The slots that hold more than CROWDED bands of ``level`` words, counted in full over all classes.
+
+    A task sends the slots it met as compressed differences, about two bytes for a band; they are added up by ranges of slots.
     """
-    shared = sampled.sparkSession.sparkContext.broadcast([np.flatnonzero(k) for k in known])
+    shared = sampled.sparkSession.sparkContext.broadcast((power, found))
+    width = (1 << power) // PARTS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = _flags(shared.value)
-        met = np.zeros(SLOTS, np.int32)
+        crowd = Crowd(*shared.value)
+        met = []
         for batch in batches:
             lists = batch.column("sample")
-            _, keys, _ = bands(batch.column("size").to_numpy().astype(np.int64), _values(lists), _offsets(lists), flags, level, threshold)
-            met += np.bincount(keys & (SLOTS - 1), minlength=SLOTS).astype(np.int32) if len(keys) > SLOTS // 8 else 0
-            if len(keys) <= SLOTS // 8:
-                np.add.at(met, keys & (SLOTS - 1), 1)
-        slots = np.flatnonzero(met > 1)
-        yield pa.RecordBatch.from_arrays([pa.array(slots.astype(np.int32)), pa.array(met[slots].astype(np.int64))], names=["slot", "n"])
-
-    counted = sampled.select("size", "sample").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).filter(F.col("n") > CROWDED)
-    out = np.zeros(SLOTS, bool)
-    out[counted.select("slot").toArrow().column("slot").to_numpy()] = True
-    return out
-
-
-def _flags(slots: list[np.ndarray]) -> list[np.ndarray]:
-    out = []
-    for s in slots:
-        f = np.zeros(SLOTS, bool)
-        f[s] = True
-        out.append(f)
-    return out
+            met.append(crowd.slot(bands(batch.column("size").to_numpy().astype(np.int64), _values(lists), _offsets(lists), crowd, level, threshold)[1]))
+        slots, counts = np.unique(np.concatenate([np.zeros(0, np.int64), *met]), return_counts=True)
+        edges = np.searchsorted(slots, np.arange(PARTS + 1) * width)
+        for part in range(PARTS):
+            s, c = slots[edges[part] : edges[part + 1]], counts[edges[part] : edges[part + 1]]
+            if len(s):
+                raw = np.diff(s, prepend=part * width).astype(np.uint32).tobytes() + np.minimum(c, 65535).astype(np.uint16).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([len(s)], pa.int32()), pa.array([pa.compress(raw, "zstd", asbytes=True)], pa.binary())], names=["part", "n", "met"])
+
+    def total(table: pa.Table) -> pa.Table:
+        count = np.zeros(width, np.int64)
+        part = table.column("part")[0].as_py()
+        for n, met in zip(table.column("n").to_pylist(), table.column("met").to_pylist(), strict=True):
+            raw = pa.decompress(met, decompressed_size=6 * n, codec="zstd", asbytes=True)
+            count[np.cumsum(np.frombuffer(raw, np.uint32, n).astype(np.int64))] += np.frombuffer(raw, np.uint16, n, 4 * n)
+        return pa.table({"slot": pa.array(np.flatnonzero(count > CROWDED) + part * width, pa.int64())})
+
+    counted = sampled.select("size", "sample").mapInArrow(run, "part int, n int, met binary").groupBy("part").applyInArrow(total, "slot long")
+    return np.sort(counted.toArrow().column("slot").to_numpy())
 
 
 def _values(lists: pa.ListArray) -> np.ndarray:
@@ -207,40 +288,51 @@ def _offsets(lists: pa.ListArray) -> np.ndarray:
     return o[:-1] - o[0]
 
 
-def _banded(sampled: DataFrame, known: list[np.ndarray], threshold: float) -> DataFrame:
-    shared = sampled.sparkSession.sparkContext.broadcast([np.flatnonzero(k) for k in known])
+def _banded(sampled: DataFrame, power: int, found: list[np.ndarray], threshold: float) -> DataFrame:
+    shared = sampled.sparkSession.sparkContext.broadcast((power, found))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = _flags(shared.value)
+        crowd = Crowd(*shared.value)
         for batch in batches:
             lists = batch.column("sample")
-            rows, keys, single = bands(batch.column("size").to_numpy().astype(np.int64), _values(lists), _offsets(lists), flags, None, threshold)
+            rows, keys, long = bands(batch.column("size").to_numpy().astype(np.int64), _values(lists), _offsets(lists), crowd, None, threshold)
             take = pa.array(rows.astype(np.int32))
             full = [batch.column(c).to_numpy()[rows] for c in _SKETCH]
             # Short sets need 32 parity bits, the fold of all; long ones keep all 256.
             fold = full[0] ^ full[1] ^ full[2] ^ full[3]
             fold = (fold ^ (fold >> 32)) & 0xFFFFFFFF
-            sketch = [pa.array(np.where(single, x, fold if j == 0 else 0)) for j, x in enumerate(full)]
+            sketch = [pa.array(np.where(long, x, fold if j == 0 else 0)) for j, x in enumerate(full)]
             yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column("class").take(take), batch.column("size").take(take), *sketch], names=["band", "class", "size", *_SKETCH])
 
     return sampled.mapInArrow(run, "band long, class long, size int, s0 long, s1 long, s2 long, s3 long")
 
 
+def may_be_alike(size_a: Column, size_b: Column, differing: Column, threshold: float = THRESHOLD) -> Column:
+    """Whether the population count of the XOR of two sketches leaves a pair a candidate.
+
+    Whole sets: |A xor B| <= (|A| + |B|)(1 - t)/(1 + t) at the threshold, and the count never exceeds |A xor B|. Samples: the count estimates their
+    difference as d = -BITS/2 ln(1 - 2 count / BITS), and so the similarity as (2 SAMPLE - d)/(2 SAMPLE + d).
+    """
+    whole = differing <= (size_a + size_b) * ((1 - threshold) / (1 + threshold)) + 1e-9
+    low = threshold - SLACK
+    most = BITS / 2 * (1 - math.exp(-2 / BITS * 2 * SAMPLE * (1 - low) / (1 + low)))
+    return F.when(F.greatest(size_a, size_b) <= SAMPLE, whole).otherwise(differing <= most)
+
+
 def class_links(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """class_a < class_b and similarity of all pairs of different word sets at or above the threshold."""
     sampled = cut(samples(sets, word_counts(sets), threshold))
-    known: list[np.ndarray] = []
+    power, found = slots_for(sampled.count()), []
     for level in (2, 3):
-        known.append(_crowded(sampled, level, known, threshold))
-    rows = _banded(sampled, known, threshold)
+        found.append(_crowded(sampled, level, power, found, threshold))
+    rows = _banded(sampled, power, found, threshold)
     a, b = rows.alias("a"), rows.alias("b")
-    # |A xor B| <= (|A| + |B|)(1 - t)/(1 + t) at the threshold; the sketch's count never exceeds |A xor B|.
-    room = (F.col("a.size") + F.col("b.size")) * ((1 - threshold) / (1 + threshold)) + 1e-9
+    differing = sum((F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) for c in _SKETCH[1:]), F.bit_count(F.col("a.s0").bitwiseXOR(F.col("b.s0"))))
     near = (
         (F.col("a.band") == F.col("b.band"))
         & (F.col("a.class") < F.col("b.class"))
         & (F.least("a.size", "b.size") >= F.greatest("a.size", "b.size") * threshold - 1e-9)
-        & (sum((F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) for c in _SKETCH[1:]), F.bit_count(F.col("a.s0").bitwiseXOR(F.col("b.s0")))) <= room)
+        & may_be_alike(F.col("a.size"), F.col("b.size"), differing, threshold)
     )
     pairs = cut(a.join(b, near).select(F.col("a.class").alias("class_a"), F.col("b.class").alias("class_b")).distinct())
     wanted = pairs.select(F.explode(F.array("class_a", "class_b")).alias("class")).distinct()
