@@ -183,13 +183,13 @@ def _within_groups(rows: np.ndarray, words: np.ndarray, groups: int, number: int
 
 
 def bands(sizes: np.ndarray, values: np.ndarray, offsets: np.ndarray, crowd: Crowd, level: int | None, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, band key, whether the set is long) of sets given as samples. level: only the bands of that many words (for counting), else the final ones."""
-    rows_out, keys_out, long_out = [], [], []
+    """(row, band key, number of groups or 0 for the bands of short sets) of sets given as samples. level: only the bands of that many words (for counting), else the final ones."""
+    rows_out, keys_out, groups_out = [], [], []
 
-    def emit(rows: np.ndarray, keys: np.ndarray, long: bool) -> None:
+    def emit(rows: np.ndarray, keys: np.ndarray, groups: int) -> None:
         rows_out.append(rows)
         keys_out.append(keys)
-        long_out.append(np.full(len(rows), long))
+        groups_out.append(np.full(len(rows), groups))
 
     for n in np.unique(sizes):
         rows = np.flatnonzero(sizes == n)
@@ -199,11 +199,11 @@ def bands(sizes: np.ndarray, values: np.ndarray, offsets: np.ndarray, crowd: Cro
                 of, at = take(groups + 1)
                 own, keys = _within_groups(of, values[at], groups, 2)
                 hot = crowd.hot(keys, 2) if level is None else np.zeros(len(keys), bool)
-                emit(own[~hot], keys[~hot], True)
+                emit(own[~hot], keys[~hot], groups)
                 if hot.any():  # a set that meets a crowd combines three words wherever a group has them
                     of, at = take(2 * groups + 1)
                     some = np.isin(of, np.unique(own[hot]))
-                    emit(*_within_groups(of[some], values[at[some]], groups, 3), True)
+                    emit(*_within_groups(of[some], values[at[some]], groups, 3), groups)
         if n > LONG or n < 2:
             continue
         p2 = int(sample_size(n, 2, threshold))
@@ -216,7 +216,7 @@ def bands(sizes: np.ndarray, values: np.ndarray, offsets: np.ndarray, crowd: Cro
             hot = live & crowd.hot(keys, words)
             chosen = live & ~hot if level is None else live
             if level in (None, words):
-                emit(np.broadcast_to(rows[:, None], keys.shape)[chosen], keys[chosen], False)
+                emit(np.broadcast_to(rows[:, None], keys.shape)[chosen], keys[chosen], 0)
             if level == words or words == 4 or not hot.any():
                 break
             some = hot.any(axis=1)
@@ -233,8 +233,8 @@ def bands(sizes: np.ndarray, values: np.ndarray, offsets: np.ndarray, crowd: Cro
                         live[:, k] |= hot[:, at[sub]]
             combos = larger
     if not rows_out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
-    return np.concatenate(rows_out), np.concatenate(keys_out), np.concatenate(long_out)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(rows_out), np.concatenate(keys_out), np.concatenate(groups_out)
 
 
 def slots_for(classes: int) -> int:
@@ -295,13 +295,16 @@ def _banded(sampled: DataFrame, power: int, found: list[np.ndarray], threshold:
         crowd = Crowd(*shared.value)
         for batch in batches:
             lists = batch.column("sample")
-            rows, keys, long = bands(batch.column("size").to_numpy().astype(np.int64), _values(lists), _offsets(lists), crowd, None, threshold)
+            rows, keys, groups = bands(batch.column("size").to_numpy().astype(np.int64), _values(lists), _offsets(lists), crowd, None, threshold)
             take = pa.array(rows.astype(np.int32))
-            full = [batch.column(c).to_numpy()[rows] for c in _SKETCH]
-            # Short sets need 32 parity bits, the fold of all; long ones keep all 256.
-            fold = full[0] ^ full[1] ^ full[2] ^ full[3]
-            fold = (fold ^ (fold >> 32)) & 0xFFFFFFFF
-            sketch = [pa.array(np.where(long, x, fold if j == 0 else 0)) for j, x in enumerate(full)]
+            s = [batch.column(c).to_numpy() for c in _SKETCH]
+            # The larger the sets of a band, the more parity bits: 32 (a fold of all), 64 up to 8 groups, 128 up to 16, else 256. Both sides of a band have the same.
+            two = [s[0] ^ s[2], s[1] ^ s[3]]
+            one = two[0] ^ two[1]
+            width = np.select([groups == 0, groups <= 8, groups <= 16], [0, 1, 2], 4)
+            first = np.select([width == 0, width == 1, width == 2], [((one ^ (one >> 32)) & 0xFFFFFFFF)[rows], one[rows], two[0][rows]], s[0][rows])
+            second = np.select([width == 2, width == 4], [two[1][rows], s[1][rows]], 0)
+            sketch = [pa.array(x) for x in (first, second, np.where(width == 4, s[2][rows], 0), np.where(width == 4, s[3][rows], 0))]
             yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column("class").take(take), batch.column("size").take(take), *sketch], names=["band", "class", "size", *_SKETCH])
 
     return sampled.mapInArrow(run, "band long, class long, size int, s0 long, s1 long, s2 long, s3 long")
