@@ -38,8 +38,8 @@ from recollate.session import cut
 
 THRESHOLD = 0.8
 WORD_SLOTS = 1 << 18
-#: A bucket with more bands than this is crowded. Slots that count buckets: 64 for each class, within these powers of two.
-CROWDED, LEAST_SLOTS, MOST_SLOTS = 64, 22, 28
+#: A bucket with more bands than this is crowded: one band more costs as much to shuffle as some hundred comparisons inside a bucket. Slots that count buckets: 64 for each class, within these powers of two.
+CROWDED, LEAST_SLOTS, MOST_SLOTS = 256, 22, 28
 #: Sets above this size are banded by groups of words; sets above THRESHOLD times it by both, so that no pair falls between.
 LONG = 48
 #: Words of a MinHash sample, bits of its odd sketch, and how far below the threshold an estimate from samples must be to discard.
