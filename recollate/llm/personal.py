@@ -5,8 +5,8 @@
 3. A threshold per kind, calibrated on held-out cases, selects; among overlapping spans the likeliest wins, the longer of equals.
 
 No labelled text comes with the data, so the models learn from a made-up sample (``training_text``, of a fixed size given by
-``SAMPLE``) of mentions and look-alikes in letters, forms, chats and logs of five languages. Its wording, names and numbers are written
-for this purpose and come from no table; seed and size are parameters.
+``SAMPLE``) of mentions and look-alikes in letters, forms, chats and logs of five languages, in wording written for this purpose; seed and size
+are parameters.
 
 Positions count characters (code points) from 0, ends are exclusive. Null and empty texts have no mention; repeated rows give
 repeated rows; other columns are ignored. An email's local part has at most 64 characters by the mail standard (RFC 5321), written
@@ -351,9 +351,9 @@ _CARRIERS = (
 _PLAIN = (
     "The {t} opened on Monday.", "Our {t} starts next week.", "Section {d1}, {t}, was rewritten.", "Part {d2} {t} explains it.", "A {t} is not a {w}.", "We watched {t} at the cinema.", "{t} is a brand of {w}.", "In {c} {c} it rains.", "Every {c} {c} has a {w}.", "The {c} of {c} was late.",
     "Flight {d4} leaves at {d2}:{d2}.", "Tracking {d4}-{d4}-{d3} says delivered.", "Part number {d3}-{d2}-{d2} is out of stock.", "The log {d8}-{d4} is empty.", "Sample {d3}-{d5} and {d4}-{d3} failed.", "ISBN 978-{d1}-{d2}-{d6}-{d1}.", "Pi is 3.{d8}.", "Row {d7} of {d6}.", "Epoch {d10} or {d13}.", "Coordinates {d2}.{d6}, {d2}.{d6}.",
-    "Server 10.{d2}.{d3}.{d1} replied in {d4} ms.", "Balance {d3},{d3}.{d2} euros.", "Between 19{d2} and 20{d2} we sold {d6}.", "On 20{d2}-0{d1}-1{d1} at 1{d1}:{d2}:{d2}.", "Hash a{d4}bc{d3}ef.", "Use @{w} in the chat.", "Type {w}@ and press tab.", "Price {w}@{d2} {w}.", "Meet at noon dot.", "Look at {w} {w}.",
-    "{c}, {c} and {c} are colours.", "Dear All, {w} again.", "Model {c} {d9} ships.", "Device id {d3}-{d5} is online.", "Request id {d6}-{d3} timed out.", "Record ID {d4}-{d4}: {w}.", "In {c}, {c} is closed.", "Until {c}, {c} under {w}.", "{c}, {c} and the {w}.", "After {c}, {c} {w} again.", "Score {d1}-{d1} after {d2} minutes.", "Serial {d3}-{d3}-{d4} of the {w}.", "Item {d4} {c} {w}.", "{d3} {c} {w} cost little.", "{d2} {c} {c} were lost.", "Version {d1}.{d2}.{d1} of {c} {c}.", "Der {c} am {c} ist neu.", "La {c} de {c} está cerca.",
-    "{c} {c} {w} the {w}.", "{c} {c} {d3} {w} {w}.", "{c} the {w} of {w}.", "{c} and {w} {w} one {w}.", "For {c} {c} the {w} {w}.", "Chapter {d2} {c} {c} {w}.", "Error {d5}-{d4}: {w}.", "Code {d3} {d2} {d2}.", "{w}: {c} {c} {w}, {w}.", "Job {d10} took {d6}.", "Key {d8} of {c}.", "Budget {d6} {d3}.", "{c} {c}: {w}.", "项目{w}已经完成，第{d2}次。", "今天的天气很好。", "周末我们去公园。",
+    "Server 10.{d2}.{d3}.{d1} replied in {d4} ms.", "Balance {d3},{d3}.{d2} euros.", "Between 19{d2} and 20{d2} we sold {d6}.", "On 20{d2}-0{d1}-1{d1} at 1{d1}:{d2}:{d2}.", "Hash a{d4}bc{d3}ef.", "Use @{w} in the chat.", "Type {w}@ and press tab.", "Two {w}@{d1} euros.", "Meet at noon dot.", "Look at {w} {w}.",
+    "{c}, {c} and {c} are colours.", "Dear All, {w} again.", "Meter {d9} of {c} reads {d5}.", "Device id {d3}-{d5} is online.", "Request id {d6}-{d3} timed out.", "Record ID {d4}-{d4}: {w}.", "In {c}, {c} is closed.", "Until {c}, {c} under {w}.", "{c}, {c} and the {w}.", "After {c}, {c} {w} again.", "Score {d1}-{d1} after {d2} minutes.", "Licence plate {d3}-{d3}-{d4}.", "Item {d4} {c} {w}.", "{d3} {c} {w} cost little.", "{d2} {c} {c} were lost.", "Edition {d1}.{d2} of {c} {c}.", "Der {c} am {c} ist neu.", "La {c} de {c} está cerca.",
+    "{c} {c} {w} the {w}.", "{c} {c} {d3} {w} {w}.", "{c} my {w}, please.", "{c} or {w}, whichever is nearer.", "Near {c} {c} a {w} opened.", "Room {d3} {c} {c} is empty.", "Locker {d5}-{d4}: {w}.", "Code {d3} {d2} {d2}.", "{w}: {c} {c} {w}, {w}.", "Invoice total {d6} for {d10}.", "Key {d8} of {c}.", "Budget {d6} {d3}.", "{c} {c}: {w}.", "项目{w}已经完成，第{d2}次。", "今天的天气很好。", "周末我们去公园。",
 )
 _ANNOUNCED = ("SSN", "social security number", "social", "passport", "passport no.", "Passport number:", "tax id", "tax number", "Steuer-ID", "DNI", "NIE", "national id", "NI number", "national insurance no.", "ID card", "identity card number", "Ausweis", "driving licence")
 _GENERAL = "water garden window table silver golden market station river summer winter music paper engine signal harbour castle forest valley kitchen library museum theatre energy climate weather history science nature culture design quality safety travel finance support network digital global central royal public open smart bright quiet rapid modern ancient".split()
