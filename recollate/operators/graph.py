@@ -45,9 +45,18 @@ def ancestors(df: DataFrame, key: str = "doc_id", up: str = "derived_from") -> D
     return state.select("key", F.when(~F.col("open"), F.col("top")).alias("root"), F.when(~F.col("open"), F.col("depth")).alias("depth"), "broken", F.col("open").alias("cycle"))
 
 
+def opaque(df: DataFrame, **names: str) -> DataFrame:
+    """The named columns of df, new name = old one, as values whose expressions the optimizer can't see.
+
+    A checkpoint keeps the constraints of its plan. If the parent is computed from the key, each join of parent and key puts that expression into
+    itself once more, and a walk of fifteen levels fills the driver.
+    """
+    return df.select(F.inline(F.array(F.struct(*[F.col(old).alias(new) for new, old in names.items()]))))
+
+
 def descendants(df: DataFrame, root: int, key: str = "doc_id", up: str = "derived_from") -> DataFrame:
     """key, depth of everything derived from root, level by level; a node is visited once, so cycles end."""
-    edges = df.select(F.col(key).alias("key"), F.col(up).alias("parent"))
+    edges = opaque(df, key=key, parent=up)
     found = cut(edges.filter(F.col("parent") == root).select("key").distinct().withColumn("depth", F.lit(1)))
     frontier, depth = found, 1
     while not frontier.isEmpty():

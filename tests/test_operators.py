@@ -26,6 +26,15 @@ def test_lineage_marks_missing_parents_and_cycles(spark):
     assert {r["key"] for r in graph.descendants(df, 7).collect()} == {8}
 
 
+def test_deep_walks_keep_their_plans_small(spark):
+    """The parent is computed from the key, as in the record store; levels must not nest that expression."""
+    df = spark.range(512).selectExpr("id AS doc_id", "CASE WHEN id > 0 THEN CAST(floor(id / 2) AS BIGINT) END AS derived_from")
+    down = graph.descendants(df, 1)
+    assert {(r["key"], r["depth"]) for r in down.collect()} == {(n, n.bit_length() - 1) for n in range(2, 512)}
+    for walk in (down,):
+        assert len(walk._jdf.queryExecution().analyzed().constraints().toString()) < 1000
+
+
 def test_near_duplicates_against_brute_force(spark):
     rng = random.Random(3)
     words = [f"w{i}" for i in range(60)]
