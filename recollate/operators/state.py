@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from recollate.operators.graph import opaque
 from recollate.session import cut
 
 #: Columns that an update never changes.
@@ -77,8 +78,8 @@ def stamp(sources: DataFrame, imported: DataFrame, now: int) -> DataFrame:
 
 def with_descendants(ids: DataFrame, records: DataFrame, key: str = "doc_id", up: str = "derived_from") -> DataFrame:
     """The keys and all that is derived from any of them, at any depth, each once; level by level, cut in the shared folder, cycles end."""
-    edges = records.select(F.col(key), F.col(up).alias("__up"))
-    found = cut(records.join(ids.select(key).distinct(), key, "left_semi").select(key))
+    edges = opaque(records, **{key: key, "__up": up})
+    found = cut(edges.join(ids.select(key).distinct(), key, "left_semi").select(key))
     frontier = found
     while not frontier.isEmpty():
         below = edges.join(frontier.select(F.col(key).alias("__up")), "__up").select(key).distinct()

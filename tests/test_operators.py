@@ -31,7 +31,9 @@ def test_deep_walks_keep_their_plans_small(spark):
     df = spark.range(512).selectExpr("id AS doc_id", "CASE WHEN id > 0 THEN CAST(floor(id / 2) AS BIGINT) END AS derived_from")
     down = graph.descendants(df, 1)
     assert {(r["key"], r["depth"]) for r in down.collect()} == {(n, n.bit_length() - 1) for n in range(2, 512)}
-    for walk in (down,):
+    every = state.with_descendants(df.filter("doc_id = 1"), df)
+    assert {r[0] for r in every.collect()} == set(range(1, 512))
+    for walk in (down, every):
         assert len(walk._jdf.queryExecution().analyzed().constraints().toString()) < 1000
 
 
