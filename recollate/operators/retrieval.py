@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ K1, B, FUSION = 1.2, 0.75, 60
 BOOST, BOOSTED = 0.05, ("preference", "feedback", "fact", "skill", "reference")
 #: Vectors that stand in one block of queries and in one of the index: they bound what a task holds.
 QUERY_BLOCK, VECTOR_BLOCK = 1024, 4096
+#: Records that stand in one block of the text index, and pairs of a rare term's queries and records spread out at a time.
+TEXT_BLOCK, SPREAD = 4096, 1 << 22
 
 
 def pool_size(limit: int) -> int:
@@ -40,29 +44,225 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return each.select("query_id", "strict", meant.alias("meant"), F.explode("terms").alias("term")).select("query_id", "term", "strict", (~stop | (F.col("meant") == 0)).alias("relaxed"))
 
 
-def full_text(records: DataFrame, queries: DataFrame, limit: int, key: str = "doc_id", text: str = "content", allowed: DataFrame | None = None) -> DataFrame:
-    """query_id, key, tier, score, rank: BM25 over distinct terms; records with all terms (tier 0) come before those with any meaningful one.
+def _index(records: DataFrame, key: str, text: str) -> DataFrame:
+    """keys, lengths, vocabulary, counts, items: records in blocks of at most TEXT_BLOCK.
 
-    queries: query_id, text, any number of them. Statistics are those of the whole index; the texts are cut into terms once. allowed: the keys that
-    a filter admits, applied before the ranks and so before any limit. Queries and postings meet in a join on the term, which Spark
-    broadcasts if the queries are few and otherwise shuffles; a term that many texts and queries share is split by the adaptive skew join.
+    lengths: distinct terms of each record, null without a text; counts: how many records of the block have each word of its vocabulary; items: the records' terms
+    one record after the other as numbers of the vocabulary (uint32, zlib).
     """
-    docs = cut(records.select(key, F.inline(F.array(F.struct(index_terms(F.col(text)).alias("terms"))))))
-    total = docs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg(F.size("terms")), F.lit(1.0)).alias("mean"))
-    terms = query_terms(queries)
+    kind = records.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, TEXT_BLOCK):
+                part = batch.slice(at, TEXT_BLOCK)
+                lengths = pc.list_value_length(part.column(1))
+                coded = part.column(1).flatten().dictionary_encode()
+                items, words = coded.indices.to_numpy(zero_copy_only=False).astype(np.uint32), coded.dictionary
+                one = lambda x, kind: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x.cast(kind))
+                columns = [one(part.column(0), part.column(0).type), one(lengths, pa.int32()), one(words, pa.string()), one(pa.array(np.bincount(items, minlength=len(words))), pa.int64())]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([zlib.compress(items.tobytes(), 1)], pa.binary())], names=["keys", "lengths", "vocabulary", "counts", "items"])
+
+    terms = records.select(key, F.inline(F.array(F.struct(index_terms(F.col(text)).alias("terms")))))
+    return terms.mapInArrow(run, f"keys array<{kind}>, lengths array<int>, vocabulary array<string>, counts array<bigint>, items binary")
+
+
+def _query_blocks(asked: DataFrame, number: int) -> DataFrame:
+    """query_ids, strict, sizes, terms, relaxed, idf, mean: the queries of ``asked`` in blocks of at most QUERY_BLOCK; sizes: how many of the terms belong to each."""
+    kind = asked.schema["query_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, QUERY_BLOCK):
+                part = batch.slice(at, QUERY_BLOCK)
+                lists = part.column(3)
+                each = lists.flatten()
+                one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+                columns = [one(part.column(0)), one(part.column(1)), one(pc.list_value_length(lists)), *(one(each.field(i)) for i in range(3)), part.column(2).slice(0, 1)]
+                yield pa.RecordBatch.from_arrays(columns, names=["query_ids", "strict", "sizes", "terms", "relaxed", "idf", "mean"])
+
+    each = asked.groupBy("query_id").agg(F.first("strict").alias("strict"), F.first("mean").alias("mean"), F.collect_list(F.struct("term", "relaxed", "idf")).alias("terms"))
+    return each.repartition(number).mapInArrow(run, f"query_ids array<{kind}>, strict array<int>, sizes array<int>, terms array<string>, relaxed array<boolean>, idf array<double>, mean double")
+
+
+class _Texts:
+    """A block of the index with the records of each word."""
+
+    def __init__(self, row: pa.StructScalar | dict):
+        self.keys = row["keys"].values.to_numpy(zero_copy_only=False)
+        self.lengths = pc.fill_null(row["lengths"].values, 0).to_numpy(zero_copy_only=False)
+        self.words = row["vocabulary"].values
+        self.counts = row["counts"].values.to_numpy(zero_copy_only=False)
+        items = np.frombuffer(zlib.decompress(row["items"].as_py()), np.uint32)
+        self.docs = np.repeat(np.arange(len(self.keys)), self.lengths)[np.argsort(items, kind="stable")]
+        self.starts = np.cumsum(self.counts) - self.counts
+
+    def having(self, word: int) -> np.ndarray:
+        return self.docs[self.starts[word] : self.starts[word] + self.counts[word]]
+
+
+class _Asked:
+    """A block of queries with the best records that each has met so far."""
+
+    def __init__(self, row: pa.StructScalar | dict, limit: int):
+        self.ids = row["query_ids"].values
+        self.strict, self.sizes, self.idf = (row[c].values.to_numpy(zero_copy_only=False) for c in ("strict", "sizes", "idf"))
+        self.terms, self.relaxed, self.mean, self.limit = row["terms"].values, row["relaxed"].values.to_numpy(zero_copy_only=False), row["mean"].as_py(), limit
+        self.of = np.repeat(np.arange(len(self.ids)), self.sizes)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.total = np.bincount(self.of, self.idf, len(self.ids))
+        self.loose = np.bincount(self.of[self.relaxed], self.idf[self.relaxed], len(self.ids))
+        self.best: tuple[np.ndarray, ...] | None = None  # query, tier, rounded score, key, score
+        self.bar = np.zeros(len(self.ids))
+
+    def sums(self, texts: _Texts, word: np.ndarray) -> np.ndarray:
+        """For each query and record the idf of the relaxed terms that both have: frequent terms in a matrix product, rare ones one by one."""
+        n, m = len(self.ids), len(texts.keys)
+        use = np.flatnonzero(self.relaxed & (word >= 0))
+        asking = np.bincount(word[use], minlength=len(texts.words))
+        dense = np.flatnonzero(asking * texts.counts > n * m // 40)
+        place = np.full(len(texts.words), -1)
+        place[dense] = np.arange(len(dense))
+        out = np.zeros((n, m))
+        for at in range(0, len(dense), 512):
+            some = dense[at : at + 512]
+            mine = use[(place[word[use]] >= at) & (place[word[use]] < at + 512)]
+            left, right = np.zeros((n, len(some))), np.zeros((len(some), m))
+            np.add.at(left, (self.of[mine], place[word[mine]] - at), self.idf[mine])
+            for i, w in enumerate(some):
+                right[i, texts.having(w)] = 1.0
+            out += left @ right
+        rare = use[place[word[use]] < 0]
+        many = texts.counts[word[rare]]
+        ends = np.cumsum(many)
+        at = 0
+        while at < len(rare):  # so many at a time that what is spread out stays bounded
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SPREAD, "right")))
+            mine, size = rare[at:to], many[at:to]
+            places = np.arange(size.sum()) + np.repeat(texts.starts[word[mine]] - (np.cumsum(size) - size), size)
+            out += np.bincount(np.repeat(self.of[mine], size) * m + texts.docs[places], np.repeat(self.idf[mine], size), n * m).reshape(n, m)
+            at = to
+        return out
+
+    def all_met(self, texts: _Texts, word: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(queries, records) of all pairs in which the record has every term of the query."""
+        known = np.bincount(self.of[word >= 0], minlength=len(self.ids)) == self.strict
+        queries, docs = [], []
+        for q in np.flatnonzero(known):
+            some = np.flatnonzero(sums[q] >= self.loose[q] * (1 - 1e-9))  # a little too many, never too few
+            if not len(some):
+                continue
+            met = np.zeros(len(texts.keys), np.int64)
+            for w in word[self.starts[q] : self.starts[q] + self.sizes[q]]:
+                met[texts.having(w)] += 1
+            some = some[met[some] == self.strict[q]]
+            queries.append(np.full(len(some), q))
+            docs.append(some)
+        none = np.zeros(0, np.int64)
+        return np.concatenate([none, *queries]), np.concatenate([none, *docs])
+
+    def meet(self, texts: _Texts) -> None:
+        word = pc.fill_null(pc.index_in(self.terms, value_set=texts.words), -1).to_numpy(zero_copy_only=False)
+        norm = (K1 + 1) / (1 + K1 * (1 - B + B * texts.lengths / self.mean))
+        sums = self.sums(texts, word)
+        first, docs = self.all_met(texts, word, sums)
+        sums *= norm
+        score = np.round(sums, 9)
+        score[first, docs] = np.inf
+        bar = self.bar
+        if self.limit < score.shape[1]:
+            bar = np.maximum(bar, np.partition(score, score.shape[1] - self.limit, axis=1)[:, score.shape[1] - self.limit])
+        q, d = np.nonzero((score >= bar[:, None]) & (score > 0))
+        strict = np.isinf(score[q, d])
+        exact = np.where(strict, self.total[q] * norm[d], sums[q, d])
+        found = (q, np.where(strict, 0, 1), np.round(exact, 9), texts.keys[d], exact)
+        if self.best is not None:
+            found = tuple(np.concatenate(x) for x in zip(self.best, found, strict=True))
+        order = np.lexsort((np.unique(found[3], return_inverse=True)[1], -found[2], found[1], found[0]))
+        q = found[0][order]
+        order = order[np.arange(len(q)) - np.searchsorted(q, q) < self.limit]
+        self.best = tuple(x[order] for x in found)
+        q, tier, rounded = self.best[:3]
+        last = np.flatnonzero(np.arange(len(q)) - np.searchsorted(q, q) == self.limit - 1)
+        self.bar = np.zeros(len(self.ids))
+        self.bar[q[last]] = np.where(tier[last] == 0, np.inf, rounded[last])
+
+
+def _in_blocks(index: DataFrame, asked: DataFrame, limit: int, key: str, kind: str, number: int) -> DataFrame:
+    """query_id, key, tier, score: each block of queries against each block of the index; of every query the best ``limit`` records of a task come out."""
+    blocks = cut(_query_blocks(asked, number))
+    id_kind = asked.schema["query_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[object, _Asked] = {}
+        names = key_type = id_type = None
+        for batch in batches:
+            id_type, key_type = batch.schema.field("query_ids").type.value_type, batch.schema.field("keys").type.value_type
+            for i in range(batch.num_rows):
+                row = {c: batch.column(c)[i] for c in batch.schema.names}
+                name = row["query_ids"].values[0].as_py()
+                if name not in held:
+                    held[name] = _Asked(row, limit)
+                if (now := row["keys"].values[0].as_py()) != names:
+                    names, texts = now, _Texts(row)
+                held[name].meet(texts)
+        for block in held.values():
+            q, tier, _, keys, score = block.best
+            for at in range(0, len(q), 100_000):
+                part = slice(at, at + 100_000)
+                yield pa.RecordBatch.from_arrays([block.ids.take(pa.array(q[part])).cast(id_type), pa.array(keys[part], key_type), pa.array(tier[part], pa.int32()), pa.array(score[part])], names=["query_id", key, "tier", "score"])
+
+    return index.crossJoin(blocks).mapInArrow(run, f"query_id {id_kind}, `{key}` {kind}, tier int, score double")
+
+
+def _joined(records: DataFrame, asked: DataFrame, key: str, text: str) -> DataFrame:
+    """query_id, key, tier, score by a join on the term, which adds up what rows of the same key or the same query have."""
+    docs = records.select(key, F.inline(F.array(F.struct(index_terms(F.col(text)).alias("terms")))))
     postings = docs.select(key, F.size("terms").alias("length"), F.explode("terms").alias("term"))
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    wanted = terms.join(df, "term").crossJoin(F.broadcast(total))  # one row of totals
-    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    asked = wanted.select("query_id", "term", "strict", "relaxed", idf.alias("idf"), "mean")
     weight = F.col("idf") * (K1 + 1) / (1 + K1 * (1 - B + B * F.col("length") / F.col("mean")))
     scored = postings.join(asked, "term").groupBy("query_id", key).agg(
         F.sum(weight).alias("score"), F.count(F.lit(1)).alias("found"), F.max("strict").alias("strict"), F.sum(F.when(F.col("relaxed"), weight).otherwise(0.0)).alias("loose")
     )
     all_met = F.col("found") == F.col("strict")
-    tiered = scored.select("query_id", key, F.when(all_met, 0).otherwise(1).alias("tier"), F.when(all_met, F.col("score")).otherwise(F.col("loose")).alias("score"))
+    return scored.select("query_id", key, F.when(all_met, 0).otherwise(1).alias("tier"), F.when(all_met, F.col("score")).otherwise(F.col("loose")).alias("score"))
+
+
+def _doubtful(keys: DataFrame) -> DataFrame:
+    """The keys that are null or occur more than once."""
+    key = keys.columns[0]
+    return keys.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col(key).isNull() | (F.col("n") > 1)).select(F.col(key).alias("__key"))
+
+
+def full_text(records: DataFrame, queries: DataFrame, limit: int, key: str = "doc_id", text: str = "content", allowed: DataFrame | None = None) -> DataFrame:
+    """query_id, key, tier, score, rank: BM25 over distinct terms; records with all terms (tier 0) come before those with any meaningful one.
+
+    queries: query_id, text, any number of them. Statistics are those of the whole index; the texts are cut into terms once. allowed: the keys that
+    a filter admits, applied before the ranks and so before any limit. Blocks of queries meet blocks of the index, and only the best
+    ``limit`` of a task are shuffled, never the pairs of a query and a record. Keys and queries that aren't unique go through a join.
+    """
+    kind = records.schema[key].dataType.simpleString()
+    index = cut(_index(records, key, text))
+    total = index.select(F.explode("lengths").alias("length")).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("length"), F.lit(1.0)).alias("mean"))
+    df = index.select(F.inline(F.arrays_zip(F.col("vocabulary").alias("term"), F.col("counts").alias("df")))).groupBy("term").agg(F.sum("df").alias("df"))
+    wanted = query_terms(queries).join(df, "term").crossJoin(F.broadcast(total))  # one row of totals
+    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
+    asked = wanted.select("query_id", "term", "strict", "relaxed", idf.alias("idf"), "mean")
     if allowed is not None:
-        tiered = tiered.join(allowed.select(key), key, "left_semi")
+        records = records.join(allowed.select(key).distinct(), key, "left_semi")
+    parts = []
+    odd_queries = cut(_doubtful(queries.select("query_id")))
+    if not odd_queries.isEmpty():
+        odd = F.col("query_id").eqNullSafe(F.col("__key"))
+        parts.append(_joined(records, asked.join(odd_queries, odd, "left_semi"), key, text))
+        asked, queries = asked.join(odd_queries, odd, "left_anti"), queries.join(odd_queries, odd, "left_anti")
+    odd_keys = cut(_doubtful(index.select(F.explode("keys").alias(key))))
+    if not odd_keys.isEmpty():
+        odd = F.col(key).eqNullSafe(F.col("__key"))
+        parts.append(_joined(records.join(odd_keys, odd, "left_semi"), asked, key, text))
+        records = records.join(odd_keys, odd, "left_anti")
+    if allowed is not None or not odd_keys.isEmpty():
+        index = cut(_index(records, key, text))
+    tiered = reduce(DataFrame.unionByName, parts, _in_blocks(index, asked, limit, key, kind, max(1, -(-queries.count() // QUERY_BLOCK))))
     order = Window.partitionBy("query_id").orderBy("tier", F.round("score", 9).desc(), key)
     return tiered.filter("tier = 0 OR score > 0").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
 

@@ -512,7 +512,7 @@ def vector_search(s: SparkSession, d: str) -> DataFrame:
 
 def _hybrid(s: SparkSession, d: str, limit: int = 10) -> tuple[DataFrame, DataFrame, DataFrame]:
     pool = retrieval.pool_size(limit)
-    text = retrieval.full_text(spread(model.records(s, d)), _texts(s, d), pool)
+    text = cut(retrieval.full_text(spread(model.records(s, d)), _texts(s, d), pool))  # search_trace reads it twice
     near = retrieval.nearest(*_vectors(s, d), pool).select("query_id", F.col("vec_id").alias("doc_id"), "score", "rank")
     return text, near, retrieval.fuse(text, near, limit)
 

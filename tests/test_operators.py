@@ -1,4 +1,5 @@
 import random
+import re
 from itertools import combinations
 
 import numpy as np
@@ -223,3 +224,47 @@ def test_derived_records_keep_failures(spark):
     rows = extraction.derive(df, provider).collect()
     assert sorted((r["derived_from"], r["content"], r["error"]) for r in rows if r["content"]) == [("r1", "one", None), ("r1", "two", None)]
     assert [r["error"] for r in rows if r["error"]] == ["no"]
+
+
+def test_full_text_ranks_inside_blocks(spark, monkeypatch):
+    """Ties, stop words, queries without a term of the index, keys and queries that occur twice or are null; and no pair of a query and a record is shuffled."""
+    monkeypatch.setattr(retrieval, "TEXT_BLOCK", 16)
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 4)
+    rng = random.Random(5)
+    words = ["the", "and", *(f"w{i}" for i in range(40))]
+    docs = [(i, " ".join(rng.choices(words, k=rng.randint(1, 12)))) for i in range(150)]
+    docs += [(i + 1000, t) for i, t in docs[:40]] + [(5, "w1 w2 the"), (None, "w3 w4"), (2000, ""), (2001, None)]
+    asked = [(i, docs[i * 3][1]) for i in range(20)] + [(50, "the and"), (51, "nowhere"), (52, "w1 nowhere"), (53, "w1 w2"), (53, "w2 w3"), (None, "w5 the"), (54, "")]
+    table, queries = spark.createDataFrame(docs, "doc_id long, content string").repartition(3), spark.createDataFrame(asked, "query_id long, text string")
+
+    sets = [(k, set((t or "").split())) for k, t in docs]
+    mean = sum(len(t) for _, t in sets) / sum(t is not None for _, t in docs)
+    df = {w: sum(w in t for _, t in sets) for w in words}
+    idf = {w: max(np.log((len(sets) - n + 0.5) / (n + 0.5)), 1e-6) for w, n in df.items()}
+
+    def ranked(keys):
+        pairs = {}
+        for q, text in asked:
+            terms = set(text.split())
+            meant = terms - {"the", "and"}
+            for k, own in sets:
+                if keys is not None and k not in keys:
+                    continue
+                for w in terms & own:
+                    x = idf[w] * 2.2 / (1 + 1.2 * (0.25 + 0.75 * len(own) / mean))
+                    all_, loose, found, strict = pairs.get((q, k), (0.0, 0.0, 0, 0))
+                    pairs[q, k] = (all_ + x, loose + x * (not meant or w in meant), found + 1, max(strict, len(terms)))
+        best = {}
+        for (q, k), (all_, loose, found, strict) in pairs.items():
+            if found == strict or loose > 0:
+                best.setdefault(q, []).append((int(found != strict), -round(all_ if found == strict else loose, 9), -1 if k is None else k))
+        return {(q, k, tier, rank) for q, rows in best.items() for rank, (tier, _, k) in enumerate(sorted(rows)[:7], 1)}
+
+    def got(found):
+        return {(r["query_id"], -1 if r["doc_id"] is None else r["doc_id"], r["tier"], r["rank"]) for r in found.collect()}
+
+    assert got(retrieval.full_text(table, queries, 7)) == ranked(None)
+    some = set(range(0, 2000, 2))
+    assert got(retrieval.full_text(table, queries, 7, allowed=spark.createDataFrame([(k,) for k in some], "doc_id long"))) == ranked(some)
+    plain = retrieval.full_text(table.filter("doc_id <> 5"), queries.filter("query_id < 50"), 7)
+    assert not re.search(r"hashpartitioning\(query_id#\d+L?, doc_id#", plain._jdf.queryExecution().executedPlan().toString())
