@@ -298,8 +298,8 @@ def _assign(keys: list, counts: list[int], carry: list, capacity: int, final: bo
             part += 1
         if n:
             items.append((n, (key, part)))
-    # Only the last packing of a partition is worth a search: what an earlier one leaves open is packed again.
-    containers, _ = pack(items, capacity, NODES if final else 0)
+    # Every window is searched: what it closes at FULL can't be mended by a later one.
+    containers, _ = pack(items, capacity)
     if empties:
         if containers:
             containers[-1] += empties

@@ -94,3 +94,13 @@ def test_documents_without_partners():
     # past the bound the fullest are closed, the emptiest wait for partners
     got, carry = _assign(list(range(6)), [1100, 1300, 1200, 1500, 1400, 1600], [], 2048, final=False, most=2)
     assert sorted(s for s, _ in carry) == [1100, 1200] and sorted(r[4] for r in got) == [1300, 1400, 1500, 1600]
+
+
+def test_every_window_is_searched():
+    """What a window before the last closes as full can cost a container if it was packed without a search."""
+    cases = {(44, 24, 30, 53, 60, 22, 18, 54, 41, 44, 22, 28, 18, 37): 5, (41, 38, 48, 23, 33, 23, 30, 45, 22, 47, 34, 47, 54): 5, (38, 24, 47, 40, 21, 20, 15, 25, 56, 59, 54): 4}
+    for sizes, least in cases.items():
+        closed, carry = _assign(list(range(len(sizes))), sizes, [], 100, final=False)
+        rest, _ = _assign([], [], carry, 100, final=True)
+        assert sorted(r[3] for r in closed + rest) == sorted(sizes)
+        assert len({r[0] for r in closed + rest}) == least
