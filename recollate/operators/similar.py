@@ -39,7 +39,7 @@ def band_keys(sims: np.ndarray) -> np.ndarray:
 
 
 def signatures(records: DataFrame) -> DataFrame:
-    """class, terms, size, sim, bands: one row per different set of terms with enough of them."""
+    """class, terms, size, sim: one row per different set of terms with enough of them."""
     terms = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))))
     sets = records.select(F.inline(F.array(F.struct(terms.alias("terms"))))).filter(F.size("terms") >= LEAST_TERMS)
     classes = sets.select("terms", F.sha2(F.array_join("terms", " "), 256).alias("class")).groupBy("class").agg(F.first("terms").alias("terms"))
@@ -51,12 +51,10 @@ def signatures(records: DataFrame) -> DataFrame:
             lists = batch.column("hashes")
             sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
             sims = simhash(np.ascontiguousarray(lists.flatten().to_numpy(zero_copy_only=False)), np.cumsum(sizes) - sizes, sizes)
-            keys = band_keys(sims)
-            bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sims) + 1) * keys.shape[1], pa.int32()), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("class"), batch.column("terms"), pa.array(sizes.astype(np.int32)), pa.array(sims), bands], names=["class", "terms", "size", "sim", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("class"), batch.column("terms"), pa.array(sizes.astype(np.int32)), pa.array(sims)], names=["class", "terms", "size", "sim"])
 
     hashed = classes.select("class", "terms", F.transform("terms", term_hash).alias("hashes"))
-    return hashed.mapInArrow(run, "class string, terms array<string>, size int, sim long, bands array<long>")
+    return hashed.mapInArrow(run, "class string, terms array<string>, size int, sim long")
 
 
 def class_of(records: DataFrame) -> DataFrame:
@@ -66,25 +64,37 @@ def class_of(records: DataFrame) -> DataFrame:
     return sets.select("doc_id", F.sha2(F.array_join("terms", " "), 256).alias("class"))
 
 
+def bands(sims: DataFrame) -> DataFrame:
+    """sim, band: every hash under each of its band keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column(0).to_numpy(zero_copy_only=False)
+            keys = band_keys(own)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, keys.shape[1])), pa.array(keys.ravel())], names=["sim", "band"])
+
+    return sims.mapInArrow(run, "sim long, band long")
+
+
 def near_pairs(records: DataFrame) -> DataFrame:
-    """class_a < class_b, distance, similarity of all pairs of different term sets within both limits; nothing is missed."""
+    """class_a < class_b, distance, similarity of all pairs of different term sets within both limits; nothing is missed.
+
+    Candidates are pairs of hashes, two numbers a row; the sets come in for those that are near, and for sets of one hash.
+    """
     classes = cut(signatures(records))
-    rows = classes.select("class", "sim", "size", F.explode("bands").alias("band"))
+    rows = bands(classes.select("sim").distinct())
     a, b = rows.alias("a"), rows.alias("b")
     distance = F.bit_count(F.col("a.sim").bitwiseXOR(F.col("b.sim")))
-    found = a.join(
-        b,
-        (F.col("a.band") == F.col("b.band"))
-        & (F.col("a.class") < F.col("b.class"))
-        & (distance <= MOST_DISTANT)
-        & (F.least("a.size", "b.size") >= LEAST_SIMILAR * F.greatest("a.size", "b.size")),
-    )
-    pairs = found.select(F.col("a.class").alias("class_a"), F.col("b.class").alias("class_b"), distance.alias("distance")).distinct()
-    left = classes.select(F.col("class").alias("class_a"), F.col("terms").alias("terms_a"))
-    right = classes.select(F.col("class").alias("class_b"), F.col("terms").alias("terms_b"))
-    common = F.size(F.array_intersect("terms_a", "terms_b"))
-    similarity = common / (F.size("terms_a") + F.size("terms_b") - common)
-    return pairs.join(left, "class_a").join(right, "class_b").select("class_a", "class_b", F.col("distance").cast("long"), similarity.alias("similarity")).filter(F.col("similarity") >= LEAST_SIMILAR)
+    found = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.sim") < F.col("b.sim")) & (distance <= MOST_DISTANT))
+    near = found.select(F.col("a.sim").alias("sim_a"), F.col("b.sim").alias("sim_b")).distinct()
+    shared = classes.groupBy("sim").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("sim").alias("sim_a"), F.col("sim").alias("sim_b"))
+    left, right = (classes.select(F.col("sim").alias(f"sim_{x}"), F.col("size").alias(f"size_{x}"), F.struct("class", "terms").alias(x)) for x in "ab")
+    met = near.unionByName(shared).join(left, "sim_a").join(right, "sim_b").filter((F.col("sim_a") != F.col("sim_b")) | (F.col("a.class") < F.col("b.class")))
+    met = met.filter(F.least("size_a", "size_b") >= LEAST_SIMILAR * F.greatest("size_a", "size_b"))
+    common = F.size(F.array_intersect("a.terms", "b.terms"))
+    similarity = common / (F.col("size_a") + F.col("size_b") - common)
+    apart = F.bit_count(F.col("sim_a").bitwiseXOR(F.col("sim_b"))).cast("long")
+    return met.select(F.least("a.class", "b.class").alias("class_a"), F.greatest("a.class", "b.class").alias("class_b"), apart.alias("distance"), similarity.alias("similarity")).filter(F.col("similarity") >= LEAST_SIMILAR)
 
 
 def near_groups(records: DataFrame) -> DataFrame:

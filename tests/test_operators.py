@@ -59,6 +59,18 @@ def test_near_duplicates_against_brute_force(spark):
     assert want and {(r[0], r[1]) for r in similar.near_pairs(df).collect()} == want
 
 
+def test_near_candidates_are_numbers(spark):
+    """What the bands multiply is two numbers a row; sets of one hash are pairs as well."""
+    text = " ".join(f"w{i}" for i in range(40))
+    df = spark.createDataFrame([(0, text, "a"), (1, f"{text} x1", "b"), (2, f"{text} x2", "b")] + [(10 + i, f"{text} y{i}", "a") for i in range(60)], "doc_id long, content string, adapter string")
+    sims = {r["class"]: (r["sim"], set(r["terms"])) for r in similar.signatures(df).collect()}
+    want = {(a, b, bin((sims[a][0] ^ sims[b][0]) & (2**64 - 1)).count("1")) for a, b in combinations(sorted(sims), 2) if len(sims[a][1] & sims[b][1]) / len(sims[a][1] | sims[b][1]) >= 0.6}
+    want = {x for x in want if x[2] <= 8}
+    assert any(d == 0 for *_, d in want) and {tuple(r)[:3] for r in similar.near_pairs(df).collect()} == want
+    assert set(similar.signatures(df).columns) == {"class", "terms", "size", "sim"}
+    assert similar.bands(similar.signatures(df).select("sim")).dtypes == [("sim", "bigint"), ("band", "bigint")]
+
+
 def test_vector_search_against_numpy(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(60, 8))
