@@ -40,9 +40,14 @@ def band_keys(sims: np.ndarray) -> np.ndarray:
 
 def signatures(records: DataFrame) -> DataFrame:
     """class, terms, size, sim: one row per different set of terms with enough of them."""
+    return _hashed(records).select(F.sha2("joined", 256).alias("class"), F.split("joined", " ").alias("terms"), "size", "sim")
+
+
+def _hashed(records: DataFrame) -> DataFrame:
+    """joined, size, sim: each set of terms as one text, which takes a third of the room of an array."""
     terms = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))))
     sets = records.select(F.inline(F.array(F.struct(terms.alias("terms"))))).filter(F.size("terms") >= LEAST_TERMS)
-    classes = sets.select("terms", F.sha2(F.array_join("terms", " "), 256).alias("class")).groupBy("class").agg(F.first("terms").alias("terms"))
+    classes = sets.select(F.array_join("terms", " ").alias("joined")).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -51,10 +56,10 @@ def signatures(records: DataFrame) -> DataFrame:
             lists = batch.column("hashes")
             sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
             sims = simhash(np.ascontiguousarray(lists.flatten().to_numpy(zero_copy_only=False)), np.cumsum(sizes) - sizes, sizes)
-            yield pa.RecordBatch.from_arrays([batch.column("class"), batch.column("terms"), pa.array(sizes.astype(np.int32)), pa.array(sims)], names=["class", "terms", "size", "sim"])
+            yield pa.RecordBatch.from_arrays([batch.column("joined"), pa.array(sizes.astype(np.int32)), pa.array(sims)], names=["joined", "size", "sim"])
 
-    hashed = classes.select("class", "terms", F.transform("terms", term_hash).alias("hashes"))
-    return hashed.mapInArrow(run, "class string, terms array<string>, size int, sim long")
+    hashed = classes.select("joined", F.transform(F.split("joined", " "), term_hash).alias("hashes"))
+    return hashed.mapInArrow(run, "joined string, size int, sim long")
 
 
 def class_of(records: DataFrame) -> DataFrame:
@@ -81,20 +86,21 @@ def near_pairs(records: DataFrame) -> DataFrame:
 
     Candidates are pairs of hashes, two numbers a row; the sets come in for those that are near, and for sets of one hash.
     """
-    classes = cut(signatures(records))
+    classes = cut(_hashed(records))
     rows = bands(classes.select("sim").distinct())
     a, b = rows.alias("a"), rows.alias("b")
     distance = F.bit_count(F.col("a.sim").bitwiseXOR(F.col("b.sim")))
     found = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.sim") < F.col("b.sim")) & (distance <= MOST_DISTANT))
     near = found.select(F.col("a.sim").alias("sim_a"), F.col("b.sim").alias("sim_b")).distinct()
     shared = classes.groupBy("sim").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("sim").alias("sim_a"), F.col("sim").alias("sim_b"))
-    left, right = (classes.select(F.col("sim").alias(f"sim_{x}"), F.col("size").alias(f"size_{x}"), F.struct("class", "terms").alias(x)) for x in "ab")
-    met = near.unionByName(shared).join(left, "sim_a").join(right, "sim_b").filter((F.col("sim_a") != F.col("sim_b")) | (F.col("a.class") < F.col("b.class")))
+    left, right = (classes.select(F.col("sim").alias(f"sim_{x}"), F.col("size").alias(f"size_{x}"), F.col("joined").alias(x)) for x in "ab")
+    met = near.unionByName(shared).join(left, "sim_a").join(right, "sim_b").filter((F.col("sim_a") != F.col("sim_b")) | (F.col("a") < F.col("b")))
     met = met.filter(F.least("size_a", "size_b") >= LEAST_SIMILAR * F.greatest("size_a", "size_b"))
-    common = F.size(F.array_intersect("a.terms", "b.terms"))
+    common = F.size(F.array_intersect(F.split("a", " "), F.split("b", " ")))
     similarity = common / (F.col("size_a") + F.col("size_b") - common)
+    one, other = F.sha2("a", 256), F.sha2("b", 256)
     apart = F.bit_count(F.col("sim_a").bitwiseXOR(F.col("sim_b"))).cast("long")
-    return met.select(F.least("a.class", "b.class").alias("class_a"), F.greatest("a.class", "b.class").alias("class_b"), apart.alias("distance"), similarity.alias("similarity")).filter(F.col("similarity") >= LEAST_SIMILAR)
+    return met.select(F.least(one, other).alias("class_a"), F.greatest(one, other).alias("class_b"), apart.alias("distance"), similarity.alias("similarity")).filter(F.col("similarity") >= LEAST_SIMILAR)
 
 
 def near_groups(records: DataFrame) -> DataFrame:

@@ -291,7 +291,7 @@ _SIMHASH = """WITH terms AS (SELECT doc_id, list_sort(list_distinct(regexp_extra
 
 
 def _facts(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "memori_entity_fact").select(F.col("id").alias("doc_id"), "content", F.col("instance").alias("adapter")).distinct()
+    return table(s, d, "memori_entity_fact").select(F.col("id").alias("doc_id"), "content", F.col("instance").alias("adapter"))
 
 
 @query(_SIMHASH)
