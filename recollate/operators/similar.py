@@ -16,6 +16,8 @@ from recollate.session import cut
 MOST_DISTANT, LEAST_SIMILAR, LEAST_TERMS = 8, 0.6, 4
 #: 64 bits in ten blocks: eight changed bits leave at least two of them alone, so two equal blocks find every pair.
 BLOCKS = (7, 7, 7, 7, 6, 6, 6, 6, 6, 6)
+#: Hashes that count as a short run, and pairs that are looked at in one step.
+SHORT, MOST_AT_ONCE = 128, 1 << 20
 
 
 def term_hash(term: Column) -> Column:
@@ -81,20 +83,108 @@ def bands(sims: DataFrame) -> DataFrame:
     return sims.mapInArrow(run, "sim long, band long")
 
 
+def blocks(sims: DataFrame) -> DataFrame:
+    """block, sims: hashes that share the value of a block, as one binary of 64-bit numbers; of two equal blocks the first is never the last of all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            for i in range(len(BLOCKS) - 1 if len(own) else 0):
+                values = _block(own, i)
+                order = np.argsort(values, kind="stable")
+                value, starts = np.unique(values[order], return_index=True)
+                places = pa.py_buffer(np.append(starts, len(own)).astype(np.int32) * 8)
+                packed = pa.Array.from_buffers(pa.binary(), len(value), [None, places, pa.py_buffer(own[order])])
+                yield pa.RecordBatch.from_arrays([pa.array(value.astype(np.int32) | (i << max(BLOCKS))), packed], names=["block", "sims"])
+
+    return sims.mapInArrow(run, "block int, sims binary")
+
+
+def near_hashes(sims: DataFrame) -> DataFrame:
+    """sim_a, sim_b of all hashes within MOST_DISTANT, each pair once, in either order; a hash that comes more than once is a pair with itself.
+
+    Hashes travel under the first of two equal blocks only; those that share it meet here under the second.
+    """
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed = [(x.column("block")[0].as_py(), y) for x in batches if x.num_rows for y in x.column("sims").to_pylist()]
+        first = packed[0][0] >> max(BLOCKS)
+        own, times = np.unique(np.frombuffer(b"".join(y for _, y in packed), np.uint64), return_counts=True)
+        same = own[times > 1] if first == 0 else own[:0]
+        met, n = [(same, same)], len(same)
+        for pairs in _close(own, first):
+            met.append(pairs)
+            n += len(pairs[0])
+            if n >= MOST_AT_ONCE:
+                yield _paired(met)
+                met, n = [], 0
+        if met:
+            yield _paired(met)
+
+    return blocks(sims).groupBy("block").applyInArrow(meet, "sim_a long, sim_b long")
+
+
+def _paired(met: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(side).view(np.int64)) for side in zip(*met, strict=True)], names=["sim_a", "sim_b"])
+
+
+def _block(sims: np.ndarray, i: int) -> np.ndarray:
+    return ((sims >> np.uint64(sum(BLOCKS[:i]))) & np.uint64((1 << BLOCKS[i]) - 1)).astype(np.uint8)
+
+
+def _close(own: np.ndarray, first: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Near pairs among different hashes with an equal block first, where no block before it is equal, so that a pair comes out in one place only."""
+    masks = [np.uint64(((1 << w) - 1) << sum(BLOCKS[:i])) for i, w in enumerate(BLOCKS)]
+    for second in range(first + 1, len(BLOCKS)):
+        values = _block(own, second)
+        order = np.argsort(values, kind="stable")
+        met: list[tuple[np.ndarray, np.ndarray]] = []
+        for a, b in _within(own[order], np.bincount(values)):
+            met.append((a, b))
+            if len(met) == 1000 or len(a) >= MOST_AT_ONCE // 8:
+                yield _first_met(met, first, second, masks)
+                met = []
+        if met:
+            yield _first_met(met, first, second, masks)
+
+
+def _within(hashes: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Near pairs of each run of hashes, runs of the given sizes one after the other; pairs of two runs may be among them."""
+    own = np.repeat(sizes, sizes)
+    short = hashes[own <= SHORT]
+    for d in range(1, int(own[own <= SHORT].max(initial=1))):  # each hash meets the one after it, the next but one, and so on
+        at = np.flatnonzero(np.bitwise_count(short[d:] ^ short[:-d]) <= MOST_DISTANT)
+        if len(at):
+            yield short[at], short[at + d]
+    starts = np.cumsum(sizes) - sizes
+    for n in np.flatnonzero(sizes > SHORT):  # some hashes at a time meet all from there on
+        run = hashes[starts[n] : starts[n] + sizes[n]]
+        rows = max(1, MOST_AT_ONCE // 8 // len(run))
+        for start in range(0, len(run), rows):
+            rest = run[start:]
+            i, j = np.divmod(np.flatnonzero(np.bitwise_count(rest[:rows, None] ^ rest[None, :]).ravel() <= MOST_DISTANT), len(rest))
+            i, j = i[i < j], j[i < j]
+            if len(i):
+                yield rest[i], rest[j]
+
+
+def _first_met(met: list[tuple[np.ndarray, np.ndarray]], first: int, second: int, masks: list[np.uint64]) -> tuple[np.ndarray, np.ndarray]:
+    """Those pairs whose first two equal blocks are first and second."""
+    a, b = (np.concatenate(side) for side in zip(*met, strict=True))
+    right = np.logical_and.reduce([((a ^ b) & masks[i] == 0) == (i in (first, second)) for i in range(second + 1)])
+    return a[right], b[right]
+
+
 def near_pairs(records: DataFrame) -> DataFrame:
     """class_a < class_b, distance, similarity of all pairs of different term sets within both limits; nothing is missed.
 
-    Candidates are pairs of hashes, two numbers a row; the sets come in for those that are near, and for sets of one hash.
+    Candidates are pairs of hashes, two numbers a row; the sets come in for those that are near, and for sets of one hash. Spark takes the sets for
+    small, as it knows nothing of the length of texts; without the hints it would gather all of them in the driver to broadcast them.
     """
     classes = cut(_hashed(records))
-    rows = bands(classes.select("sim").distinct())
-    a, b = rows.alias("a"), rows.alias("b")
-    distance = F.bit_count(F.col("a.sim").bitwiseXOR(F.col("b.sim")))
-    found = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.sim") < F.col("b.sim")) & (distance <= MOST_DISTANT))
-    near = found.select(F.col("a.sim").alias("sim_a"), F.col("b.sim").alias("sim_b")).distinct()
-    shared = classes.groupBy("sim").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("sim").alias("sim_a"), F.col("sim").alias("sim_b"))
+    near = near_hashes(classes.select("sim"))
     left, right = (classes.select(F.col("sim").alias(f"sim_{x}"), F.col("size").alias(f"size_{x}"), F.col("joined").alias(x)) for x in "ab")
-    met = near.unionByName(shared).join(left, "sim_a").join(right, "sim_b").filter((F.col("sim_a") != F.col("sim_b")) | (F.col("a") < F.col("b")))
+    met = near.join(left.hint("merge"), "sim_a").join(right.hint("merge"), "sim_b").filter((F.col("sim_a") != F.col("sim_b")) | (F.col("a") < F.col("b")))
     met = met.filter(F.least("size_a", "size_b") >= LEAST_SIMILAR * F.greatest("size_a", "size_b"))
     common = F.size(F.array_intersect(F.split("a", " "), F.split("b", " ")))
     similarity = common / (F.col("size_a") + F.col("size_b") - common)

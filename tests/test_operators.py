@@ -71,6 +71,29 @@ def test_near_candidates_are_numbers(spark):
     assert similar.bands(similar.signatures(df).select("sim")).dtypes == [("sim", "bigint"), ("band", "bigint")]
 
 
+def test_near_hashes_against_brute_force(spark):
+    """Hashes far apart, crowds that share blocks, equal ones: every pair once."""
+    rng = np.random.default_rng(2)
+    crowd = np.uint64(0x9234_0000_0000_0000) | (rng.integers(0, 2**63, 600, dtype=np.uint64) & np.uint64(0xFFFF_00FF))
+    sims = np.concatenate([rng.integers(0, 2**63, 300, dtype=np.uint64) * np.uint64(2), crowd])
+    for _ in range(8):
+        sims = np.append(sims, sims[-300:] ^ (np.uint64(1) << rng.integers(0, 64, 300, dtype=np.uint64)))
+    sims = np.unique(sims)
+    want = {tuple(sorted((int(a), int(b)))) for n, a in enumerate(sims.view(np.int64)) for b in sims.view(np.int64)[n + 1 :][np.bitwise_count(sims[n] ^ sims[n + 1 :]) <= 8]}
+    df = spark.createDataFrame([(int(x),) for x in np.append(sims, sims[:5]).view(np.int64)], "sim long")
+    got = [tuple(sorted(r)) for r in similar.near_hashes(df).collect()]
+    assert len(want) > 10_000 and len(got) == len(set(got)) and set(got) == want | {(int(x), int(x)) for x in sims[:5].view(np.int64)}
+    assert similar.near_hashes(df.limit(0)).count() == 0
+
+
+def test_near_pairs_broadcast_no_sets(spark):
+    """Spark's guess of the size of texts is far too low, so no join may depend on it: the driver would gather the whole table."""
+    text = " ".join(f"w{i}" for i in range(40))
+    pairs = similar.near_pairs(spark.createDataFrame([(0, text, "a"), (1, f"{text} x1", "b")], "doc_id long, content string, adapter string"))
+    assert pairs.count() == 1 and pairs.collect()
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
 def test_vector_search_against_numpy(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(60, 8))
